@@ -103,30 +103,37 @@ def word_tokens(col: str | Column) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(WORD_TOKEN), 0)
 
 
-def _joined_slice(toks: Column, n: int):
-    # one-argument lambdas only: a two-argument lambda is (element, index)
-    return lambda i: F.array_join(F.slice(toks, i, n), " ")
-
-
-def _substr(p: Column, n: int):
-    return lambda i: F.substring(p, i, n)
-
-
 def word_ngrams(tokens: str | Column, n_min: int = 1, n_max: int = 2) -> Column:
-    """All n-grams of consecutive tokens for n in [n_min, n_max], space-joined."""
+    """All n-grams of consecutive tokens for n in [n_min, n_max], space-joined.
+
+    Built from shifted slices zipped together: every array argument is
+    evaluated once per row (a lambda that referred to the token array would
+    re-evaluate it for every element)."""
     toks = _c(tokens)
+    size = F.size(toks)
     parts = []
     for n in range(n_min, n_max + 1):
         if n == 1:
             parts.append(toks)
             continue
-        parts.append(F.when(
-            F.size(toks) >= n,
-            F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), _joined_slice(toks, n))
-        ).otherwise(F.array().cast("array<string>")))
+        count = F.greatest(size - (n - 1), F.lit(0))
+        shifted = [F.slice(toks, k + 1, count) for k in range(n)]
+        zipped = F.arrays_zip(*[s.alias(f"t{k}") for k, s in enumerate(shifted)])
+        parts.append(F.when(size >= n, F.transform(zipped, _join_fields(n)))
+                     .otherwise(F.array().cast("array<string>")))
     return F.flatten(F.array(*parts)) if len(parts) > 1 else parts[0]
 
 
+def _join_fields(n: int):
+    # one-argument lambdas only: a two-argument lambda is (element, index)
+    return lambda z: F.concat_ws(" ", *[z[f"t{k}"] for k in range(n)])
+
+
+def _substr(p: Column, n: int):
+    # one-argument lambdas only: a two-argument lambda is (element, index)
+    return lambda i: F.substring(p, i, n)
+
+
 def char_wb_ngrams(col: str | Column, n_min: int = 3, n_max: int = 5) -> Column:
     """T4: character n-grams inside words, each word padded by one space on both
     sides; every n-gram with n_min <= n <= min(n_max, padded length)."""

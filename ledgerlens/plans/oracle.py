@@ -19,9 +19,12 @@ ledger AS (
          CASE WHEN year(o_orderdate) >= 2001 AND substring(o_orderpriority, 1, 1) = '5' THEN '9'
               WHEN year(o_orderdate) < 1996 AND substring(o_orderpriority, 1, 1) = '4' THEN '8'
               ELSE '0' END) AS account_code,
-  concat(CASE o_orderkey % 6 WHEN 0 THEN 'PRLV SEPA EDF ' WHEN 1 THEN 'VIR RECU '
+  concat(CASE o_orderkey % 15 WHEN 0 THEN 'PRLV SEPA EDF ' WHEN 1 THEN 'VIR RECU '
          WHEN 2 THEN 'URSSAF COTISATIONS ' WHEN 3 THEN 'PAIEMENT CB ' WHEN 4 THEN 'Loyer '
-         ELSE 'REMISE CHEQUE ' END, c_mktsegment) AS description,
+         WHEN 5 THEN 'DGFIP IMPOTS ' WHEN 6 THEN 'POLE EMPLOI ' WHEN 7 THEN 'AGIOS FRAIS BANCAIRE '
+         WHEN 8 THEN 'INTERETS CREDITEURS ' WHEN 9 THEN 'PAYPAL EUROPE ' WHEN 10 THEN 'ORANGE SA '
+         WHEN 11 THEN 'AXA ASSURANCE ' WHEN 12 THEN 'ENCAISSEMENT CLIENT '
+         WHEN 13 THEN 'HONORAIRES EXPERT ' ELSE 'REMISE CHEQUE ' END, c_mktsegment) AS description,
   CASE o_orderkey % 10
    WHEN 0 THEN concat('PRLV SEPA CPY:FR', CAST(o_custkey AS VARCHAR), ' RUM : R-',
                CAST(o_orderkey AS VARCHAR), ' NBE:', c_name, '<br />LIB:REGLEMENT FACTURE N',

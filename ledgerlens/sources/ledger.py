@@ -21,6 +21,15 @@ def read_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Data
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
+# Description stems by txn_id % 15 (each profile entity occurs in one).
+DESCRIPTION_FORMS = (
+    "PRLV SEPA EDF ", "VIR RECU ", "URSSAF COTISATIONS ", "PAIEMENT CB ", "Loyer ",
+    "DGFIP IMPOTS ", "POLE EMPLOI ", "AGIOS FRAIS BANCAIRE ", "INTERETS CREDITEURS ",
+    "PAYPAL EUROPE ", "ORANGE SA ", "AXA ASSURANCE ", "ENCAISSEMENT CLIENT ",
+    "HONORAIRES EXPERT ", "REMISE CHEQUE ",
+)
+
+
 def _case(key: Column, branches: list, default: Column) -> Column:
     """``CASE key WHEN k THEN v ... ELSE default END`` from a list of (k, v)."""
     expr = None
@@ -62,9 +71,8 @@ def ledger_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((year >= 2001) & (prio == "5"), F.lit("9"))
          .when((year < 1996) & (prio == "4"), F.lit("8")).otherwise(F.lit("0")))
     description = F.concat(
-        _case(key % 6, [(0, F.lit("PRLV SEPA EDF ")), (1, F.lit("VIR RECU ")),
-                        (2, F.lit("URSSAF COTISATIONS ")), (3, F.lit("PAIEMENT CB ")),
-                        (4, F.lit("Loyer "))], F.lit("REMISE CHEQUE ")),
+        _case(key % 15, [(i, F.lit(v)) for i, v in enumerate(DESCRIPTION_FORMS[:-1])],
+              F.lit(DESCRIPTION_FORMS[-1])),
         F.col("c_mktsegment"))
     remarks = _case(key % 10, [
         (0, F.concat(F.lit("PRLV SEPA CPY:FR"), ckey, F.lit(" RUM : R-"), okey,

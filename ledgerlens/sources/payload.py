@@ -19,7 +19,7 @@ def parse_payload(df: DataFrame, json_col: str = "payload", keep: list[str] | No
                   ) -> DataFrame:
     """JSON records → scoring frame: description, remarks, reference, debit,
     credit (bad → 0), posting_date (bad → null), with the record defaults."""
-    rec = F.from_json(F.col(json_col), _WIRE_SCHEMA)
+    rec = F.col("__rec")
     keep_cols = [F.col(c) for c in (keep or [])]
 
     def text(c: str) -> Column:
@@ -30,7 +30,7 @@ def parse_payload(df: DataFrame, json_col: str = "payload", keep: list[str] | No
     def amount(c: str) -> Column:
         return F.coalesce(F.expr(f"try_cast(`__rec`.`{c}` AS DOUBLE)"), F.lit(0.0))
 
-    return (df.select(*keep_cols, rec.alias("__rec"))
+    return (df.select(*keep_cols, F.from_json(F.col(json_col), _WIRE_SCHEMA).alias("__rec"))
               .select(*keep_cols,
                       text("description").alias("description"),
                       text("remarks").alias("remarks"),
