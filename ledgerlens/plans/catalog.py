@@ -488,10 +488,10 @@ def q_strip_accents(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog_more  # noqa: F401  (registers the remaining queries)
+    from . import catalog_learn, catalog_more  # noqa: F401  (register the remaining queries)
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more  # noqa: F401
+    from . import catalog_learn, catalog_more  # noqa: F401
     return dict(ORACLE)
