@@ -132,8 +132,12 @@ class ModelRegistry:
         man = self.manifests().filter(F.col("version") == version).select(
             F.explode("checksums").alias("file", "expected"))
         actual = self.checksums(version)
-        bad = man.join(actual, "file", "left").filter(
-            F.col("sha256").isNull() | (F.col("sha256") != F.col("expected"))).collect()
+        try:
+            bad = man.join(actual, "file", "left").filter(
+                F.col("sha256").isNull() | (F.col("sha256") != F.col("expected"))).collect()
+        except Exception as err:  # noqa: BLE001  (a file the scan cannot read is corrupt)
+            raise RuntimeError(f"Hash mismatch for {version}: unreadable artefact ({err})"[:500]) \
+                from err
         if not bad:
             return
         missing = [r["file"] for r in bad if r["sha256"] is None]

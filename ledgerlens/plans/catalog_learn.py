@@ -25,7 +25,10 @@ from . import oracle as O
 from . import tuning
 from .catalog import domain, labelled_ledger, prepared, profile, query, r6, ts_text
 
+# Model sizes for the registered checks (the library defaults are larger).
 FOREST = dict(numTrees=20, maxDepth=8)
+SMALL_FOREST = dict(numTrees=8, maxDepth=6)
+LOGISTIC = dict(maxIter=25)
 _LOCK = threading.Lock()
 _MODELS: dict = {}
 
@@ -35,12 +38,13 @@ def _split(spark, sf):
     return lab.filter(F.col("part") == "train"), lab.filter(F.col("part") == "val")
 
 
-def fitted(spark, sf, kind: str = "forest", families=learn.FAMILIES) -> learn.LedgerModel:
-    key = (id(spark), sf, kind, tuple(families))
+def fitted(spark, sf, kind: str = "forest", families=learn.FAMILIES,
+           params: dict | None = None) -> learn.LedgerModel:
+    params = params if params is not None else (FOREST if kind == "forest" else LOGISTIC)
+    key = (id(spark), sf, kind, tuple(families), tuple(sorted(params.items())))
     with _LOCK:
         if key not in _MODELS:
             tr, _ = _split(spark, sf)
-            params = FOREST if kind == "forest" else {}
             _MODELS[key] = learn.train(tr, kind=kind, families=families, **params)
         return _MODELS[key]
 
@@ -177,7 +181,7 @@ def q_ablation(spark, sf):
     rows = []
     for i in range(1, len(learn.FAMILIES) + 1):
         fams = learn.FAMILIES[:i]
-        r = fitted(spark, sf, "forest", fams).evaluate(va).first()
+        r = fitted(spark, sf, "forest", fams, SMALL_FOREST).evaluate(va).first()
         rows.append(("+".join(fams), float(r["accuracy"] or 0.0),
                      float(r["balanced_accuracy"] or 0.0)))
     return spark.createDataFrame(rows, "families string, accuracy double, balanced_accuracy double")
@@ -192,8 +196,8 @@ def q_tune(spark, sf):
     vx = m.labels.transform(m.features.transform(
         va.filter(F.col("target").isin(m.classes)), keep=["txn_id", "target"]))
     grid = tuning.trial_grid(spark, 3, seed=42)
-    capped = grid.withColumn("n_estimators", F.least("n_estimators", F.lit(400))) \
-                 .withColumn("max_depth", F.least("max_depth", F.lit(8)))
+    capped = grid.withColumn("n_estimators", F.least("n_estimators", F.lit(160))) \
+                 .withColumn("max_depth", F.least("max_depth", F.lit(6)))
     return tuning.tune(tx, vx, capped)
 
 

@@ -26,8 +26,10 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: int | str = "*", app: str = "ledgerlens",
-                  shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench (no UI, UTC, AQE on)."""
+                  shuffle_partitions: int = 8, checkpoint: str | None = None) -> SparkSession:
+    """A local session for tests and the bench (no UI, UTC, AQE on).
+
+    ``checkpoint`` sets ``spark.checkpoint.dir`` (only possible at build time)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -35,6 +37,8 @@ def local_session(cores: int | str = "*", app: str = "ledgerlens",
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
     )
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     for key, value in RECOMMENDED_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -42,17 +46,24 @@ def local_session(cores: int | str = "*", app: str = "ledgerlens",
     return spark
 
 
+_PRIVATE: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is given by the deployment and only read here.
-    When it is unset (local tests) a private folder is created and set.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    When it is unset (local runs) a private folder is created once per
+    application and used instead."""
+    sc = spark.sparkContext
+    current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        app = sc.applicationId
+        if app not in _PRIVATE:
+            _PRIVATE[app] = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+        current = _PRIVATE[app]
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
