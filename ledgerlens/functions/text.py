@@ -129,24 +129,25 @@ def _join_fields(n: int):
     return lambda z: F.concat_ws(" ", *[z[f"t{k}"] for k in range(n)])
 
 
-def _substr(p: Column, n: int):
-    # one-argument lambdas only: a two-argument lambda is (element, index)
-    return lambda i: F.substring(p, i, n)
+def _char_gram_pattern(n: int) -> str:
+    """n characters inside one space-padded word: spaces only at the ends."""
+    w = "[^ ]"
+    alts = [f"{w}{{{n}}}", f" {w}{{{n - 1}}}", f"{w}{{{n - 1}}} ", f" {w}{{{n - 2}}} "]
+    return "(?=(" + "|".join(alts) + "))"
 
 
 def char_wb_ngrams(col: str | Column, n_min: int = 3, n_max: int = 5) -> Column:
     """T4: character n-grams inside words, each word padded by one space on both
-    sides; every n-gram with n_min <= n <= min(n_max, padded length)."""
-    words = F.filter(F.split(_c(col), " "), lambda w: w != "")
-
-    def grams(w: Column) -> Column:
-        p = F.concat(F.lit(" "), w, F.lit(" "))
-        L = F.char_length(p)
-        per_n = [
-            F.when(L >= n, F.transform(F.sequence(F.lit(1), L - (n - 1)), _substr(p, n)))
-             .otherwise(F.array().cast("array<string>"))
-            for n in range(n_min, n_max + 1)
-        ]
-        return F.flatten(F.array(*per_n))
-
-    return F.flatten(F.transform(words, grams))
+    sides: every n-gram with n_min <= n <= min(n_max, padded length).
+
+    Words are re-joined with two spaces and padded, so each padded word stands
+    alone; a look-ahead capture then returns every overlapping n-gram whose
+    spaces sit only at its ends -- exactly the grams of single padded words.
+    One JVM regex pass per n (no per-word lambdas).  Order is by position per
+    n, the multiset equals the per-word enumeration."""
+    text = F.regexp_replace(F.trim(F.regexp_replace(_c(col), WS_RUN, " ")), " ", "  ")
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    grams = [F.regexp_extract_all(padded, F.lit(_char_gram_pattern(n)), 1)
+             for n in range(n_min, n_max + 1)]
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")) \
+            .otherwise(F.flatten(F.array(*grams)))

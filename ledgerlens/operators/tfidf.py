@@ -132,8 +132,10 @@ class TfidfVectorizer:
         if n_docs is None:
             n_docs = texts.count()
         tf = term_counts(texts, self.blocks)
+        # one row per distinct (block, term); persisted so the per-block top-N
+        # selections below do not each recompute the term counts
         stats = tf.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"),
-                                                F.sum("tf").alias("cf"))
+                                                F.sum("tf").alias("cf")).persist()
         pieces, sizes, offset = [], {}, 0
         for b in self.blocks:
             cand = stats.filter((F.col("block") == b.name) & (F.col("df") >= b.min_df))
@@ -147,7 +149,10 @@ class TfidfVectorizer:
         # The fitted vocabulary is bounded by sum(max_features) rows; like a
         # CountVectorizerModel it is materialised once (driver-held), so later
         # transforms do not recompute the fit lineage.
-        rows = kept.select("block", "term", "df", "cf").collect()
+        try:
+            rows = kept.select("block", "term", "df", "cf").collect()
+        finally:
+            stats.unpersist()
         for b in self.blocks:
             sizes[b.name] = sum(1 for r in rows if r["block"] == b.name)
         offsets, offset = {}, 0
