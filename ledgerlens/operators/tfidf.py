@@ -17,6 +17,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,21 @@ def ledger_texts(df: DataFrame, key: str = "txn_id") -> DataFrame:
              .withColumn("chr", F.concat(F.col("desc"), F.lit(" "), F.col("rem")))
 
 
+def gram_columns(texts: DataFrame, blocks: tuple[BlockSpec, ...]) -> DataFrame:
+    """(doc_id, one terms array per block): tokens projected once, then n-grams."""
+    toks = texts.select("doc_id", *[b.tokens(F.col(b.name)).alias(f"__tok_{b.name}")
+                                    for b in blocks])
+    return toks.select("doc_id", *[b.grams(F.col(f"__tok_{b.name}")).alias(f"__g_{b.name}")
+                                   for b in blocks])
+
+
+def term_stats(texts: DataFrame, blocks: tuple[BlockSpec, ...]) -> DataFrame:
+    """(block, term, df, cf): per-document counts (partial aggregate), then per term."""
+    tf = term_counts(texts, blocks)
+    return tf.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"),
+                                           F.sum("tf").alias("cf"))
+
+
 def term_counts(texts: DataFrame, blocks: tuple[BlockSpec, ...]) -> DataFrame:
     """(doc_id, block, term, tf) — one explode per block, one partial aggregate."""
     parts = [texts.select("doc_id", b.tokens(F.col(b.name)).alias("__tok"))
@@ -90,7 +108,55 @@ class TfidfModel:
         return sum(self.sizes.values())
 
     def transform(self, texts: DataFrame) -> DataFrame:
-        """T8 long form: (doc_id, block, term, col_index, weight)."""
+        """T8 long form: (doc_id, block, term, col_index, weight).
+
+        Per Arrow batch (mapInPandas): vocabulary lookup (bounded, in the
+        closure), term counts per document, sublinear TF x IDF, L2 per
+        document and block.  Rows never leave their partition: no shuffle."""
+        vocab = {}
+        for r in self.vocab.select("block", "term", "idf", "col_index").collect():
+            vocab.setdefault(r["block"], []).append((r["term"], r["idf"], r["col_index"]))
+        tables = {}
+        for b in self.blocks:
+            entries = sorted(vocab.get(b.name, []), key=lambda e: e[2])
+            tables[b.name] = (pd.Index([e[0] for e in entries]),
+                              np.array([e[1] for e in entries], dtype="float64"),
+                              np.array([e[2] for e in entries], dtype="int32"))
+        names = [b.name for b in self.blocks]
+
+        def weigh(batches):
+            for pdf in batches:
+                out = []
+                for name in names:
+                    index, idf, cols = tables[name]
+                    s = pdf[f"__g_{name}"].explode().dropna()
+                    if s.empty or len(index) == 0:
+                        continue
+                    codes = index.get_indexer(s.to_numpy())
+                    keep = codes >= 0
+                    pairs = pd.DataFrame({"r": s.index.to_numpy()[keep], "c": codes[keep]})
+                    if pairs.empty:
+                        continue
+                    tf = pairs.value_counts().reset_index(name="tf")
+                    c = tf["c"].to_numpy()
+                    w = (1.0 + np.log(tf["tf"].to_numpy(dtype="float64"))) * idf[c]
+                    norm = np.sqrt(pd.Series(w * w).groupby(tf["r"].to_numpy())
+                                   .transform("sum").to_numpy())
+                    out.append(pd.DataFrame({
+                        "doc_id": pdf["doc_id"].to_numpy()[tf["r"].to_numpy()],
+                        "block": name, "term": index[c], "col_index": cols[c],
+                        "weight": w / norm}))
+                if out:
+                    yield pd.concat(out, ignore_index=True)
+
+        g = gram_columns(texts, self.blocks)
+        doc_type = texts.schema["doc_id"].dataType.simpleString()
+        return g.mapInPandas(weigh, f"doc_id {doc_type}, block string, term string, "
+                                    "col_index int, weight double")
+
+    def transform_relational(self, texts: DataFrame) -> DataFrame:
+        """T8 in relational form (explode, group, broadcast join, window);
+        same result as ``transform``, two shuffles keyed by document."""
         tf = term_counts(texts, self.blocks)
         v = F.broadcast(self.vocab.select("block", "term", "idf", "col_index"))
         w = tf.join(v, ["block", "term"]).withColumn(
@@ -131,11 +197,9 @@ class TfidfVectorizer:
     def fit(self, texts: DataFrame, n_docs: int | None = None) -> TfidfModel:
         if n_docs is None:
             n_docs = texts.count()
-        tf = term_counts(texts, self.blocks)
         # one row per distinct (block, term); persisted so the per-block top-N
-        # selections below do not each recompute the term counts
-        stats = tf.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"),
-                                                F.sum("tf").alias("cf")).persist()
+        # selections below do not each recompute the term statistics
+        stats = term_stats(texts, self.blocks).persist()
         pieces, sizes, offset = [], {}, 0
         for b in self.blocks:
             cand = stats.filter((F.col("block") == b.name) & (F.col("df") >= b.min_df))

@@ -165,7 +165,8 @@ def q_tfidf_char_norms(spark, sf):
 
 
 @query("doc_top_terms", f"""
-WITH toks AS (SELECT doc_id, unnest({_sql_ngrams12(_SQL_DOC_WORDS)}) AS term FROM documents),
+WITH words AS (SELECT doc_id, {_SQL_DOC_WORDS} AS w FROM documents),
+toks AS (SELECT doc_id, unnest({_sql_ngrams12('w')}) AS term FROM words),
 tfs AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM documents),
 stats AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tfs GROUP BY term),

@@ -52,6 +52,10 @@ def test_tfidf_vector_matches_long_form(model, parts):
     from ledgerlens.operators.tfidf import ledger_texts
     tfm = model.features.tfidf
     long = tfm.transform(ledger_texts(parts[1])).collect()
+    rel = {(r["doc_id"], r["col_index"]): r["weight"]
+           for r in tfm.transform_relational(ledger_texts(parts[1])).collect()}
+    assert set(rel) == {(r["doc_id"], r["col_index"]) for r in long}
+    assert all(abs(rel[(r["doc_id"], r["col_index"])] - r["weight"]) < 1e-12 for r in long)
     expect = {(r["doc_id"], r["col_index"]): r["weight"] for r in long}
     vec = model.features.transform(parts[1], keep=["txn_id"]).select(
         "txn_id", vector_to_array("features").alias("a")).collect()
