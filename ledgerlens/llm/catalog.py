@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from ledgerlens.llm.line_dedup import OP8_SQL, op8_line_dedup
 from ledgerlens.llm.mixing import OP2_SQL, op2_mixing
+from ledgerlens.llm.url_filter import OP4_SQL, op4_url_filter
+from ledgerlens.llm.winnow import op9_winnowing
 
 
 def queries() -> dict:
     return {
         "op2_mixing": op2_mixing,
+        "op4_url_filter": op4_url_filter,
         "op8_line_dedup": op8_line_dedup,
+        "op9_winnowing": op9_winnowing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op2_mixing": OP2_SQL, "op4_url_filter": OP4_SQL, "op8_line_dedup": OP8_SQL}
