@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ledgerlens.llm.line_dedup import OP8_SQL, op8_line_dedup
 from ledgerlens.llm.mixing import OP2_SQL, op2_mixing
+from ledgerlens.llm.pieces import op10_sentencepiece
+from ledgerlens.llm.toxicity import op3_toxicity
 from ledgerlens.llm.url_filter import OP4_SQL, op4_url_filter
 from ledgerlens.llm.winnow import op9_winnowing
 
@@ -11,9 +13,11 @@ from ledgerlens.llm.winnow import op9_winnowing
 def queries() -> dict:
     return {
         "op2_mixing": op2_mixing,
+        "op3_toxicity": op3_toxicity,
         "op4_url_filter": op4_url_filter,
         "op8_line_dedup": op8_line_dedup,
         "op9_winnowing": op9_winnowing,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 

@@ -51,9 +51,10 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0]:at[-1]], at - at[0]
 
 
-def word_spans(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) byte positions of every word and, per row, its first word (rows + 1 entries)."""
-    inside = _IS_WORD[body]
+def word_spans(body: np.ndarray, at: np.ndarray, letters: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) byte positions of every run of ``letters`` (256 flags) and, per row, its first one
+    (rows + 1 entries)."""
+    inside = letters[body]
     before = np.zeros(len(body), bool)
     before[1:] = inside[:-1]
     edges = at[1:-1]
