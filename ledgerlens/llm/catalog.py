@@ -5,6 +5,7 @@ from __future__ import annotations
 from ledgerlens.llm.line_dedup import OP8_SQL, op8_line_dedup
 from ledgerlens.llm.mixing import OP2_SQL, op2_mixing
 from ledgerlens.llm.pieces import op10_sentencepiece
+from ledgerlens.llm.quality import op5_quality
 from ledgerlens.llm.toxicity import op3_toxicity
 from ledgerlens.llm.url_filter import OP4_SQL, op4_url_filter
 from ledgerlens.llm.winnow import op9_winnowing
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op2_mixing": op2_mixing,
         "op3_toxicity": op3_toxicity,
         "op4_url_filter": op4_url_filter,
+        "op5_quality": op5_quality,
         "op8_line_dedup": op8_line_dedup,
         "op9_winnowing": op9_winnowing,
         "op10_sentencepiece": op10_sentencepiece,

@@ -70,8 +70,8 @@ def fit_ftrl(examples, epochs: int, alpha: float, beta: float, l1: float, l2: fl
     return w, -zb / ((beta + math.sqrt(nb)) / alpha + l2)
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", limit: int = LIMIT, epochs: int = 3,
-          alpha: float = 0.15, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", limit: int = LIMIT, epochs: int = 6,
+          alpha: float = 2.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0) -> dict | None:
     """{"at": sorted buckets, "w": their weights, "bias"}, or None without usable labels."""
     def collect_features(it):
         for b in it:
