@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerlens.llm.ann import op7_cross_polytope
 from ledgerlens.llm.line_dedup import OP8_SQL, op8_line_dedup
 from ledgerlens.llm.mixing import OP2_SQL, op2_mixing
 from ledgerlens.llm.pieces import op10_sentencepiece
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op4_url_filter": op4_url_filter,
         "op5_quality": op5_quality,
+        "op7_cross_polytope": op7_cross_polytope,
         "op8_line_dedup": op8_line_dedup,
         "op9_winnowing": op9_winnowing,
         "op10_sentencepiece": op10_sentencepiece,
