@@ -7,6 +7,7 @@ from ledgerlens.llm.line_dedup import OP8_SQL, op8_line_dedup
 from ledgerlens.llm.mixing import OP2_SQL, op2_mixing
 from ledgerlens.llm.pieces import op10_sentencepiece
 from ledgerlens.llm.quality import op5_quality
+from ledgerlens.llm.substring_dedup import op6_substring_dedup
 from ledgerlens.llm.toxicity import op3_toxicity
 from ledgerlens.llm.url_filter import OP4_SQL, op4_url_filter
 from ledgerlens.llm.winnow import op9_winnowing
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op4_url_filter": op4_url_filter,
         "op5_quality": op5_quality,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_cross_polytope": op7_cross_polytope,
         "op8_line_dedup": op8_line_dedup,
         "op9_winnowing": op9_winnowing,

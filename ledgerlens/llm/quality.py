@@ -108,7 +108,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def count(it):
         index = index_vectors()
         total = np.zeros((UNITS + 1, DIM), np.float64)
-        for b in it:
+        for b in wd.bounded(it):
             add_contexts(total, index, *units(b["text"]))
         yield vector_rows(total[:UNITS], PARTS)
     flat = sum_vectors(docs.select("text").mapInArrow(count, "part int, data binary"), PARTS, "quality-contexts")
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", limit: in
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pooled(it):
-        for b in it:
+        for b in wd.bounded(it):
             x = pool(b["text"], shared.value)
             yield pa.RecordBatch.from_arrays([b["turn"], b["label"], pa.array(list(x), pa.list_(pa.float64()))],
                                              names=["turn", "label", "x"])
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
 
     def run(it):
         m = shared.value
-        for b in it:
+        for b in wd.bounded(it):
             p = probability(m["net"], pool(b["text"], m["vectors"]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, out])
     return docs.mapInArrow(run, schema)

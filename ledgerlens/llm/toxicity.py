@@ -74,7 +74,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", limit: int
           alpha: float = 2.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0) -> dict | None:
     """{"at": sorted buckets, "w": their weights, "bias"}, or None without usable labels."""
     def collect_features(it):
-        for b in it:
+        for b in wd.bounded(it):
             f, row = features(b["text"])
             key = np.unique(row.astype(np.int64) << BITS | f)
             cut = np.searchsorted(key >> BITS, np.arange(b.num_rows + 1))
@@ -117,7 +117,7 @@ def score(docs: DataFrame, model: dict | None, out: str = "score") -> DataFrame:
         m = shared.value
         dense = np.zeros(1 << BITS)
         dense[m["at"]] = m["w"]
-        for b in it:
+        for b in wd.bounded(it):
             f, row = features(b["text"])
             w = dense[f]
             hit = np.flatnonzero(w)                             # few: only these need to be made distinct

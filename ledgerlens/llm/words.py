@@ -106,3 +106,14 @@ def sequence_hash(words: np.ndarray, width: int, step: int = 1 << 20) -> np.ndar
         np.cumsum(part * up[:len(part)], out=total[1:])
         out[a:b] = mix64((total[width:] - total[:-width]) * down[:b - a] + _U(width))
     return out
+
+
+def bounded(batches, column: str = "text", limit: int = 8 << 20):
+    """The same rows in batches of about ``limit`` bytes of ``column`` (a longer text is a batch alone)."""
+    for b in batches:
+        at = raw_bytes(b.column(b.schema.get_field_index(column)))[1]
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(at, at[a] + limit, "right")) - 1)
+            yield b.slice(a, z - a)
+            a = z
