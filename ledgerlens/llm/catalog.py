@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerlens.llm.ann import op7_cross_polytope
+from ledgerlens.llm.jaccard import op1_ngram_jaccard
 from ledgerlens.llm.line_dedup import OP8_SQL, op8_line_dedup
 from ledgerlens.llm.mixing import OP2_SQL, op2_mixing
 from ledgerlens.llm.pieces import op10_sentencepiece
@@ -15,6 +16,7 @@ from ledgerlens.llm.winnow import op9_winnowing
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_mixing": op2_mixing,
         "op3_toxicity": op3_toxicity,
         "op4_url_filter": op4_url_filter,
