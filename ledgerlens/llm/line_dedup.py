@@ -37,27 +37,28 @@ def line_windows(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with ``text`` replaced by its kept lines, plus n_lines and n_removed."""
+    """``docs`` with ``text`` replaced by its kept lines, plus n_lines and n_removed (in place of columns of
+    these names)."""
     windows = line_windows(docs.select("doc_id", "text"), width)
     first = (windows.groupBy("w1", "w2")
              .agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
              .filter("n > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"), "first"))
     later = (windows.join(first, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")))
              .filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))))
-    covered = (later.groupBy(F.col("doc_id").alias("of_doc"))
+    covered = (later.groupBy(F.col("doc_id").alias("of__"))
                .agg(F.sort_array(F.collect_set("pos")).alias("at"))
-               .select("of_doc", F.array_distinct(F.flatten(F.transform(
-                   "at", lambda p: F.sequence(p, p + (width - 1))))).alias("gone")))
+               .select("of__", F.array_distinct(F.flatten(F.transform(
+                   "at", lambda p: F.sequence(p, p + (width - 1))))).alias("gone__")))
     lines = F.split(F.col("text"), "\n", -1)
     n = F.coalesce(F.size(lines), F.lit(0))
     n = F.when(F.col("text").isNull(), 0).otherwise(n)
     kept = let(lines, lambda ls: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone")), lambda i: F.get(ls, i)), "\n"))
-    out = docs.join(covered, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left")
-    return out.select(*[(F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).alias("text") if c == "text"
-                        else docs[c] for c in docs.columns],
+        F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone__")), lambda i: F.get(ls, i)), "\n"))
+    out = docs.join(covered, F.col("doc_id").eqNullSafe(F.col("of__")), "left")
+    return out.select(*[(F.when(F.col("gone__").isNull(), F.col("text")).otherwise(kept)).alias("text") if c == "text"
+                        else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")],
                       n.cast("long").alias("n_lines"),
-                      F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+                      F.coalesce(F.size("gone__"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -155,6 +155,7 @@ def _lists(parts: list[bytes | None]) -> pa.ListArray:
 
 
 def _with_column(df: DataFrame, name: str, kind: T.DataType, fill) -> DataFrame:
+    df = df.drop(name)
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
     def batches(it):
@@ -164,7 +165,8 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, fill) -> DataFrame:
 
 
 def encode(df: DataFrame, model: _Shared, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with the piece ids of ``text`` appended as array<int>."""
+    """``df`` with the piece ids of ``text`` appended as array<int> (in place of a column of that
+    name)."""
     def fill(b):
         codec = _codec(model)
         return _lists([None if t is None else codec.encode(t) for t in b[text].to_pylist()])

@@ -200,16 +200,17 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", limit: in
 
 
 def score(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
-    """``docs`` with the calibrated probability of label 1 appended."""
+    """``docs`` with the calibrated probability of label 1 appended (in place of a column of that name)."""
     if "constant" in model:
         return docs.withColumn(out, F.lit(model["constant"]))
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(it):
         m = shared.value
         for b in wd.bounded(it):
-            p = probability(m["net"], pool(b["text"], m["vectors"]))
+            p = np.round(probability(m["net"], pool(b["text"], m["vectors"])), 12)     # equal texts, equal scores
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, out])
     return docs.mapInArrow(run, schema)
 

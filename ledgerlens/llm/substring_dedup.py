@@ -147,7 +147,7 @@ def counted(sent: DataFrame, repeated: bool) -> DataFrame:
 
 def per_document(found: DataFrame, name: str) -> DataFrame:
     """(k, <name>): the hashes of each document (bounded by its words)."""
-    return found.groupBy("k").agg(F.collect_list("h").alias(name))
+    return found.groupBy("k").agg(F.collect_list("h").alias(f"{name}__"))
 
 
 def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def candidate_runs(b, words, first, width, v):
     """(hash, row, position) of the runs that contain a repeated anchor."""
     h, row, pos = anchors(words, first, width, v)
-    hit = np.isin(in_row(h, row), in_row(*lists(b["shared"]))) | twice_in_row(h, row)
+    hit = np.isin(in_row(h, row), in_row(*lists(b["shared__"]))) | twice_in_row(h, row)
     start = first[row[hit]] + pos[hit]
     edge = np.zeros(len(words) + 2, np.int64)
     np.add.at(edge, np.maximum(start - v + 1, first[row[hit]]), 1)
@@ -172,7 +172,9 @@ def candidate_runs(b, words, first, width, v):
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, period: int = PERIOD) -> DataFrame:
-    """``docs`` with ``text`` replaced by its kept words, plus n_words and n_removed."""
+    """``docs`` with ``text`` replaced by its kept words, plus n_words and n_removed (in place of
+    columns of these names)."""
+    docs = docs.drop("n_words", "n_removed")
     names = docs.columns
     base = docs.withColumn("k__", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)))
 
@@ -193,7 +195,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, period: int = PERIOD)
             body, at = wd.raw_bytes(b["text"])
             words, first = wd.column_words(b["text"])
             h, row, pos = candidate_runs(b, words, first, width, period)
-            once = np.isin(in_row(h, row), in_row(*lists(b["once"]))) & ~twice_in_row(h, row)
+            once = np.isin(in_row(h, row), in_row(*lists(b["once__"]))) & ~twice_in_row(h, row)
             start = (first[row] + pos)[~once]
             edge = np.zeros(len(words) + width + 1, np.int64)
             np.add.at(edge, start, 1)

@@ -107,9 +107,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", limit: int
 
 
 def score(docs: DataFrame, model: dict | None, out: str = "score") -> DataFrame:
-    """``docs`` with the toxicity of ``text`` (0 to 1) appended."""
+    """``docs`` with the toxicity of ``text`` (0 to 1) appended (in place of a column of that name)."""
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
 
