@@ -180,7 +180,7 @@ def _tiles(prefixes: DataFrame, num: int, den: int) -> DataFrame:
                 i = i[i >= done_rows]
             pair = np.unique(np.stack([c[i - 1], c[i], n[i - 1], n[i]], 1), axis=0) if len(i) else np.zeros((0, 4), np.int64)
             big = (size > 2) | more | ((np.arange(len(size)) == 0) & (done_rows > 0))
-            mark = np.add.reduceat(wd.mix64(c.view(np.uint64)), head) + size.astype(np.uint64)
+            mark = np.add.reduceat(wd.mix64(wd.mix64(c.view(np.uint64)) + m.astype(np.uint64)), head)
             once = np.zeros(len(size), bool)                  # equal tiles of this batch once
             once[np.unique(mark, return_index=True)[1]] = True
             if more or done_rows:
