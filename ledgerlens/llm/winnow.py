@@ -45,18 +45,14 @@ def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
     return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: let(grams(h), chosen))
 
 
-def hashes(prints: Column) -> Column:
-    return F.array_distinct(F.transform(prints, lambda p: p["hash"]))
-
-
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of distinct hashes."""
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def printed(prints: Column) -> Column:
-    return F.array_join(F.transform(prints, lambda p: F.concat(p["pos"].cast("string"), F.lit(":"), F.hex(p["hash"]))), " ")
+def printed(pos: Column, hashed: Column) -> Column:
+    return F.array_join(F.zip_with(pos, hashed, lambda p, h: F.concat(p.cast("string"), F.lit(":"), F.hex(h))), " ")
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -77,28 +73,39 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprint of every text and of its edited text, with likenesses (see the op9 contract)."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    full = base.withColumn("prints", fingerprint(F.col("text")))
-    chain = written(next_ids(docs.select("doc_id", "text")), "winnow-next")
-    donor = chain.select(F.col("doc_id").alias("pred"), F.col("next_id"), "need")
-    gift = (full.join(donor, F.col("doc_id").eqNullSafe(F.col("next_id")))
-            .groupBy("pred").agg(F.min(F.struct(F.col("text").substr(F.lit(1), F.col("need")).alias("part"),
-                                                hashes(F.col("prints")).alias("own"))).alias("gift")))
+    """Fingerprint of every text and of its edited text, with likenesses (see the op9 contract).
+
+    A fingerprint travels as one plain array, positions then hashes (a third of the bytes of an array of
+    structs), and the id as (value or 0, is null).  So both joins read one exchange of the texts, and one
+    partitioning serves the aggregate and both joins."""
+    key = lambda c, *names: (F.coalesce(c, F.lit(0)).alias(names[0]), c.isNull().alias(names[1]))
+    doc = F.col("doc_id").cast("long")
+    flat = let(fingerprint(F.col("text")), lambda p: F.concat(
+        F.transform(p, lambda x: x["pos"].cast("long")), F.transform(p, lambda x: x["hash"])))
+    full = docs.select(*key(doc, "k", "no"), F.coalesce("text", F.lit("")).alias("text")).withColumn("flat", flat)
+    chain = written(next_ids(docs.select(doc.alias("doc_id"), "text")), "winnow-next")
+    donor = chain.select(*key(F.col("next_id"), "k", "no"), *key(F.col("doc_id"), "pk", "pno"), "need")
+    count = F.floor(F.size("flat") / 2).cast("int")
+    pos, hashed = F.slice("flat", F.lit(1), count), F.slice("flat", count + 1, count)
+    gift = (full.join(donor, ["k", "no"])
+            .groupBy("pk", "pno").agg(F.min(F.struct(F.col("text").substr(F.lit(1), F.col("need")).alias("part"),
+                                                     F.array_distinct(hashed).alias("own"))).alias("gift"))
+            .withColumnsRenamed({"pk": "k", "pno": "no"}))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("gift.part").substr(F.lit(1), half))
-    return (full.join(gift, F.col("doc_id").eqNullSafe(F.col("pred")), "left")
-            .select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "prints",
-                    hashes(F.col("prints")).alias("own"), F.col("gift.own").alias("next_own"))
-            .withColumn("edited_prints", fingerprint(F.col("edited")))
-            .select("doc_id", "n_chars", "edited", "prints", "edited_prints",
-                    likeness(F.col("own"), hashes(F.col("edited_prints"))).alias("near_edited"),
+    return (full.join(gift, ["k", "no"], "left")
+            .select(F.when(~F.col("no"), F.col("k")).alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"),
+                    pos.alias("pos"), hashed.alias("hash"), F.col("gift.own").alias("next_own"))
+            .withColumn("own", F.array_distinct("hash")).withColumn("edited_prints", fingerprint(F.col("edited")))
+            .select("doc_id", "n_chars", "edited", "pos", "hash", F.col("edited_prints.pos").alias("edited_pos"),
+                    F.col("edited_prints.hash").alias("edited_hash"),
+                    likeness(F.col("own"), F.array_distinct("edited_prints.hash")).alias("near_edited"),
                     likeness(F.col("own"), F.col("next_own")).alias("near_next")))
 
 
 def op9_winnowing(spark, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        printed(F.col("prints")).alias("fingerprint"), printed(F.col("edited_prints")).alias("edited_fingerprint"),
-        "near_edited", "near_next")
+        printed(F.col("pos"), F.col("hash")).alias("fingerprint"),
+        printed(F.col("edited_pos"), F.col("edited_hash")).alias("edited_fingerprint"), "near_edited", "near_next")
