@@ -4,7 +4,7 @@ A document is the set of its distinct word n-grams (64-bit hashes).  Two documen
 similarity of their sets reaches a threshold.  The result is the connected components of all links.
 
  1. Classes.  Documents with equal sets (known by a hash of the set, and its size) are one class; copies are
-    never compared or expanded.  Each class has a bitmap of its hashed n-grams, about two bits per n-gram.
+    never compared or expanded.  Each class has a bitmap of its hashed n-grams, four to eight bits per n-gram.
  2. Tiles.  A linked pair shares an n-gram among the first n - ceil(t n) + 1 of either set in any common
     order, and the smaller one has it among its first n - ceil(2t / (1 + t) n) + 1.  The order is rarest
     first, by a fixed-size table of hashed document counts over the whole corpus, so common passages do not
@@ -13,11 +13,13 @@ similarity of their sets reaches a threshold.  The result is the connected compo
     counts; pairs whose bound is too small are dropped.
  4. Exact.  The n-grams of both texts are intersected as sorted arrays.
 
-Pairs are found in two rounds, so a group of near copies is not expanded into all its pairs.  First the pairs
-of neighbours in size order of every tile are checked and their components formed.  A tile of two classes is
-then settled; a tile within one component needs nothing more.  What is left, classes of one tile in different
-components, is compared by bitmap in blocks of bounded size, and the pairs that pass are checked exactly.
-Every linked pair shares a tile, so no link between components can be missed.
+Pairs are found in rounds, so a group of near copies is not expanded into all its pairs.  First the pairs of
+neighbours in size order of every tile are checked and their components formed.  A tile of two classes is then
+settled; a tile within one component needs nothing more.  What is left, classes of one tile in different
+components, is compared by bitmap in blocks of bounded size; for each two components the pairs with the best
+bounds are checked exactly, components are formed anew, and where two are still apart the next round tries
+sixteen times more, until none is left untried.  Every linked pair shares a tile, so no link between components
+can be missed.
 
 Null or blank text: empty set, linked with nothing, its own component.  Fewer words than n: the whole
 sequence is the one n-gram.  Ties in order do not matter (prefixes include them).  Repeated rows are copies.
@@ -41,6 +43,7 @@ from ledgerlens.llm.substring_dedup import in_row, runs
 GRAM, NUM, DEN = 5, 75, 100
 SKETCH_BITS = 18
 BLOCK = 512
+MOST = 2                        # pairs tried first for each two components of a block; 16 times more next
 _NONE = -(1 << 63)
 
 
@@ -70,8 +73,8 @@ def set_hash(h: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def bitmap_width(size: np.ndarray) -> np.ndarray:
-    """Power of two of at least twice the size, 64 to 2**20."""
-    return 1 << np.clip(np.ceil(np.log2(np.maximum(2 * size, 1))), 6, 20).astype(np.int64)
+    """Power of two of at least four times the size, 64 to 2**20."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(4 * size, 1))), 6, 20).astype(np.int64)
 
 
 def bitmaps(h: np.ndarray, row: np.ndarray, size: np.ndarray) -> list[bytes]:
@@ -100,7 +103,7 @@ def enough(overlap, size_a, size_b, num: int, den: int):
 
 
 def _signatures(docs: DataFrame, gram: int) -> tuple[DataFrame, np.ndarray]:
-    """(per row: doc_id, n, c, bits) and the hashed counts of documents per n-gram."""
+    """(per row: doc_id, n, c) and the hashed counts of documents per n-gram."""
     parts = 16
 
     def scan(it):
@@ -108,17 +111,16 @@ def _signatures(docs: DataFrame, gram: int) -> tuple[DataFrame, np.ndarray]:
         for b in wd.bounded(it):
             h, row, size = sets_of(b["text"], gram)
             counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-            none = pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(size.astype(np.int32)), pa.array(set_hash(h, size).view(np.int64)),
-                 pa.array(bitmaps(h, row, size), pa.binary()), pa.nulls(b.num_rows, pa.int32()), none],
-                names=["doc_id", "n", "c", "bits", "part", "data"])
+                 pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())],
+                names=["doc_id", "n", "c", "part", "data"])
         v = vector_rows(counts, parts)
-        empty = [pa.nulls(parts, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*empty, v["part"], v["data"]], names=["doc_id", "n", "c", "bits", "part", "data"])
-    out = written(docs.mapInArrow(scan, "doc_id long, n int, c long, bits binary, part int, data binary"), "jaccard-sets")
+        empty = [pa.nulls(parts, t) for t in (pa.int64(), pa.int32(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*empty, v["part"], v["data"]], names=["doc_id", "n", "c", "part", "data"])
+    out = written(docs.mapInArrow(scan, "doc_id long, n int, c long, part int, data binary"), "jaccard-sets")
     sketch = sum_vectors(out.filter("part is not null").select("part", "data"), parts, "jaccard-counts")
-    return (out.filter("part is null").select("doc_id", "n", "c", "bits"),
+    return (out.filter("part is null").select("doc_id", "n", "c"),
             sketch if len(sketch) else np.zeros(1 << SKETCH_BITS, np.int64))
 
 
@@ -214,22 +216,61 @@ def _tiles(prefixes: DataFrame, num: int, den: int) -> DataFrame:
         stream, "kind byte, a long, b long, na long, nb long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, gram: int, num: int, den: int, name: str) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b, na, nb): bitmap bound first, then exact."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").cast("long").alias(f"n{x}"),
-                                    F.col("k").alias(f"k{x}"), F.col("bits").alias(f"bits_{x}"))
+def listed_only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among ``ids`` (one column): a filter before a shuffle, not a join.
+
+    The ids set bits of one map of 2**23 hashed places, at most 256 rows of 4 KB, which is broadcast whatever
+    the number of ids.  Rows that pass by chance are left to the join that follows."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23)) + 1
+    at = place(F.col(ids.columns[0]))
+    maps = (ids.select(F.bitmap_bucket_number(at).alias("bucket__"), F.bitmap_bit_position(at).alias("bit"))
+            .groupBy("bucket__").agg(F.bitmap_construct_agg("bit").alias("map__")))
+    own = place(F.col(key))
+    byte = F.substring(F.col("map__"), (F.floor(F.bitmap_bit_position(own) / 8) + 1).cast("int"), F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.bitmap_bit_position(own) % 8)
+    return (df.join(F.broadcast(maps), F.bitmap_bucket_number(own) == F.col("bucket__")).filter(bit == 1)
+            .select(*df.columns))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), "text")
+
+
+def _bitmaps_of(docs: DataFrame, classes: DataFrame, found: DataFrame, gram: int) -> DataFrame:
+    """(c, n, bits) of the classes that occur in ``found``, read from the texts that represent them."""
+    c = found.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("b"))).alias("c")).distinct()
+    k = classes.join(c, "c", "left_semi").select("k")
+
+    def draw(it):
+        for b in wd.bounded(it):
+            h, row, size = sets_of(b["text"], gram)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(set_hash(h, size).view(np.int64)), pa.array(size.astype(np.int32)), pa.array(bitmaps(h, row, size), pa.binary())],
+                names=["c", "n", "bits"])
+    drawn = listed_only(_texts(docs), "k", k).select("text").mapInArrow(draw, "c long, n int, bits binary")
+    return written(drawn.groupBy("c", "n").agg(F.first("bits").alias("bits")), "jaccard-bitmaps")
+
+
+def _bounded(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` (a, b, na, nb) whose bitmaps allow a link."""
+    def side(x):
+        return maps.select(F.col("c").alias(x), F.col("n").cast("long").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
 
     def bound(it):
         for b in it:
             na, nb = b["na"].to_numpy(), b["nb"].to_numpy()
             up = np.array([overlap_bound(x, y, p, q) for x, y, p, q in
                            zip(b["bits_a"].to_pylist(), b["bits_b"].to_pylist(), na.tolist(), nb.tolist())], np.int64)
-            yield b.filter(pa.array(enough(up, na, nb, num, den))).select(["a", "b", "ka", "kb"])
-    left = written(pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"])
-                   .select("a", "b", "na", "nb", "ka", "kb", "bits_a", "bits_b")
-                   .mapInArrow(bound, "a long, b long, ka long, kb long"), f"{name}-bounded")
-    if left.isEmpty():
-        return left.select("a", "b")
+            yield b.filter(pa.array(enough(up, na, nb, num, den))).select(["a", "b", "na", "nb"])
+    return written(pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"])
+                   .select("a", "b", "na", "nb", "bits_a", "bits_b")
+                   .mapInArrow(bound, "a long, b long, na long, nb long"), "jaccard-bounded")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, gram: int, num: int, den: int) -> DataFrame:
+    """The linked ones (a, b) of ``pairs`` (a, b, na, nb), by exact intersection of both texts' n-grams."""
+    def side(x):
+        return classes.select(F.col("c").alias(x), F.col("n").cast("long").alias(f"n{x}"), F.col("k").alias(f"k{x}"))
 
     def exact(it):
         for b in wd.bounded(it, "text_a", 4 << 20):
@@ -239,14 +280,61 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, gram: int,
             # an id that several texts share may bring a text of another class
             right = (set_hash(ha, sa).view(np.int64) == b["a"].to_numpy()) & (set_hash(hb, sb).view(np.int64) == b["b"].to_numpy())
             yield b.filter(pa.array(right & enough(both, sa, sb, num, den))).select(["a", "b"])
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("k"), "text")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    left = written(pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"]).select("a", "b", "ka", "kb"), "jaccard-ids")
+    text = listed_only(_texts(docs), "k", left.select(F.explode(F.array("ka", "kb")).alias("k")))
     a = left.join(text.withColumnsRenamed({"k": "ka", "text": "text_a"}), "ka")
     return written(a.join(text.withColumnsRenamed({"k": "kb", "text": "text_b"}), "kb").select("a", "b", "text_a", "text_b")
-                   .mapInArrow(exact, "a long, b long"), f"{name}-links")
-
-
-def _rest_of_tiles(tiles: DataFrame, labels: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of classes in one tile and different components whose bitmaps allow a link."""
+                   .mapInArrow(exact, "a long, b long"), "jaccard-links")
+
+
+def compare_block(m, c, comp, own, bits, one_block: bool, num: int, den: int, most: int) -> list[np.ndarray]:
+    """(a, b, na, nb, cut) of the pairs of a block in different components whose bitmaps allow a link: for
+    each two components the ``most`` best bounds; ``cut`` is 1 if there are more."""
+    n = m >> 1
+    order = np.lexsort((c, n))
+    m, n, c, comp, own = m[order], n[order], c[order], comp[order], own[order]
+    maps = [np.frombuffer(bits[i], np.uint64) for i in order]
+    wide = np.array([len(x) for x in maps])
+    stacks = {w: (np.flatnonzero(wide == w), np.stack([x for x in maps if len(x) == w])) for w in set(wide.tolist())}
+    low = np.searchsorted(den * n, num * n, "left")                 # sizes from here on are near enough
+    xs, ys, bounds = [], [], []
+    for y in range(1, len(n)):
+        own_map = maps[y]
+        for w in (wide[y], wide[y] // 2):                           # a smaller set's map is as wide or half as wide
+            if w not in stacks or not w:
+                continue
+            at, stack = stacks[w]
+            k = np.flatnonzero((at >= low[y]) & (at < y) & (m[at] & 1 == 1) & (comp[at] != comp[y])
+                               & (one_block | (own[at] != own[y])))
+            if len(k):
+                mine = own_map if len(own_map) == w else own_map[:w] | own_map[w:]
+                x = at[k]
+                up = np.minimum(n[x] - np.bitwise_count(stack[k] & ~mine).sum(1, dtype=np.int64),
+                                n[y] - np.bitwise_count(mine & ~stack[k]).sum(1, dtype=np.int64))
+                ok = enough(up, n[x], n[y], num, den)
+                xs.append(x[ok])
+                ys.append(np.full(int(ok.sum()), y))
+                bounds.append(up[ok])
+    if not xs:
+        return [np.zeros(0, np.int64)] * 5
+    x, y, up = np.concatenate(xs), np.concatenate(ys), np.concatenate(bounds)
+    lo, hi = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+    by = np.lexsort((c[y], c[x], -up / (n[x] + n[y] - up), hi, lo))
+    x, y, lo, hi = x[by], y[by], lo[by], hi[by]
+    head = np.ones(len(x), bool)
+    head[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    size = np.diff(np.append(np.flatnonzero(head), len(x)))
+    rank = np.arange(len(x)) - np.repeat(np.flatnonzero(head), size)
+    keep = rank < most
+    return [c[x][keep], c[y][keep], n[x][keep], n[y][keep], np.repeat(size > most, size)[keep].astype(np.int64)]
+
+
+def _rest_of_tiles(tiles: DataFrame, labels: DataFrame, maps: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """Pairs (tile, a, b, na, nb, cut) of classes in one tile and different components whose bitmaps allow a
+    link."""
+    names = ["tile", "a", "b", "na", "nb", "cut"]
     member = (tiles.join(labels.withColumnsRenamed({"node": "c"}), "c", "left")
               .select("tile", "c", "m", F.coalesce("component", "c").alias("comp")))
     member = written(member, "jaccard-members")
@@ -254,43 +342,34 @@ def _rest_of_tiles(tiles: DataFrame, labels: DataFrame, classes: DataFrame, num:
                                        F.bit_xor(F.xxhash64("c", "m")).alias("mark"))
             .filter("lo <> hi").groupBy("mark", "size").agg(F.min("tile").alias("tile")))       # equal tiles once
     live = written(live.select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "jaccard-live")
-    if live.isEmpty():
-        return live.select(*[F.lit(0).cast("long").alias(x) for x in ("a", "b", "na", "nb")]).limit(0)
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     dealt = (member.join(live, "tile").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "m", "c", "comp"))
-    dealt = dealt.join(classes.select("c", "n", "bits"), (dealt.c == classes.c) & (F.shiftright(dealt.m, 1) == classes.n)).select(
+    dealt = dealt.join(maps, (dealt.c == maps.c) & (F.shiftright(dealt.m, 1) == maps.n)).select(
         "tile", "i", "j", "own", "m", dealt.c, "comp", "bits")
 
     def compare(it):
-        def run(rows):
-            rows.sort(key=lambda r: (r[1], r[2]))             # by size
-            found = []
-            for y in range(1, len(rows)):
-                own_y, m_y, c_y, comp_y, bits_y = rows[y]
-                for x in range(y - 1, -1, -1):
-                    own_x, m_x, c_x, comp_x, bits_x = rows[x]
-                    na, nb = m_x >> 1, m_y >> 1
-                    if den * na < num * nb:
-                        break
-                    if comp_x != comp_y and m_x & 1 and (one_block or own_x != own_y) and enough(
-                            overlap_bound(bits_x, bits_y, na, nb), na, nb, num, den):
-                        found.append((c_x, c_y, na, nb))
-            return found
-        now, rows, one_block = None, [], True
+        def settle(key, held):
+            own, m, c, comp, bits = zip(*held)
+            pairs = compare_block(*(np.array(v, np.int64) for v in (m, c, comp, own)), bits, key[1] == key[2], num, den, most)
+            return [np.full(len(pairs[0]), key[0]), *pairs]
+        now, held = None, []                                        # one block of a tile: at most about 2 * BLOCK rows
         for b in it:
             out = []
-            for tile, i, j, own, m, c, comp, bits in zip(*(b[x].to_pylist() for x in b.schema.names)):
-                if (tile, i, j) != now:
-                    out += run(rows)
-                    now, rows, one_block = (tile, i, j), [], i == j
-                rows.append((own, m, c, comp, bits))
-            yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in out], pa.int64()) for x in range(4)], names=["a", "b", "na", "nb"])
-        out = run(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in out], pa.int64()) for x in range(4)], names=["a", "b", "na", "nb"])
-    return (dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-            .mapInArrow(compare, "a long, b long, na long, nb long").distinct())
+            for row in zip(*(b[x].to_pylist() for x in ("tile", "i", "j", "own", "m", "c", "comp", "bits"))):
+                if row[:3] != now:
+                    if held:
+                        out.append(settle(now, held))
+                    now, held = row[:3], []
+                held.append(row[3:])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], names=names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in settle(now, held)], names=names)
+    pairs = (dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+             .mapInArrow(compare, "tile long, a long, b long, na long, nb long, cut long"))
+    return written(pairs, "jaccard-rest")
 
 
 def jaccard_components(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -298,17 +377,28 @@ def jaccard_components(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, sketch = _signatures(docs, gram)
     classes = written(rows.filter("n > 0").groupBy("c", "n").agg(
-        F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("k"), F.first("bits").alias("bits")),
-        "jaccard-classes")
+        F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("k")), "jaccard-classes")
     found = written(_tiles(_prefixes(docs, sketch, gram, num, den), num, den), "jaccard-tiles")
-    near = found.filter("kind = 0").select("a", "b", "na", "nb").distinct()
-    links = _verified(near, classes, docs, gram, num, den, "jaccard-near")
+    pair = ["a", "b", "na", "nb"]
+    near = written(found.filter("kind = 0").select(*pair).distinct(), "jaccard-pairs")
+    maps = _bitmaps_of(docs, classes, found, gram)
+    links = _verified(_bounded(near, maps, num, den), classes, docs, gram, num, den)
     labels = connected_components(links, "jaccard-cc")
     tiles = found.filter("kind = 1").select(F.col("a").alias("tile"), F.col("b").alias("c"), F.col("na").alias("m"))
-    far = _rest_of_tiles(tiles, labels, classes, num, den)
-    more = _verified(far, classes, docs, gram, num, den, "jaccard-far")
-    if not more.isEmpty():
-        labels = connected_components(links.union(more), "jaccard-cc")
+    tried, most = near, MOST
+    while True:
+        rest = _rest_of_tiles(tiles, labels, maps, num, den, most)
+        far = written(rest.select(*pair).distinct().join(tried, pair, "left_anti"), "jaccard-far")
+        more = _verified(far, classes, docs, gram, num, den)
+        if not more.isEmpty():
+            links = written(links.union(more), "jaccard-links")
+            labels = connected_components(links, "jaccard-cc")
+        cut = written(rest.filter("cut = 1").select("tile").distinct(), "jaccard-cut")
+        if cut.isEmpty():                                           # every pair that is left has been tried
+            break
+        tiles = written(tiles.join(cut, "tile", "left_semi"), "jaccard-tiles")
+        tried = written(tried.union(far), "jaccard-tried")
+        most *= 16
     comp = (classes.select("c", "n", "least").join(labels.withColumnsRenamed({"node": "c"}), "c", "left")
             .select("c", "n", "least", F.coalesce("component", "c").alias("comp")))
     comp = written(comp, "jaccard-comp")
