@@ -7,11 +7,11 @@ codegen (regexes compile once per task) and need no Python worker.
 from __future__ import annotations
 
 import html
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schema import NULL_SENTINEL
 
@@ -26,14 +26,6 @@ ACCENTED_LETTERS = "àâäéèêëïîôùûüçœæ"
 # stripping maps them as follows (œ and æ have no decomposition and stay).
 ACCENT_FROM = "àâäéèêëïîôùûüç"
 ACCENT_TO = "aaaeeeeiiouuuc"
-# Named entities decoded by the Column form, in application order.  ``&amp;``
-# comes last so the ordered replacement equals one-pass decoding; legacy names
-# also decode without the trailing semicolon.
-ENTITY_MAP = (
-    ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "'"),
-    ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;?", " "), ("&copy;?", "©"),
-    ("&middot;?", "·"), ("&amp;?", "&"),
-)
 BREAK_TAG = r"(?i)<br" + WS_CLASS + r"*/?>"
 ANY_TAG = r"<[^>]+>"
 WORD_TOKEN = r"(?U)\b\w\w+\b"
@@ -48,27 +40,60 @@ def collapse_ws(col: str | Column) -> Column:
     return F.trim(F.regexp_replace(_c(col), WS_RUN, " "))
 
 
-def decode_entities(col: str | Column) -> Column:
-    """Decode the common named entities (ordered map, ``&amp;`` last)."""
-    out = _c(col)
-    for pattern, repl in ENTITY_MAP:
-        out = F.regexp_replace(out, pattern, repl)
-    return out
+def _entity_tables() -> tuple[str, str, dict[int, str]]:
+    """(JSON of all named references, pattern of those valid without a semicolon, odd code points).
+
+    All from the standard library's HTML5 table: nothing is listed here."""
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+    odd = {n: html.unescape(f"&#{n};") for n in range(0xA0)}
+    return json.dumps(html5), "^(" + "|".join(bare) + ")", {n: t for n, t in odd.items() if t != chr(n)}
+
+
+_NAMED, _BARE, _ODD = _entity_tables()
+
 
+def _code_point(n: Column) -> Column:
+    """Character of a numeric reference, by the HTML rules for invalid ones."""
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    odd = F.from_json(F.lit(json.dumps({str(k): v for k, v in _ODD.items()})), "map<string,string>")
+    low = n.bitwiseAND(0xFFFF)
+    return (F.when(n < 0xA0, F.coalesce(F.try_element_at(odd, n.cast("string")), char))
+            .when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\uFFFD"))
+            .when(n.between(0xFDD0, 0xFDEF) | (low >= 0xFFFE), F.lit(""))
+            .otherwise(char))
 
-@F.pandas_udf(T.StringType())
-def unescape_full(s: pd.Series) -> pd.Series:
-    """Full HTML5 entity table (numeric references too), Arrow-batched.
 
-    Optional slow path for inputs with entities outside ``ENTITY_MAP``."""
-    return s.map(lambda v: None if v is None else html.unescape(v))
+def _after_ampersand(p: Column) -> Column:
+    """Text after an ampersand, with a reference at its start decoded (else the ampersand is put back)."""
+    digits = F.regexp_extract(p, "^#([0-9]+);?", 1)
+    hexed = F.regexp_extract(p, "^#[xX]([0-9a-fA-F]+);?", 1)
+    number = F.when(digits != "", F.coalesce(digits.try_cast("bigint"), F.lit(0x110000))).otherwise(
+        F.when(F.length(F.ltrim(hexed, F.lit("0"))) > 6, F.lit(0x110000)).otherwise(F.conv(hexed, 16, 10).cast("bigint")))
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+    closed, bare = F.regexp_extract(p, "^[A-Za-z][A-Za-z0-9]*;", 0), F.regexp_extract(p, _BARE, 1)
+    tail = lambda head: F.substring(p, F.length(head) + 1, F.length(p))
+    return (F.when((digits != "") | (hexed != ""), F.concat(_code_point(number), F.regexp_replace(p, "^#([0-9]+|[xX][0-9a-fA-F]+);?", "")))
+            .when((closed != "") & F.try_element_at(named, closed).isNotNull(),
+                  F.concat(F.try_element_at(named, closed), tail(closed)))
+            .when(bare != "", F.concat(F.try_element_at(named, bare), tail(bare)))
+            .otherwise(F.concat(F.lit("&"), p)))
+
+
+def decode_entities(col: str | Column) -> Column:
+    """Decode all HTML character references in one pass: named ones (also the legacy ones without semicolon)
+    and numeric ones.  A text is cut at its ampersands; one without any is returned as it is."""
+    raw = _c(col)
+    parts = F.split(raw, "&", -1)
+    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(
+        F.transform(F.slice(parts, F.lit(2), F.size(parts)), _after_ampersand), ""))
+    return F.when(raw.contains("&"), decoded).otherwise(raw)
 
 
-def strip_html(col: str | Column, full_entities: bool = False) -> Column:
+def strip_html(col: str | Column) -> Column:
     """sentinel/empty → ""; decode entities; ``<br>`` → space; tags → space;
     collapse whitespace; trim."""
     raw = _c(col)
-    text = unescape_full(raw) if full_entities else decode_entities(raw)
+    text = decode_entities(raw)
     text = F.regexp_replace(text, BREAK_TAG, " ")
     text = F.regexp_replace(text, ANY_TAG, " ")
     return (F.when(raw.isNull() | (raw == "") | (raw == NULL_SENTINEL), F.lit(""))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.split import SMALL_ROWS
+from ..operators.split import LEAF_ROWS
 
 TOPK_VALUES = (1, 3, 5, 10)
 
@@ -197,12 +197,14 @@ def confidence_histogram(conf: DataFrame, col: str = "confidence", n_bins: int =
 
 # -------------------------------------------------------------- quantiles
 def kth_value(df: DataFrame, col: str, k: int, n: int, lo: float, hi: float,
-              small_rows: int = SMALL_ROWS, buckets: int = 1024) -> float:
+              leaf_rows: int = LEAF_ROWS, buckets: int = 1024) -> float:
     """Exact k-th smallest value (1-based) by distributed range refinement:
     bucket counts (partial aggregate) pick the bucket holding rank k, repeat
     on it until few candidates remain, then sort only those."""
     frame = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    while n > small_rows and lo < hi:
+    refined = False
+    while lo < hi and not (refined and n <= leaf_rows):
+        refined = True
         width = (hi - lo) / buckets
         b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
         counts = sorted((r["b"], r["c"]) for r in
@@ -223,7 +225,7 @@ def kth_value(df: DataFrame, col: str, k: int, n: int, lo: float, hi: float,
         lo, hi = float(st["lo"]), float(st["hi"])
     if lo == hi:
         return lo
-    w = Window.orderBy("v")        # bounded: at most small_rows candidates
+    w = Window.orderBy("v")        # bounded: at most leaf_rows candidates
     return float(frame.select("v", F.row_number().over(w).alias("rn"))
                  .filter(F.col("rn") == k).first()["v"])
 

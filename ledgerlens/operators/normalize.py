@@ -1,7 +1,7 @@
 """Ledger normalisation (P1-P12) and class-membership filters.
 
-``prepare_ledger`` is lazy and narrow (projections plus, optionally, one
-semi-join against per-class counts).  The eager guards of the original
+``prepare_ledger`` is narrow: projections and, if asked for, one broadcast
+semi-join against per-class counts (which are computed at once).  The eager guards of the original
 pipeline (all-zero amounts, empty result) are one aggregate in
 ``validate_ledger`` so a job runs them once, not per step.
 """
@@ -13,36 +13,76 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import REQUIRED_COLUMNS, TEXT_COLUMNS
+from ..session import written
+
+
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: Class tables up to this many rows are broadcast; their size is counted first.
+BROADCAST_CLASSES = 100_000
 
 
 def check_required_columns(df: DataFrame) -> None:
     """Raise when a required column is absent, listing absent and present."""
     absent = sorted(set(REQUIRED_COLUMNS) - set(df.columns))
     if absent:
-        raise ValueError(f"Missing columns: {absent}. Present: {sorted(df.columns)}")
+        raise ValueError(f"a ledger needs the columns {', '.join(absent)}; this one has {', '.join(sorted(df.columns))}")
 
 
 def coerce_amount(df: DataFrame, col: str) -> Column:
-    """To DOUBLE, unparseable or missing → 0."""
+    """To DOUBLE; missing, unparseable or not finite → 0.
+
+    Only plain decimal and exponent notation counts as a number: the cast itself would also take type
+    suffixes (``12d``) and the names of special values."""
     c = F.col(col)
     if isinstance(df.schema[col].dataType, T.StringType):
-        c = c.try_cast("double")
+        c = F.when(F.trim(c).rlike(NUMBER), F.trim(c).try_cast("double"))
     else:
         c = c.cast("double")
-    return F.coalesce(c, F.lit(0.0))
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0.0)).otherwise(F.coalesce(c, F.lit(0.0)))
+
 
+#: Day patterns tried for text that is not ISO, in order.
+DATE_FORMATS = ("dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "yyyyMMdd")
 
-def coerce_date(df: DataFrame, col: str) -> Column:
-    """To TIMESTAMP_NTZ, unparseable → null (ISO date or date-time text)."""
+
+def coerce_date(df: DataFrame, col: str, date_format: str | None = None) -> Column:
+    """To TIMESTAMP_NTZ, unparseable → null.  Text is an ISO date or date-time, or in ``date_format``."""
     dtype = df.schema[col].dataType
     c = F.col(col)
     if isinstance(dtype, T.StringType):
-        return F.try_to_timestamp(F.trim(c)).cast("timestamp_ntz")
+        given = F.trim(c)
+        parsed = F.try_to_timestamp(given) if date_format is None else F.try_to_timestamp(given, F.lit(date_format))
+        return parsed.cast("timestamp_ntz")
     if isinstance(dtype, T.TimestampNTZType):
         return c
     return c.cast("timestamp_ntz")
 
 
+def infer_date_format(df: DataFrame, col: str = "posting_date") -> str | None:
+    """The one format that reads most rows of a text column, from one aggregate: None (ISO) on a tie with
+    it, else the first of ``DATE_FORMATS``.  A column has one format; rows in another stay undated."""
+    if not isinstance(df.schema[col].dataType, T.StringType):
+        return None
+    formats = [None, *DATE_FORMATS]
+    read = df.agg(*[F.count(coerce_date(df, col, f)).alias(str(i)) for i, f in enumerate(formats)]).first()
+    return formats[max(range(len(formats)), key=lambda i: (read[i], -i))]
+
+
+def with_key(df: DataFrame, key: str = "txn_id") -> DataFrame:
+    """Add a stable key to rows that have none: a hash of the content and the ordinal among equal rows.
+
+    Equal rows are counted by a partial aggregate, so a row repeated very often moves as one row per task,
+    and dealt out again in runs of at most 1,000."""
+    if key in df.columns:
+        return df
+    cols = df.columns
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    runs = counted.withColumn("__run", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / 1000))))
+    width = F.least(F.lit(1000), F.col("__n") - F.col("__run") * 1000)
+    rows = runs.withColumn("__at", F.explode(F.sequence(F.lit(0), (width - 1).cast("int"))))
+    return rows.select(F.xxhash64(*cols, F.col("__run") * 1000 + F.col("__at")).alias(key), *cols)
+
+
 def target_prefix(col: str | Column = "account_code", length: int = 6) -> Column:
     """Classification target = account-code prefix."""
     c = F.col(col) if isinstance(col, str) else col
@@ -58,23 +98,35 @@ def filter_rare_classes(df: DataFrame, min_class_samples: int | None,
                         target: str = "target") -> DataFrame:
     """Keep classes with at least ``min_class_samples`` rows.
 
-    The per-class count table is small (one row per class) and AQE turns the
-    semi-join into a broadcast at runtime from its measured size; the big side
-    is never shuffled by class, so a hot class cannot concentrate in one task."""
+    The class table (a row per class) is written once; counted small, it is broadcast, and the ledger is
+    not shuffled by class, so a hot class cannot concentrate in one task."""
     if min_class_samples is None or min_class_samples <= 1:
         return df
     kept = class_counts(df, target).filter(F.col("n_rows") >= min_class_samples).select(target)
-    return df.join(kept, on=target, how="left_semi")
+    return _by_class(df, kept, target, "left_semi")
+
+
+def _by_class(df: DataFrame, classes: DataFrame, target: str, how: str) -> DataFrame:
+    """Join the ledger to a table of classes without moving the ledger, if the table is counted small.
+    A larger one is joined by shuffle, where adaptive execution splits hot classes."""
+    classes = written(classes, "classes")
+    if classes.count() <= BROADCAST_CLASSES:
+        classes = F.broadcast(classes)
+    return df.join(classes, on=target, how=how)
 
 
 def prepare_ledger(df: DataFrame, target_length: int = 6,
-                   min_class_samples: int | None = None) -> DataFrame:
-    """Coerce amounts and dates, fill text nulls, derive ``target``, drop rare classes."""
+                   min_class_samples: int | None = None, date_format: str | None = None) -> DataFrame:
+    """Coerce amounts and dates, fill text nulls, derive ``target``, drop rare classes.
+
+    ``date_format``: pattern of text dates (None: ISO; "infer": the one that reads most rows)."""
     check_required_columns(df)
+    if date_format == "infer":
+        date_format = infer_date_format(df)
     replaced = {
         "debit": coerce_amount(df, "debit"),
         "credit": coerce_amount(df, "credit"),
-        "posting_date": coerce_date(df, "posting_date"),
+        "posting_date": coerce_date(df, "posting_date", date_format),
         **{c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TEXT_COLUMNS},
     }
     cols = []
@@ -100,14 +152,22 @@ def validate_ledger(df: DataFrame) -> int:
     """Run the P3 / P8 guards in one job; returns the row count."""
     row = ledger_checks(df).first()
     if row["n_rows"] == 0:
-        raise ValueError("No rows remain after class-frequency filtering. "
-                         "Lower min_class_samples or check the source data.")
+        raise ValueError("the ledger is empty: no row was read, or min_class_samples left no class")
     if not row["has_amounts"]:
-        raise ValueError("Both debit and credit are entirely zero after conversion — "
-                         "verify that the source data contains valid numeric amounts.")
+        raise ValueError("no row of the ledger has an amount: debit and credit are 0 or unreadable throughout")
     return int(row["n_rows"])
 
 
+def load_ledger(raw: DataFrame, target_length: int = 6, min_class_samples: int | None = None,
+                date_format: str | None = "infer") -> DataFrame:
+    """Rows as a source delivers them → checked ledger: a key if they have none (P1-P11), then the guards
+    P3 and P8 once.  The ledger is written before the check, so the source is read once."""
+    check_required_columns(raw)
+    out = written(prepare_ledger(with_key(raw), target_length, min_class_samples, date_format), "ledger")
+    validate_ledger(out)
+    return out
+
+
 def with_amount(df: DataFrame) -> DataFrame:
     """amount = debit + credit, nulls as 0."""
     return df.withColumn("amount", F.coalesce(F.col("debit"), F.lit(0.0))
@@ -125,12 +185,12 @@ def known_classes(train: DataFrame, target: str = "target") -> DataFrame:
 
 def keep_known_classes(val: DataFrame, train: DataFrame, target: str = "target") -> DataFrame:
     """Validation rows whose class was seen in training (semi-join)."""
-    return val.join(known_classes(train, target), on=target, how="left_semi")
+    return _by_class(val, known_classes(train, target), target, "left_semi")
 
 
 def unseen_class_rows(val: DataFrame, train: DataFrame, target: str = "target") -> DataFrame:
     """J2 complement: validation rows with a class absent from training (anti-join)."""
-    return val.join(known_classes(train, target), on=target, how="left_anti")
+    return _by_class(val, known_classes(train, target), target, "left_anti")
 
 
 def label_table(train: DataFrame, target: str = "target") -> DataFrame:
@@ -146,7 +206,7 @@ def label_table(train: DataFrame, target: str = "target") -> DataFrame:
 
 def encode_labels(df: DataFrame, labels: DataFrame, target: str = "target") -> DataFrame:
     """J3 encode: inner join to the label table (drops unknown classes)."""
-    return df.join(labels.withColumnRenamed("code", target), on=target, how="inner")
+    return _by_class(df, labels.withColumnRenamed("code", target), target, "inner")
 
 
 def decode_labels(df: DataFrame, labels: DataFrame, label_col: str = "prediction",

@@ -9,7 +9,7 @@ the boundary row is located instead by distributed selection:
    a partial aggregate, so even a day holding a third of all rows is split
    over every task -- and only the bucket holding rank ``k`` is kept;
 3. step 2 repeats on that bucket (width shrinks 1,024-fold per pass) until at
-   most ``small_rows`` candidates remain, then ``row_number`` over those few
+   most ``leaf_rows`` candidates remain, then ``row_number`` over those few
    rows names the exact boundary ``(micros, txn_id)``.
 
 The split itself is then a narrow filter on the boundary: no shuffle, no sort.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .normalize import drop_undated
 
 BUCKETS = 1024
-SMALL_ROWS = 100_000
+LEAF_ROWS = 100_000     # candidates of one bucket that are sorted at once
 _T = "__t_us"   # order key 1: microseconds since epoch
 
 
@@ -51,13 +51,14 @@ def _micros(date_col: str) -> Column:
 
 
 def _locate(frame: DataFrame, keys: list[str], k: int, lo: int, hi: int, n: int,
-            small_rows: int) -> dict:
+            leaf_rows: int, refined: bool = False) -> dict:
     """Values of ``keys`` of the k-th row (1-based) of ``frame`` in key order.
 
-    ``frame`` holds only rows with keys[0] in [lo, hi] and has ``n`` rows."""
+    ``frame`` holds only rows with keys[0] in [lo, hi] and has ``n`` rows.  It is always refined by bucket
+    counts first; only what one bucket leaves is sorted."""
     while True:
-        if n <= small_rows:
-            w = Window.orderBy(*keys)   # bounded: at most small_rows rows
+        if refined and n <= leaf_rows:
+            w = Window.orderBy(*keys)   # bounded: at most leaf_rows rows
             row = (frame.select(*keys, F.row_number().over(w).alias("__rn"))
                    .filter(F.col("__rn") == k).first())
             return {c: row[c] for c in keys}
@@ -66,7 +67,7 @@ def _locate(frame: DataFrame, keys: list[str], k: int, lo: int, hi: int, n: int,
                 return {keys[0]: lo}
             rest = keys[1:]
             st = frame.agg(F.min(rest[0]).alias("lo"), F.max(rest[0]).alias("hi")).first()
-            found = _locate(frame, rest, k, int(st["lo"]), int(st["hi"]), n, small_rows)
+            found = _locate(frame, rest, k, int(st["lo"]), int(st["hi"]), n, leaf_rows)
             return {keys[0]: lo, **found}
         width = max(1, math.ceil((hi - lo + 1) / BUCKETS))
         bucket = F.floor((F.col(keys[0]) - F.lit(lo)) / F.lit(width)).cast("long")
@@ -81,10 +82,11 @@ def _locate(frame: DataFrame, keys: list[str], k: int, lo: int, hi: int, n: int,
         n = c
         lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
         frame = frame.filter(F.col(keys[0]).between(lo, hi))
+        refined = True
 
 
 def find_boundary(df: DataFrame, train_ratio: float = 0.80, date_col: str = "posting_date",
-                  key: str = "txn_id", small_rows: int = SMALL_ROWS) -> SplitBoundary:
+                  key: str = "txn_id", leaf_rows: int = LEAF_ROWS) -> SplitBoundary:
     """Locate the last training row of the chronological split (see module doc)."""
     if not 0.0 <= train_ratio <= 1.0:
         raise ValueError("train_ratio must be within [0, 1]")
@@ -98,7 +100,7 @@ def find_boundary(df: DataFrame, train_ratio: float = 0.80, date_col: str = "pos
     n_train = int(n * train_ratio)
     if n_train <= 0:
         return SplitBoundary(n, 0, None, None)
-    found = _locate(keyed, [_T, key], n_train, int(st["lo"]), int(st["hi"]), n, small_rows)
+    found = _locate(keyed, [_T, key], n_train, int(st["lo"]), int(st["hi"]), n, leaf_rows)
     return SplitBoundary(n, n_train, int(found[_T]), int(found[key]))
 
 

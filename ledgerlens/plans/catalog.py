@@ -185,6 +185,27 @@ def q_split_stats(spark, sf):
     return sp.split_stats(labelled_ledger(spark, sf))
 
 
+@query("split_undated", O.raw_split_sql("""
+SELECT txn_id, part FROM labelled"""))
+def q_split_undated(spark, sf):
+    """W1 + P9 on the ledger as delivered: rows without a readable date are in neither part."""
+    led = prepared(spark, sf)
+    return sp.label_split(led, sp.find_boundary(led, TRAIN_RATIO)).select("txn_id", "part")
+
+
+@query("split_stats_undated", O.raw_split_sql("""
+SELECT (SELECT count(*) FROM labelled) AS total_rows,
+       (SELECT count(*) FROM labelled WHERE part = 'train') AS train_rows,
+       (SELECT count(*) FROM labelled WHERE part = 'val') AS val_rows,
+       (SELECT count(*) FROM prepared WHERE posting_date IS NULL) AS n_undated"""))
+def q_split_stats_undated(spark, sf):
+    """M6 with rows that carry no readable date."""
+    led = prepared(spark, sf)
+    undated = led.filter(F.col("posting_date").isNull()).count()
+    lab = sp.label_split(led, sp.find_boundary(led, TRAIN_RATIO))
+    return sp.split_stats(lab, undated).select("total_rows", "train_rows", "val_rows", "n_undated")
+
+
 @query("classes_shared", O.split_sql("""
 SELECT target FROM labelled WHERE part = 'train' INTERSECT
 SELECT target FROM labelled WHERE part = 'val'"""))
@@ -380,9 +401,9 @@ def q_sepa_presence(spark, sf):
     + ", ".join(f"{e} AS {n}" for n, e in _MODE_SQL) + " FROM prepared"))
 def q_txn_mode(spark, sf):
     dom = domain()
-    pre = dom.prepare(nz.with_amount(prepared(spark, sf))).withColumn("txn_mode", dom.mode_column())
-    fc = dict(p for p in dom.family_columns(mode_col="txn_mode")["structured"])
-    return pre.select("txn_id", "txn_mode", *[fc[n].alias(n) for n in _MODE_NAMES])
+    pre = dom.prepare(nz.with_amount(prepared(spark, sf)))
+    fc = dict(p for p in dom.family_columns()["structured"])
+    return pre.select("txn_id", F.col(dom._MODE).alias("txn_mode"), *[fc[n].alias(n) for n in _MODE_NAMES])
 
 
 @query("domestic_iban", O.prepared_sql(

@@ -13,11 +13,14 @@ from ..operators.profile import Profile
 LEDGER_CTE = """
 ledger AS (
  SELECT o_orderkey AS txn_id,
-  concat(substring(o_orderpriority, 1, 1),
+  concat(CASE WHEN o_orderkey % 13 = 0 THEN substring(o_orderpriority, 1, 1)
+              ELSE CAST(o_orderkey % 15 // 3 + 1 AS VARCHAR) END,
          CASE o_orderstatus WHEN 'O' THEN '01' WHEN 'F' THEN '11' ELSE '27' END,
-         '0', CAST(n_regionkey AS VARCHAR),
-         CASE WHEN year(o_orderdate) >= 2001 AND substring(o_orderpriority, 1, 1) = '5' THEN '9'
-              WHEN year(o_orderdate) < 1996 AND substring(o_orderpriority, 1, 1) = '4' THEN '8'
+         '0', CAST(o_orderkey % 10 // 2 AS VARCHAR),
+         CASE WHEN year(o_orderdate) >= 2001 AND (CASE WHEN o_orderkey % 13 = 0
+                THEN substring(o_orderpriority, 1, 1) ELSE CAST(o_orderkey % 15 // 3 + 1 AS VARCHAR) END) = '5' THEN '9'
+              WHEN year(o_orderdate) < 1996 AND (CASE WHEN o_orderkey % 13 = 0
+                THEN substring(o_orderpriority, 1, 1) ELSE CAST(o_orderkey % 15 // 3 + 1 AS VARCHAR) END) = '4' THEN '8'
               ELSE '0' END) AS account_code,
   concat(CASE o_orderkey % 15 WHEN 0 THEN 'PRLV SEPA EDF ' WHEN 1 THEN 'VIR RECU '
          WHEN 2 THEN 'URSSAF COTISATIONS ' WHEN 3 THEN 'PAIEMENT CB ' WHEN 4 THEN 'Loyer '
@@ -60,10 +63,13 @@ LEDGER_RAW_CTE = """
 ledger_raw AS (
  SELECT CAST(txn_id AS VARCHAR) AS txn_id, account_code,
   CASE WHEN txn_id % 43 = 0 THEN NULL ELSE description END AS description,
-  CASE WHEN txn_id % 17 = 0 THEN NULL WHEN txn_id % 19 = 0 THEN 'N/A' ELSE remarks END AS remarks,
+  CASE WHEN txn_id % 17 = 0 THEN NULL WHEN txn_id % 19 = 0 THEN 'N/A'
+       WHEN txn_id % 53 = 0 THEN 'R&eacute;glement &euro; 5 &#233; a&ltimes;b &eacutex &#x20AC;2 &amp;amp; &unknown; LIB: R&eacute;f <br>'
+       ELSE remarks END AS remarks,
   CASE WHEN txn_id % 47 = 0 THEN 'NULL' ELSE reference END AS reference,
   CASE WHEN txn_id % 11 = 0 THEN 'abc' WHEN txn_id % 23 = 0 THEN ' 12.5 '
-       WHEN txn_id % 37 = 0 THEN '1e3' ELSE CAST(debit AS VARCHAR) END AS debit,
+       WHEN txn_id % 37 = 0 THEN '1e3' WHEN txn_id % 59 = 0 THEN 'NaN' WHEN txn_id % 61 = 0 THEN '12d'
+       WHEN txn_id % 67 = 0 THEN 'Infinity' ELSE CAST(debit AS VARCHAR) END AS debit,
   CASE WHEN txn_id % 13 = 0 THEN NULL ELSE CAST(credit AS VARCHAR) END AS credit,
   CASE WHEN txn_id % 29 = 0 THEN '2025-13-99' WHEN txn_id % 31 = 0 THEN '15/01/2025'
        WHEN txn_id % 41 = 0 THEN NULL ELSE strftime(posting_date, '%Y-%m-%d') END AS posting_date
@@ -74,8 +80,10 @@ prepared AS (
  SELECT CAST(txn_id AS BIGINT) AS txn_id, account_code,
   coalesce(description, '') AS description, coalesce(remarks, '') AS remarks,
   coalesce(reference, '') AS reference,
-  coalesce(TRY_CAST(debit AS DOUBLE), 0.0) AS debit,
-  coalesce(TRY_CAST(credit AS DOUBLE), 0.0) AS credit,
+  CASE WHEN regexp_full_match(trim(debit), '[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?')
+       THEN coalesce(TRY_CAST(trim(debit) AS DOUBLE), 0.0) ELSE 0.0::DOUBLE END AS debit,
+  CASE WHEN regexp_full_match(trim(credit), '[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?')
+       THEN coalesce(TRY_CAST(trim(credit) AS DOUBLE), 0.0) ELSE 0.0::DOUBLE END AS credit,
   TRY_CAST(trim(posting_date) AS TIMESTAMP) AS posting_date,
   substring(account_code, 1, 6) AS target
  FROM ledger_raw)"""
@@ -91,6 +99,15 @@ labelled AS (
  FROM ranked)"""
 
 
+RAW_SPLIT_CTE = """
+ranked AS (
+ SELECT *, row_number() OVER (ORDER BY posting_date, txn_id) AS rn,
+        count(*) OVER () AS n FROM prepared WHERE posting_date IS NOT NULL),
+labelled AS (
+ SELECT * EXCLUDE (rn, n), CASE WHEN rn <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'val' END AS part
+ FROM ranked)"""
+
+
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + body
 
@@ -111,6 +128,10 @@ def split_sql(body: str) -> str:
     return with_ctes(LEDGER_CTE, SPLIT_CTE, body=body)
 
 
+def raw_split_sql(body: str) -> str:
+    return with_ctes(LEDGER_CTE, LEDGER_RAW_CTE, PREPARED_CTE, RAW_SPLIT_CTE, body=body)
+
+
 # ------------------------------------------------------------- text (SQL form)
 WS = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
@@ -122,7 +143,8 @@ def sql_collapse(expr: str) -> str:
 
 def sql_decode(expr: str) -> str:
     out = expr
-    for pat, rep in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "'"),
+    for pat, rep in (("&ltimes;", "⋉"), ("&eacute;?", "é"), ("&euro;", "€"), ("&#233;?", "é"), ("&#x20AC;?", "€"),
+                     ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "'"),
                      ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;?", " "),
                      ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
         rep_sql = rep.replace("'", "''")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every ledgerlens job relies on.  AQE re-plans joins and coalesces
 # small shuffle partitions at runtime; skew-join splits hot partitions.
@@ -52,12 +53,14 @@ _PRIVATE: dict[str, str] = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is given by the deployment and only read here.
-    When it is unset (local runs) a private folder is created once per
-    application and used instead."""
+    On a cluster the folder is given by the deployment and only read here; without it a job stops, since
+    executors could not see a folder of this machine.  Only a local session (one JVM, as in tests) gets a
+    private folder, once per application."""
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = sc.applicationId
         if app not in _PRIVATE:
             _PRIVATE[app] = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
@@ -70,3 +73,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: computed once, with a measured size."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,19 +37,18 @@ def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv_ledger(spark: SparkSession, path: str, target_length: int = 6,
                     min_class_samples: int | None = None) -> DataFrame:
-    """CSV ledger → normalised ledger."""
-    from ..operators.normalize import prepare_ledger
-    return prepare_ledger(read_csv_strings(spark, path), target_length=target_length,
-                          min_class_samples=min_class_samples)
+    """CSV ledger → keyed, normalised and checked ledger."""
+    from ..operators.normalize import load_ledger
+    return load_ledger(read_csv_strings(spark, path), target_length, min_class_samples)
 
 
 def read_table_ledger(spark: SparkSession, name_or_path: str, fmt: str | None = None,
                       target_length: int = 6,
                       min_class_samples: int | None = None) -> DataFrame:
-    """Catalog table, Parquet or ORC ledger → normalised ledger."""
-    from ..operators.normalize import prepare_ledger
+    """Catalog table, Parquet or ORC ledger → keyed, normalised and checked ledger."""
+    from ..operators.normalize import load_ledger
     if fmt is None:
         raw = spark.read.table(name_or_path)
     else:
         raw = spark.read.format(fmt).load(name_or_path)
-    return prepare_ledger(raw, target_length=target_length, min_class_samples=min_class_samples)
+    return load_ledger(raw, target_length, min_class_samples)

@@ -1,7 +1,8 @@
-"""JDBC ledger source with an enforced row limit."""
+"""JDBC ledger source, whole or with an explicit row limit."""
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +14,15 @@ LIMIT_PLACEHOLDER = "%(limit)s"
 class JdbcLedgerSource:
     """A database query as a ledger source.
 
-    The query must carry the ``%(limit)s`` placeholder so the row limit is
-    enforced inside the database; ``.limit`` repeats it on the Spark side.
-    For parallel reads give ``partition_column`` with bounds: the query is then
-    wrapped as a sub-select and Spark issues ``num_partitions`` range queries.
+    Whole by default.  A row limit is opt-in (``row_limit``); it is put in the place of ``%(limit)s`` in the
+    query, so the database applies it, and ``read`` says so when it cut.  For parallel reads give
+    ``partition_column`` with bounds: the query becomes a sub-select that Spark reads by ranges.  A limit and
+    ranges exclude each other, since every range would apply the limit to rows of its own.
     """
 
     url: str
     query: str
-    row_limit: int = 500_000
+    row_limit: int | None = None
     properties: dict = field(default_factory=dict)
     partition_column: str | None = None
     lower_bound: int | None = None
@@ -30,22 +31,26 @@ class JdbcLedgerSource:
     fetch_size: int = 10_000
 
     def __post_init__(self) -> None:
-        if LIMIT_PLACEHOLDER not in self.query:
-            raise ValueError("query must contain a %(limit)s placeholder so row_limit is enforced")
-        if self.row_limit <= 0:
-            raise ValueError("row_limit must be positive")
+        limited = LIMIT_PLACEHOLDER in self.query
+        if limited != (self.row_limit is not None):
+            raise ValueError(f"row_limit and {LIMIT_PLACEHOLDER} in the query go together")
+        if self.row_limit is not None and self.row_limit < 1:
+            raise ValueError("a row_limit of less than one row reads nothing")
+        if self.partition_column:
+            if limited:
+                raise ValueError("a limited query cannot be read by ranges")
+            if None in (self.lower_bound, self.upper_bound, self.num_partitions):
+                raise ValueError("partitioned reads need lower_bound, upper_bound, num_partitions")
 
     def bound_query(self) -> str:
-        return self.query.replace(LIMIT_PLACEHOLDER, str(int(self.row_limit)))
+        return self.query.replace(LIMIT_PLACEHOLDER, str(self.row_limit))
 
     def options(self) -> dict[str, str]:
         opts = {"url": self.url, "fetchsize": str(self.fetch_size)}
         opts.update({k: str(v) for k, v in self.properties.items()})
         if self.partition_column:
-            if None in (self.lower_bound, self.upper_bound, self.num_partitions):
-                raise ValueError("partitioned reads need lower_bound, upper_bound, num_partitions")
             opts.update({
-                "dbtable": f"({self.bound_query()}) ledger_src",
+                "dbtable": f"({self.query}) ledger_src",
                 "partitionColumn": self.partition_column,
                 "lowerBound": str(self.lower_bound),
                 "upperBound": str(self.upper_bound),
@@ -56,10 +61,12 @@ class JdbcLedgerSource:
         return opts
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.format("jdbc").options(**self.options()).load().limit(self.row_limit)
+        out = spark.read.format("jdbc").options(**self.options()).load()
+        if self.row_limit is not None and out.count() >= self.row_limit:
+            warnings.warn(f"the row limit of {self.row_limit} was reached: rows may be missing", stacklevel=2)
+        return out
 
     def fetch(self, spark: SparkSession, min_class_samples: int | None = 10,
               target_length: int = 6) -> DataFrame:
-        from ..operators.normalize import prepare_ledger
-        return prepare_ledger(self.read(spark), target_length=target_length,
-                              min_class_samples=min_class_samples)
+        from ..operators.normalize import load_ledger
+        return load_ledger(self.read(spark), target_length, min_class_samples)

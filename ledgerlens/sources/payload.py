@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.normalize import coerce_amount, with_key
 from ..schema import PAYLOAD_DEFAULTS, PAYLOAD_MAX_LENGTHS
 
 # Numbers are read as text and coerced, so "12.5" and 12.5 both parse.
@@ -27,17 +28,19 @@ def parse_payload(df: DataFrame, json_col: str = "payload", keep: list[str] | No
         v = rec[c]
         return v if default is None else F.coalesce(v, F.lit(default))
 
-    def amount(c: str) -> Column:
-        return F.coalesce(F.expr(f"try_cast(`__rec`.`{c}` AS DOUBLE)"), F.lit(0.0))
-
-    return (df.select(*keep_cols, F.from_json(F.col(json_col), _WIRE_SCHEMA).alias("__rec"))
+    parsed = (df.select(*keep_cols, F.from_json(F.col(json_col), _WIRE_SCHEMA).alias("__rec"))
               .select(*keep_cols,
                       text("description").alias("description"),
                       text("remarks").alias("remarks"),
                       text("reference").alias("reference"),
-                      amount("debit").alias("debit"),
-                      amount("credit").alias("credit"),
+                      rec["debit"].alias("debit"), rec["credit"].alias("credit"),
                       F.try_to_timestamp(F.col("__rec.posting_date")).alias("posting_date")))
+    return parsed.withColumns({c: coerce_amount(parsed, c) for c in ("debit", "credit")})
+
+
+def read_payload(df: DataFrame, json_col: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """JSON records → (records to score, records set aside with their violations), each with a ``txn_id``."""
+    return split_payload(with_key(parse_payload(df, json_col, keep=[c for c in df.columns if c == "txn_id"])))
 
 
 def payload_violations(df: DataFrame) -> Column:

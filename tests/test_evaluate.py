@@ -61,7 +61,7 @@ def test_topk_and_histogram(pred, local):
 def test_exact_median_refinement(spark):
     df = spark.range(1009).select((F.col("id") * 7 % 1009).cast("double").alias("v"))
     st = df.agg(F.min("v"), F.max("v")).first()
-    assert ev.kth_value(df, "v", 500, 1009, st[0], st[1], small_rows=10) == 499.0
+    assert ev.kth_value(df, "v", 500, 1009, st[0], st[1], leaf_rows=10) == 499.0
 
 
 def test_calibration_excludes_one(spark):

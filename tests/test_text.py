@@ -88,3 +88,13 @@ def test_clean_for_extraction_keeps_tags(spark):
     df = spark.createDataFrame([("NBE:Jean&nbsp;Dupont<br />LIB:X",), ("nan",), (None,)], "t string")
     got = [r[0] for r in df.select(tx.clean_for_extraction("t")).collect()]
     assert got == ["NBE:Jean Dupont<br />LIB:X", "", ""]
+
+
+def test_entities_as_the_standard_library(spark):
+    import html
+    from ledgerlens.functions.text import decode_entities
+    texts = ["R&eacute;glement &euro; 5 &#233;", "&ltimes; &lt &ltx &lt;b&gt;", "&amp;amp; &amp", "&#0; &#128; &#x80; &#xD800; &#1114112;",
+             "&#x1F600; &#99999999999999; &#xfffffffffff; &#11; &#xFFFE; &#xFDD0;", "&notit; &notin; &unknown; & &&", "&", "", "plain", "&#; &#x; &#xZ;",
+             "&CounterClockwiseContourIntegral; &eacutex &EACUTE;", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", decode_entities("t").alias("d")).collect()
+    assert {r["i"]: r["d"] for r in rows} == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
