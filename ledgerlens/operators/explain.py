@@ -10,6 +10,8 @@ aggregate keyed by feature.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,87 @@ def explain_linear(df: DataFrame, x_col: str, weights: list[list[float]],
         "top", top_contributions(contributions(x, w, m, F.col("__cls"), len(weights[0])), n))
 
 
+def explain_fitted(model, df: DataFrame, keep: list[str], target_class: str | None = None,
+                   n: int = TOP_N) -> DataFrame:
+    """X1-X3 for a fitted linear ``LedgerModel``: ``keep``, ``code`` (the predicted class, or the chosen one),
+    ``margin`` = score(x) - score(mean), ``total`` = sum of all contributions (equal to it), and ``top``, the
+    ``n`` largest contributions with feature names.
+
+    Coefficients (classes x features) and means are sent once per task; a batch is a few matrix products."""
+    coef, means, names, classes = _linear_parts(model)
+    if target_class is not None and target_class not in classes:
+        raise ValueError(f"this model has no class {target_class!r}")
+    x = model.features.transform(df, keep=keep)
+    intercept = model.classifier.interceptVector.toArray()
+    shared = df.sparkSession.sparkContext.broadcast((coef, means, intercept, names))
+    chosen = None if target_class is None else classes.index(target_class)
+    top = "array<struct<feature:string,value:double,contribution:double>>"
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields if f.name in keep)
+
+    def run(batches):
+        w, m, b, label = shared.value
+        label = pa.array(label, pa.string())
+        for batch in batches:
+            vec = batch["features"]
+            idx, val = vec.field("indices"), vec.field("values")
+            at = idx.offsets.to_numpy()
+            col, num = idx.values.to_numpy(), val.values.to_numpy()
+            for lo in range(0, batch.num_rows, 256):
+                hi = min(batch.num_rows, lo + 256)
+                dense = np.zeros((hi - lo, len(m)))
+                row = np.repeat(np.arange(hi - lo), np.diff(at[lo:hi + 1]))
+                dense[row, col[at[lo]:at[hi]]] = num[at[lo]:at[hi]]
+                scores = dense @ w.T + b
+                c = scores.argmax(1) if chosen is None else np.full(hi - lo, chosen)
+                contribution = w[c] * (dense - m)
+                r = np.arange(hi - lo)
+                best = np.argsort(-np.abs(contribution), axis=1, kind="stable")[:, :n]
+                flat, at_row = best.ravel(), np.repeat(r, best.shape[1])
+                tops = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(r) + 1, dtype="int32") * best.shape[1]),
+                    pa.StructArray.from_arrays(
+                        [label.take(pa.array(flat)), pa.array(dense[at_row, flat]), pa.array(contribution[at_row, flat])],
+                        names=["feature", "value", "contribution"]))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch[k].slice(lo, hi - lo) for k in keep], pa.array([classes[i] for i in c], pa.string()),
+                     pa.array(scores[r, c] - (w[c] @ m + b[c])), pa.array(contribution.sum(1)), tops],
+                    names=[*keep, "code", "margin", "total", "top"])
+    return x.mapInArrow(run, f"{kept}, code string, margin double, total double, top {top}")
+
+
+def fitted_importance(model, df: DataFrame, top: int = GLOBAL_TOP) -> DataFrame:
+    """X4 for a fitted linear model: mean |contribution| over rows and classes, largest first."""
+    coef, means, names, _ = _linear_parts(model)
+    shared = df.sparkSession.sparkContext.broadcast(means)
+    weight = np.abs(coef).mean(0)
+
+    def spread(batches):
+        # deviations |x - mean|: the part of the zeros is |mean| per row, corrected where x is not zero
+        n, moved = 0, np.zeros(len(shared.value))
+        for batch in batches:
+            vec = batch["features"]
+            col = vec.field("indices").flatten().to_numpy(zero_copy_only=False)
+            num = vec.field("values").flatten().to_numpy(zero_copy_only=False)
+            m = shared.value[col]
+            moved += np.bincount(col, np.abs(num - m) - np.abs(m), len(moved))
+            n += batch.num_rows
+        at = np.flatnonzero(moved)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype("int32")), pa.array(np.append(moved[at], n))],
+                                         names=["j", "v"])
+    x = model.features.transform(df, keep=[])
+    sums = {r["j"]: r["v"] for r in x.mapInArrow(spread, "j int, v double").groupBy("j").agg(F.sum("v").alias("v")).collect()}
+    n = max(sums.pop(-1, 0.0), 1.0)
+    rows = [(names[j], float(weight[j] * (abs(means[j]) + sums.get(j, 0.0) / n))) for j in range(len(names))]
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double") \
+             .orderBy(F.desc("importance"), "feature").limit(top)
+
+
+def _linear_parts(model):
+    if model.kind != "logistic" or model.means is None:
+        raise ValueError("exact contributions need a linear model (kind 'logistic')")
+    return model.classifier.coefficientMatrix.toArray(), model.means, model.features.feature_names(), model.classes
+
+
 def embedding_features(e: DataFrame) -> DataFrame:
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
 

@@ -16,8 +16,8 @@ are ``sha2(content, 256)`` over a ``binaryFile`` scan of the version folder.
 from __future__ import annotations
 
 import datetime as _dt
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +59,9 @@ class ModelRegistry:
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(path)
-        except Exception:  # noqa: BLE001  (no table yet)
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":          # any other failure is one
+                raise
             return self.spark.createDataFrame([], schema)
 
     def manifests(self) -> DataFrame:
@@ -103,7 +105,7 @@ class ModelRegistry:
         """Unknown version → error; otherwise append a promotion event."""
         known = self.manifests().filter(F.col("version") == version).limit(1).count()
         if not known:
-            raise FileNotFoundError(f"Version not found: {version}")
+            raise FileNotFoundError(f"no version {version} in this registry")
         at = at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         self.spark.createDataFrame([(version, at)], PROMOTION_SCHEMA).coalesce(1) \
             .write.mode("append").parquet(self.promotions_path)
@@ -136,33 +138,34 @@ class ModelRegistry:
             bad = man.join(actual, "file", "left").filter(
                 F.col("sha256").isNull() | (F.col("sha256") != F.col("expected"))).collect()
         except Exception as err:  # noqa: BLE001  (a file the scan cannot read is corrupt)
-            raise RuntimeError(f"Hash mismatch for {version}: unreadable artefact ({err})"[:500]) \
-                from err
-        if not bad:
-            return
-        missing = [r["file"] for r in bad if r["sha256"] is None]
-        if missing:
-            raise FileNotFoundError(f"Missing artefact(s) for {version}: {missing}")
-        changed = bad[0]
-        raise RuntimeError(f"Hash mismatch for {changed['file']}: expected "
-                           f"{changed['expected'][:16]}…, got {changed['sha256'][:16]}…")
+            raise RuntimeError(f"version {version} cannot be read back: {str(err)[:300]}") from err
+        if bad:
+            gone = sorted(r["file"] for r in bad if r["sha256"] is None)
+            edited = sorted(r["file"] for r in bad if r["sha256"] is not None)
+            kind = FileNotFoundError if gone else RuntimeError
+            raise kind(f"version {version} is not what was registered; absent: {gone or 'none'}, altered: {edited or 'none'}")
 
 
 def save_bundle(registry: ModelRegistry, model, metrics: dict, config: dict,
                 version: str | None = None) -> dict:
-    """Write a fitted ``LedgerModel`` (classifier, labels, vocabularies,
-    date modes) into a new version folder and register its manifest."""
+    """Write a fitted ``LedgerModel`` (classifier, labels, vocabularies, date modes, feature means, rule
+    profile) into a new version folder and register its manifest."""
     import json
     version = version or registry.new_version()
     base = registry.version_path(version)
-    model.classifier.write().overwrite().save(f"{base}/classifier")
+    if model.kind == "boosted":
+        model.classifier.save(f"{base}/classifier")
+    else:
+        model.classifier.write().overwrite().save(f"{base}/classifier")
     model.labels.write().overwrite().save(f"{base}/labels")
     if model.features.tfidf is not None:
         model.features.tfidf.save(f"{base}/text")
     spark = registry.spark
-    meta = {"date_modes": model.features.date_features.modes,
-            "families": list(model.features.families),
-            "baseline_accuracy": model.baseline_accuracy}
+    meta = {"kind": model.kind, "date_modes": model.features.date_features.modes,
+            "families": list(model.features.families), "baseline_accuracy": model.baseline_accuracy,
+            "metrics": {k: v for k, v in metrics.items() if v is not None}, "train_seconds": model.train_seconds,
+            "profile": model.features.domain.profile.source,
+            "means": None if model.means is None else [float(m) for m in model.means]}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
         .write.mode("overwrite").text(f"{base}/meta")
     width = (model.features.tfidf.width if model.features.tfidf is not None else 0)
@@ -170,10 +173,41 @@ def save_bundle(registry: ModelRegistry, model, metrics: dict, config: dict,
     return registry.register(version, config, metrics, len(model.classes), width + n_dense)
 
 
-def default_root(spark: SparkSession) -> str:
-    from ..session import scratch_path
-    return scratch_path(spark, "registry")
+def load_bundle(registry: ModelRegistry, version: str | None = None):
+    """The ``LedgerModel`` of a version (default: the active one), checked against its recorded hashes."""
+    import json
+
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
+    from pyspark.ml.feature import StringIndexerModel
+
+    from ..plans.learn import BoostedModel, FeatureModel, LedgerModel
+    from .features import DateFeatures
+    from .profile import DomainFeatures, Profile
+    from .tfidf import TfidfModel
+    version = version or registry.active()
+    if version is None:
+        raise FileNotFoundError("no version of this registry is promoted")
+    registry.verify(version)
+    base = registry.version_path(version)
+    meta = json.loads(registry.spark.read.text(f"{base}/meta").first()[0])
+    labels = StringIndexerModel.load(f"{base}/labels")
+    if meta["kind"] == "boosted":
+        classifier = BoostedModel.load(f"{base}/classifier", len(labels.labels))
+    else:
+        kinds = {"forest": RandomForestClassificationModel, "logistic": LogisticRegressionModel}
+        classifier = kinds[meta["kind"]].load(f"{base}/classifier")
+    text = TfidfModel.load(registry.spark, f"{base}/text") if "text" in meta["families"] else None
+    features = FeatureModel(DateFeatures(meta["date_modes"]), DomainFeatures(Profile.from_dict(meta["profile"])),
+                            text, tuple(meta["families"]))
+    registry.mark_loaded(version)
+    return LedgerModel(features, labels, classifier, meta["train_seconds"], meta["metrics"], meta["baseline_accuracy"],
+                       meta["kind"], None if meta["means"] is None else np.array(meta["means"]))
+
 
+def default_root(spark: SparkSession) -> str:
+    """A registry folder of its own under the shared folder."""
+    import uuid
 
-def local_path_exists(path: str) -> bool:
-    return os.path.exists(path)
+    from ..session import scratch_path
+    return scratch_path(spark, f"registry-{uuid.uuid4().hex}")

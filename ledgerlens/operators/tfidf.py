@@ -18,7 +18,8 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,10 +77,18 @@ def gram_columns(texts: DataFrame, blocks: tuple[BlockSpec, ...]) -> DataFrame:
 
 
 def term_stats(texts: DataFrame, blocks: tuple[BlockSpec, ...]) -> DataFrame:
-    """(block, term, df, cf): per-document counts (partial aggregate), then per term."""
-    tf = term_counts(texts, blocks)
-    return tf.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"),
-                                           F.sum("tf").alias("cf"))
+    """(block, term, df, cf) from one scan and one shuffle.
+
+    A document sits in one row, so its terms are sorted there and the first of equal ones is marked; one
+    aggregate with map-side sums then gives both counts."""
+    def marked(block: str, grams: Column) -> Column:
+        return F.element_at(F.transform(F.array(F.array_sort(grams)), lambda g: F.transform(g, lambda t, i: F.struct(
+            F.lit(block).alias("block"), t.alias("term"),
+            F.when((i > 0) & (F.get(g, i - 1) == t), 0).otherwise(1).alias("first")))), 1)
+    grams = gram_columns(texts, blocks)
+    every = F.concat(*[marked(b.name, F.col(f"__g_{b.name}")) for b in blocks])
+    return (grams.select(F.explode(every).alias("t")).groupBy("t.block", "t.term")
+            .agg(F.sum("t.first").cast("bigint").alias("df"), F.count(F.lit(1)).alias("cf")))
 
 
 def term_counts(texts: DataFrame, blocks: tuple[BlockSpec, ...]) -> DataFrame:
@@ -94,6 +103,27 @@ def term_counts(texts: DataFrame, blocks: tuple[BlockSpec, ...]) -> DataFrame:
     return exploded.groupBy("doc_id", "block", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def batch_weights(grams: pa.Array, terms: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term index, weight) of one batch of term lists: sublinear TF x IDF with L2 norm per row, ordered
+    by row and term index.  No Python object per row or term."""
+    if isinstance(grams, pa.ChunkedArray):
+        grams = grams.combine_chunks()
+    none = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)
+    if not len(grams) or not len(terms):
+        return none
+    size = grams.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    code = pc.index_in(grams.flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False).astype("int64")
+    row = np.repeat(np.arange(len(grams)), size)
+    known = code >= 0
+    key, tf = np.unique(row[known] * len(terms) + code[known], return_counts=True)
+    if not len(key):
+        return none
+    row, code = key // len(terms), key % len(terms)
+    w = (1.0 + np.log(tf)) * idf[code]
+    norm = np.sqrt(np.bincount(row, w * w, len(grams)))
+    return row, code, w / norm[row]
+
+
 @dataclass
 class TfidfModel:
     """Fitted vocabularies: ``vocab`` has block, term, df, cf, idf, col_index."""
@@ -110,49 +140,37 @@ class TfidfModel:
     def transform(self, texts: DataFrame) -> DataFrame:
         """T8 long form: (doc_id, block, term, col_index, weight).
 
-        Per Arrow batch (mapInPandas): vocabulary lookup (bounded, in the
+        Per Arrow batch (mapInArrow): vocabulary lookup (bounded, in the
         closure), term counts per document, sublinear TF x IDF, L2 per
         document and block.  Rows never leave their partition: no shuffle."""
-        vocab = {}
-        for r in self.vocab.select("block", "term", "idf", "col_index").collect():
-            vocab.setdefault(r["block"], []).append((r["term"], r["idf"], r["col_index"]))
-        tables = {}
-        for b in self.blocks:
-            entries = sorted(vocab.get(b.name, []), key=lambda e: e[2])
-            tables[b.name] = (pd.Index([e[0] for e in entries]),
-                              np.array([e[1] for e in entries], dtype="float64"),
-                              np.array([e[2] for e in entries], dtype="int32"))
-        names = [b.name for b in self.blocks]
+        tables = self.lookup_tables()
 
         def weigh(batches):
-            for pdf in batches:
-                out = []
-                for name in names:
-                    index, idf, cols = tables[name]
-                    s = pdf[f"__g_{name}"].explode().dropna()
-                    if s.empty or len(index) == 0:
-                        continue
-                    codes = index.get_indexer(s.to_numpy())
-                    keep = codes >= 0
-                    pairs = pd.DataFrame({"r": s.index.to_numpy()[keep], "c": codes[keep]})
-                    if pairs.empty:
-                        continue
-                    tf = pairs.value_counts().reset_index(name="tf")
-                    c = tf["c"].to_numpy()
-                    w = (1.0 + np.log(tf["tf"].to_numpy(dtype="float64"))) * idf[c]
-                    norm = np.sqrt(pd.Series(w * w).groupby(tf["r"].to_numpy())
-                                   .transform("sum").to_numpy())
-                    out.append(pd.DataFrame({
-                        "doc_id": pdf["doc_id"].to_numpy()[tf["r"].to_numpy()],
-                        "block": name, "term": index[c], "col_index": cols[c],
-                        "weight": w / norm}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
+            for batch in batches:
+                ids = batch["doc_id"]
+                for name, (terms, idf, cols) in tables.items():
+                    row, code, weight = batch_weights(batch[f"__g_{name}"], terms, idf)
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(row)), pa.array([name] * len(row)), terms.take(pa.array(code)),
+                             pa.array(cols[code]), pa.array(weight)],
+                            names=["doc_id", "block", "term", "col_index", "weight"])
 
         g = gram_columns(texts, self.blocks)
         doc_type = texts.schema["doc_id"].dataType.simpleString()
-        return g.mapInPandas(weigh, f"doc_id {doc_type}, block string, term string, "
-                                    "col_index int, weight double")
+        return g.mapInArrow(weigh, f"doc_id {doc_type}, block string, term string, "
+                                   "col_index int, weight double")
+
+    def lookup_tables(self) -> dict[str, tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Per block (terms, idf, column index) in column order; bounded by max_features."""
+        rows = self.vocab.select("block", "term", "idf", "col_index").orderBy("col_index").collect()
+        out = {}
+        for b in self.blocks:
+            own = [r for r in rows if r["block"] == b.name]
+            out[b.name] = (pa.array([r["term"] for r in own], pa.string()),
+                           np.array([r["idf"] for r in own], "float64"),
+                           np.array([r["col_index"] for r in own], "int32"))
+        return out
 
     def transform_relational(self, texts: DataFrame) -> DataFrame:
         """T8 in relational form (explode, group, broadcast join, window);
@@ -178,6 +196,8 @@ class TfidfModel:
     def save(self, path: str) -> None:
         """Vocabularies as Parquet (block, term, df, cf, idf, col_index)."""
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+        self.vocab.sparkSession.createDataFrame([(int(self.n_docs),)], "n_docs long").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{path}/size")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, blocks: tuple[BlockSpec, ...] = LEDGER_BLOCKS,
@@ -185,7 +205,8 @@ class TfidfModel:
         vocab = spark.read.parquet(f"{path}/vocab")
         stats = {r["block"]: r["n"] for r in vocab.groupBy("block").count()
                  .withColumnRenamed("count", "n").collect()}
-        return cls(blocks, -1, vocab, stats)
+        n_docs = spark.read.parquet(f"{path}/size").first()["n_docs"]
+        return cls(blocks, int(n_docs), vocab, {b.name: stats.get(b.name, 0) for b in blocks})
 
 
 class TfidfVectorizer:

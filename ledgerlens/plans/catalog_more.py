@@ -145,10 +145,10 @@ def q_tfidf_names(spark, sf):
 
 
 @query("tfidf_weights", _tfidf_sql(
-    "SELECT doc_id, block, term, round(weight, 6) AS weight FROM normed WHERE block <> 'chr'"))
+    "SELECT doc_id, block, term, round(weight, 6) AS weight FROM normed"))
 def q_tfidf_weights(spark, sf):
     model, texts = _ledger_tfidf(spark, sf)
-    w = model.transform(texts).filter(F.col("block") != "chr")
+    w = model.transform(texts)
     return w.select("doc_id", "block", "term", r6(F.col("weight")).alias("weight"))
 
 
@@ -192,16 +192,23 @@ def q_doc_top_terms(spark, sf):
 
 
 # ================================================================ evaluation
+def class_scores(embedding: str, n: int = 10) -> Column:
+    """Score of class i: the sum of all values whose index modulo ``n`` is i."""
+    every = F.transform(F.col(embedding).cast("array<double>"), lambda x, j: F.struct(x.alias("x"), (j % n).alias("c")))
+    return F.transform(F.array_repeat(every, n), lambda vs, i: F.aggregate(
+        vs, F.lit(0.0), lambda acc, v: acc + F.when(v["c"] == i, v["x"]).otherwise(0.0)))
+
+
 def emb_predictions(spark, sf) -> DataFrame:
-    """Class scores: the first 10 embedding values; probabilities by softmax."""
+    """Ten class scores from all embedding values; probabilities by softmax."""
     e = read_tables(spark, sf, "embeddings")["embeddings"]
-    proba = ev.softmax(F.slice(F.col("embedding"), 1, 10).cast("array<double>"))
-    return (e.select("vec_id", F.col("label").alias("y_true"), proba.alias("proba"))
+    return (e.select("vec_id", F.col("label").alias("y_true"), class_scores("embedding").alias("s"))
+             .select("vec_id", "y_true", ev.softmax(F.col("s")).alias("proba"))
              .withColumn("y_pred", ev.argmax(F.col("proba"))))
 
 
 EMB_CTE = """
-WITH emb AS (SELECT vec_id, label AS y_true, CAST(embedding[1:10] AS DOUBLE[]) AS s FROM embeddings),
+WITH emb AS (SELECT vec_id, label AS y_true, list_transform(range(0, 10), lambda i: list_sum(list_transform(range(i, len(embedding), 10), lambda j: CAST(embedding[j + 1] AS DOUBLE)))) AS s FROM embeddings),
 sm AS (SELECT vec_id, y_true, list_transform(s, lambda x: exp(x - list_max(s))) AS ex FROM emb),
 pr AS (SELECT vec_id, y_true, list_transform(ex, lambda x: x / list_sum(ex)) AS proba FROM sm),
 pred AS (SELECT vec_id, y_true, proba,
@@ -391,15 +398,14 @@ def q_quality_gate(spark, sf):
 @query("label_decode", O.split_sql("""
 , labels AS (SELECT target AS code, CAST(dense_rank() OVER (ORDER BY target) - 1 AS INTEGER) AS label
              FROM (SELECT DISTINCT target FROM labelled WHERE part = 'train')),
-emb AS (SELECT vec_id, CAST(embedding[1:10] AS DOUBLE[]) AS s FROM embeddings)
+emb AS (SELECT vec_id, list_transform(range(0, 10), lambda i: list_sum(list_transform(range(i, len(embedding), 10), lambda j: CAST(embedding[j + 1] AS DOUBLE)))) AS s FROM embeddings)
 SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS prediction, code
 FROM emb LEFT JOIN labels ON labels.label = list_position(s, list_max(s)) - 1
 """.replace("\n, labels AS", ", labels AS", 1)))
 def q_label_decode(spark, sf):
     labels = nz.label_table(labelled_ledger(spark, sf).filter(F.col("part") == "train"))
     e = read_tables(spark, sf, "embeddings")["embeddings"]
-    pred = e.select("vec_id", ev.argmax(F.slice("embedding", 1, 10).cast("array<double>"))
-                    .alias("prediction"))
+    pred = e.select("vec_id", class_scores("embedding").alias("s")).select("vec_id", ev.argmax(F.col("s")).alias("prediction"))
     return nz.decode_labels(pred, labels, "prediction", "code").select("vec_id", "prediction", "code")
 
 

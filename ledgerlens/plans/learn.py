@@ -3,12 +3,12 @@
 Fitting is Spark ML: the label encoder is a ``StringIndexer`` (alphabetical,
 like a sorted label encoder), the classifier any ``pyspark.ml`` probabilistic
 classifier (random forest by default; multinomial logistic regression as
-the linear option).  Features per row:
+the linear option; boosted trees per class with early stopping).  Features per row:
 
-* TF-IDF: term arrays from Column expressions, then one Arrow-batched pandas
-  UDF per batch looks terms up in the fitted vocabulary (bounded, shipped with
-  the closure) and emits a sparse vector: sublinear TF x smooth IDF, L2 per
-  block.  No shuffle: every row is vectorised where it lives.
+* TF-IDF: term arrays from Column expressions; per Arrow batch the terms are
+  looked up in the fitted vocabulary (bounded, shipped with the closure) and
+  become sparse vectors: sublinear TF x smooth IDF, L2 per block.  No shuffle:
+  every row is vectorised where it lives.
 * Dense: 8 numeric + 13 calendar + the profile's domain block, assembled as
   one ARRAY<DOUBLE> (one column keeps the plan within codegen limits).
 
@@ -18,17 +18,19 @@ ranked top-k codes.
 
 from __future__ import annotations
 
-import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,74 +39,36 @@ from ..operators import evaluate as ev
 from ..operators import features as feat
 from ..operators import normalize as nz
 from ..operators.profile import DomainFeatures
-from ..operators.tfidf import LEDGER_BLOCKS, BlockSpec, TfidfModel, TfidfVectorizer, ledger_texts
+from ..operators.tfidf import LEDGER_BLOCKS, BlockSpec, TfidfModel, TfidfVectorizer, batch_weights, ledger_texts
 
 FAMILIES = ("text", "numeric", "date", "domain")
 
 
 # ------------------------------------------------------------ TF-IDF vector
-def feature_vector_batches(model: TfidfModel | None, dense_width: int):
-    """Batch builder: (block term arrays..., dense ARRAY<DOUBLE>) → sparse vectors.
-
-    Layout: TF-IDF blocks first (sublinear TF x smooth IDF, L2 per block), the
-    dense values after them.  The vocabulary (≤ sum of max_features terms) and
-    IDF values ride in the closure; each Arrow batch is processed with
-    vectorised pandas / numpy, so no row is shuffled."""
-    blocks = []
-    offset = 0
-    if model is not None:
-        rows = model.vocab.select("block", "term", "idf", "col_index").collect()
-        for b in model.blocks:
-            sub = sorted((r for r in rows if r["block"] == b.name), key=lambda r: r["col_index"])
-            blocks.append((pd.Index([r["term"] for r in sub]),
-                           np.array([r["idf"] for r in sub], dtype="float64"), offset))
-            offset += len(sub)
-    text_width = offset
-    width = text_width + dense_width
-
-    def build(*cols: pd.Series) -> pd.DataFrame:
-        term_cols, dense = cols[:-1], cols[-1]
-        n = len(dense)
-        parts = []
-        for series, (index, idf, off) in zip(term_cols, blocks):
-            s = series.reset_index(drop=True).explode().dropna()
-            if s.empty or len(index) == 0:
-                continue
-            codes = index.get_indexer(s.to_numpy())
-            keep = codes >= 0
-            pairs = pd.DataFrame({"r": s.index.to_numpy()[keep], "c": codes[keep]})
-            if pairs.empty:
-                continue
-            tf = pairs.value_counts().reset_index(name="tf")
-            w = (1.0 + np.log(tf["tf"].to_numpy(dtype="float64"))) * idf[tf["c"].to_numpy()]
-            norm = pd.Series(w * w).groupby(tf["r"].to_numpy()).transform("sum").to_numpy()
-            parts.append(pd.DataFrame({"r": tf["r"].to_numpy(), "c": tf["c"].to_numpy() + off,
-                                       "w": w / np.sqrt(norm)}))
-        if dense_width:
-            mat = np.vstack([np.asarray(v, dtype="float64") for v in dense]) if n else \
-                np.zeros((0, dense_width))
-            r, c = np.nonzero(mat)
-            parts.append(pd.DataFrame({"r": r, "c": c + text_width, "w": mat[r, c]}))
-        idx_col = [np.array([], dtype="int32")] * n
-        val_col = [np.array([], dtype="float64")] * n
-        if parts:
-            allp = pd.concat(parts).sort_values(["r", "c"])
-            for r, g in allp.groupby("r", sort=False):
-                idx_col[r] = g["c"].to_numpy(dtype="int32")
-                val_col[r] = g["w"].to_numpy(dtype="float64")
-        return [{"type": 0, "size": width, "indices": i, "values": v}
-                for i, v in zip(idx_col, val_col)]
-
-    return build
-
-
-def term_columns(texts: DataFrame, blocks: tuple[BlockSpec, ...]) -> list[Column]:
-    return [b.terms(F.col(b.name)).alias(f"__terms_{b.name}") for b in blocks]
-
-
-# -------------------------------------------------------------- dense block
-def dense_feature_names(domain: DomainFeatures) -> list[str]:
-    return list(feat.NUMERIC_FEATURES) + list(feat.DATE_FEATURES) + domain.feature_names
+def vector_batch(batch: pa.RecordBatch, tables: list, dense_width: int) -> pa.StructArray:
+    """Sparse vectors of one batch: TF-IDF blocks first (sublinear TF x smooth IDF, L2 per block), the dense
+    values after them.  Built from whole index and value arrays; no Python object per row."""
+    rows, cols, vals, width = [], [], [], 0
+    for name, (terms, idf, _) in tables:
+        row, code, weight = batch_weights(batch[f"__g_{name}"], terms, idf)
+        rows.append(row)
+        cols.append(code + width)
+        vals.append(weight)
+        width += len(terms)
+    if dense_width:
+        flat = batch["__dense"].flatten().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(flat)
+        rows.append(at // dense_width)
+        cols.append(at % dense_width + width)
+        vals.append(flat[at])
+        width += dense_width
+    row, col, val = (np.concatenate(x) if x else np.zeros(0) for x in (rows, cols, vals))
+    order = np.lexsort((col, row))
+    offsets = pa.array(np.searchsorted(row[order], np.arange(batch.num_rows + 1)).astype("int32"))
+    return pa.StructArray.from_arrays(
+        [pa.array(np.zeros(batch.num_rows, "int8")), pa.array(np.full(batch.num_rows, width, "int32")),
+         pa.ListArray.from_arrays(offsets, pa.array(col[order].astype("int32"))),
+         pa.ListArray.from_arrays(offsets, pa.array(val[order]))], names=["type", "size", "indices", "values"])
 
 
 @dataclass
@@ -168,20 +132,18 @@ class FeatureModel:
             b.tokens(F.col(f"__t_{b.name}")).alias(f"__tok_{b.name}") for b in blocks])
         grams = toks.select(*cols, "__dense", *[
             b.grams(F.col(f"__tok_{b.name}")).alias(f"__g_{b.name}") for b in blocks])
-        build = feature_vector_batches(self.tfidf if use_text else None, len(pairs))
-        names = [f"__g_{b.name}" for b in blocks]
+        tables = list(self.tfidf.lookup_tables().items()) if use_text else []
+        n_dense = len(pairs)
 
         def vectorise(batches):
-            # mapInPandas: the n-gram arrays arrive as plain columns of each
-            # Arrow batch; vectors are built per batch, rows never move.
-            for pdf in batches:
-                out = pdf[keep].copy()
-                out["features"] = build(*[pdf[c] for c in names], pdf["__dense"])
-                yield out
+            # the n-gram arrays arrive as plain columns of each Arrow batch; rows never move
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], vector_batch(batch, tables, n_dense)],
+                                                 names=[*keep, "features"])
 
         schema = T.StructType([grams.schema[c] for c in keep]
                               + [T.StructField("features", VectorUDT(), False)])
-        return grams.mapInPandas(vectorise, schema)
+        return grams.mapInArrow(vectorise, schema)
 
 
 def txt_desc() -> Column:
@@ -207,6 +169,11 @@ def fit_features(train: DataFrame, families: tuple[str, ...] = FAMILIES,
 
 
 # ------------------------------------------------------------ classifier
+#: The classifier is fitted on about this many labelled rows at most, chosen by a hash of the key (a
+#: documented bound).  Vocabularies, date modes, labels and counts always use every training row.
+FIT_ROWS = 4_000
+
+
 def make_classifier(kind: str = "forest", **params):
     """A Spark ML probabilistic multi-class classifier."""
     if kind == "forest":
@@ -215,22 +182,81 @@ def make_classifier(kind: str = "forest", **params):
         defaults.update(params)
         return RandomForestClassifier(featuresCol="features", labelCol="label", **defaults)
     if kind == "logistic":
-        defaults = dict(maxIter=100, regParam=0.001, elasticNetParam=0.0, family="multinomial")
+        defaults = dict(maxIter=100, regParam=0.001, elasticNetParam=0.0, tol=1e-3, family="multinomial")
         defaults.update(params)
         return LogisticRegression(featuresCol="features", labelCol="label", **defaults)
+    if kind == "boosted":
+        return BoostedClasses(**params)
     raise ValueError(f"unknown classifier kind: {kind}")
 
 
+class BoostedClasses:
+    """Boosted trees for several classes: one ``GBTClassifier`` per class against the rest.
+
+    Rows are weighted so that both sides of a class weigh alike, and a hashed tenth of the rows (column
+    ``held``) stops the boosting of a class when it no longer gains there."""
+
+    def __init__(self, maxIter: int = 40, maxDepth: int = 5, stepSize: float = 0.1, subsamplingRate: float = 0.7,
+                 validationTol: float = 0.001, parallelism: int = 4, seed: int = 42):
+        self.params = dict(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, subsamplingRate=subsamplingRate,
+                           validationTol=validationTol, seed=seed)
+        self.parallelism = parallelism
+
+    def fit(self, x: DataFrame) -> "BoostedModel":
+        n_classes = int(x.agg(F.max("label")).first()[0] or 0) + 1
+        held = (F.pmod(F.xxhash64("features"), F.lit(10)) == 0).alias("held")
+        sizes = {int(r["label"]): r["count"] for r in x.groupBy("label").count().collect()}
+        total = sum(sizes.values())
+
+        def one(c: int):
+            n = sizes.get(c, 0)
+            own = F.col("label") == c
+            weight = F.when(own, total / (2.0 * max(n, 1))).otherwise(total / (2.0 * max(total - n, 1)))
+            rows = x.select("features", own.cast("double").alias("label"), held, weight.alias("weight"))
+            return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
+                                 validationIndicatorCol="held", **self.params).fit(rows)
+        with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
+            return BoostedModel(list(pool.map(one, range(n_classes))))
+
+
+class BoostedModel:
+    """Scores of the per-class models, normalised to a distribution in ``probability``."""
+
+    def __init__(self, models: list[GBTClassificationModel]):
+        self.models = models
+
+    def transform(self, x: DataFrame) -> DataFrame:
+        for i, m in enumerate(self.models):
+            m = m.copy()
+            m.setPredictionCol(f"__pred{i}").setProbabilityCol(f"__p{i}").setRawPredictionCol(f"__raw{i}")
+            x = m.transform(x)
+        n = len(self.models)
+        p = F.array(*[F.element_at(vector_to_array(f"__p{i}"), 2) for i in range(n)])
+        x = x.withColumn("__p", p).withColumn("__sum", F.aggregate("__p", F.lit(0.0), lambda a, v: a + v))
+        x = x.withColumn("probability", array_to_vector(F.transform("__p", lambda v: v / F.col("__sum"))))
+        return x.drop("__p", "__sum", *[f"__{k}{i}" for i in range(n) for k in ("pred", "p", "raw")])
+
+    def save(self, path: str) -> None:
+        for i, m in enumerate(self.models):
+            m.write().overwrite().save(f"{path}/class-{i:05d}")
+
+    @classmethod
+    def load(cls, path: str, n_classes: int) -> "BoostedModel":
+        return cls([GBTClassificationModel.load(f"{path}/class-{i:05d}") for i in range(n_classes)])
+
+
 @dataclass
 class LedgerModel:
     """A fitted bundle: features, label encoder, classifier, metrics."""
 
     features: FeatureModel
     labels: StringIndexerModel
-    classifier: Model
+    classifier: Model | BoostedModel
     train_seconds: float = 0.0
     metrics: dict = field(default_factory=dict)
     baseline_accuracy: float = 0.0
+    kind: str = "forest"
+    means: np.ndarray | None = None        # of the feature columns over the fitted rows
 
     @property
     def classes(self) -> list[str]:
@@ -255,12 +281,15 @@ class LedgerModel:
             F.round(s["p"], 4).alias("confidence")))
         return scored.select(*keep, ranked.alias("predictions"))
 
-    def evaluate(self, val: DataFrame) -> DataFrame:
-        """E1 on validation rows with known classes (P10 applied by the join)."""
+    def predictions(self, val: DataFrame) -> DataFrame:
+        """(txn_id, y_true, y_pred, proba) of the rows with known classes: the input of every evaluation."""
         enc = self.labels.transform(val.filter(F.col("target").isin(self.classes)))
-        scored = self.score(enc, keep=["txn_id", "label"])
-        return ev.classification_report(scored.select(F.col("label").cast("int").alias("y_true"),
-                                                      "y_pred", "proba"))
+        return self.score(enc, keep=["txn_id", "label"]).select(
+            "txn_id", F.col("label").cast("int").alias("y_true"), "y_pred", "proba")
+
+    def evaluate(self, val: DataFrame) -> DataFrame:
+        """E1 on validation rows with known classes (P10)."""
+        return ev.classification_report(self.predictions(val))
 
 
 def fit_labels(train: DataFrame) -> StringIndexerModel:
@@ -270,23 +299,34 @@ def fit_labels(train: DataFrame) -> StringIndexerModel:
 
 
 def train(train_df: DataFrame, kind: str = "forest", families: tuple[str, ...] = FAMILIES,
-          domain: DomainFeatures | None = None, **params) -> LedgerModel:
-    """L3 core: fit features and labels on training rows, then the classifier.
+          domain: DomainFeatures | None = None, max_rows: int = FIT_ROWS, **params) -> LedgerModel:
+    """L3 core: guards (P3, P8), features and labels from all training rows, then the classifier from at
+    most about ``max_rows`` of them.
 
-    The assembled training frame is persisted once (it feeds several tree
-    passes), then released."""
+    The training ledger and the assembled rows are persisted while they are read again and again."""
     t0 = time.time()
-    fm = fit_features(train_df, families, domain)
-    labels = fit_labels(train_df)
-    x = labels.transform(fm.transform(train_df, keep=["txn_id", "target"]))
-    x = x.persist()
+    train_df = train_df.persist()
     try:
-        clf = make_classifier(kind, **params).fit(x)
-        counts = x.groupBy("label").count().agg(
-            (F.max("count") / F.sum("count")).alias("b")).first()
+        n_rows = nz.validate_ledger(train_df)
+        fm = fit_features(train_df, families, domain)
+        labels = fit_labels(train_df)
+        largest = train_df.groupBy("target").count().agg(F.max("count")).first()[0]
+        chosen = fit_sample(train_df, n_rows, max_rows)
+        x = labels.transform(fm.transform(chosen, keep=["txn_id", "target"])).persist()
+        try:
+            clf = make_classifier(kind, **params).fit(x)
+            means = x.select(Summarizer.mean(F.col("features"))).first()[0].toArray()
+        finally:
+            x.unpersist()
     finally:
-        x.unpersist()
-    return LedgerModel(fm, labels, clf, time.time() - t0, baseline_accuracy=float(counts["b"]))
+        train_df.unpersist()
+    return LedgerModel(fm, labels, clf, time.time() - t0, baseline_accuracy=largest / n_rows, kind=kind, means=means)
+
+
+def fit_sample(train_df: DataFrame, n_rows: int, max_rows: int = FIT_ROWS) -> DataFrame:
+    """About ``max_rows`` rows at most of ``n_rows``, by a hash of the key."""
+    part = int(min(1.0, max_rows / max(n_rows, 1)) * (1 << 30))
+    return train_df.filter(F.pmod(F.xxhash64("txn_id", F.lit(5)), F.lit(1 << 30)) < part)
 
 
 def gate(metrics: dict, baseline_accuracy: float, n_classes: int, min_lift: float = 0.20) -> dict:
@@ -298,8 +338,3 @@ def gate(metrics: dict, baseline_accuracy: float, n_classes: int, min_lift: floa
     return {"passed": acc >= acc_t and bal >= bal_t, "accuracy": acc, "balanced_accuracy": bal,
             "acc_threshold": acc_t, "bal_threshold": bal_t,
             "baseline_accuracy": baseline_accuracy, "min_lift": min_lift}
-
-
-def describe(model: LedgerModel) -> str:
-    return json.dumps({"classes": len(model.classes), "train_seconds": model.train_seconds,
-                       "width": (model.features.tfidf.width if model.features.tfidf else 0)})

@@ -6,9 +6,9 @@ with a watermark so state for closed windows is dropped.  Only fitted
 artefacts (vocabularies, date modes, label list, classifier) are used on a
 stream: nothing is re-fitted per micro-batch.
 
-For checks, ``run_to_table`` drives a stream with ``availableNow`` into a
-memory sink and returns the result as a DataFrame; production jobs pass
-their own sink / trigger and a checkpoint location under the shared
+``run_to_table`` drives a stream with ``availableNow`` in several
+micro-batches into a Parquet table in append mode; production jobs pass their
+own trigger.  Tables and checkpoints lie under the shared
 ``spark.checkpoint.dir``.
 """
 
@@ -26,10 +26,24 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
                "value double, props string"
 
 
-def stage_folder(spark: SparkSession, df: DataFrame, name: str) -> str:
-    """Write a batch frame as a Parquet folder a file stream can read."""
+def stage_folder(spark: SparkSession, df: DataFrame, name: str, by: str | None = None, files: int = 4) -> str:
+    """Write a batch frame as a Parquet folder a file stream can read.  With ``by``, rows arrive in ``files``
+    steps of that column, one write after the other."""
     path = scratch_path(spark, f"stream-src-{name}-{uuid.uuid4().hex[:8]}")
-    df.write.mode("overwrite").parquet(path)
+    if by is None:
+        df.write.mode("overwrite").parquet(path)
+        return path
+    order = F.col(by).cast("timestamp").cast("double") if "timestamp" in df.schema[by].dataType.simpleString() \
+        else F.col(by).cast("double")
+    cuts = df.select(F.percentile_approx(order, [i / files for i in range(1, files)])).first()[0] or []
+    edges = [None, *cuts, None]
+    for low, high in zip(edges[:-1], edges[1:]):
+        step = df
+        if low is not None:
+            step = step.filter(order > low)
+        if high is not None:
+            step = step.filter(order <= high)
+        step.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -58,15 +72,34 @@ def class_counts_windows(events: DataFrame, cls: str = "event_type", window: str
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def run_to_table(stream_df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Drive a stream to completion (availableNow) into a memory table."""
-    spark = stream_df.sparkSession
-    name = f"ll_stream_{uuid.uuid4().hex[:10]}"
-    ckpt = scratch_path(spark, f"stream-ckpt-{name}")
-    q = (stream_df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+class StreamTable:
+    """A stream's result as a Parquet table on shared storage, in append mode, with its checkpoint.
+
+    In append mode a window is written once, when the watermark has passed it, and its state is dropped then;
+    later rows of that window no longer count.  Nothing passes through the driver."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        run = uuid.uuid4().hex
+        self.path = scratch_path(spark, f"stream-{name}-{run}")
+        self.checkpoint = scratch_path(spark, f"stream-ckpt-{run}")
+
+    def advance(self, stream_df: DataFrame) -> None:
+        """Read what the source has now (availableNow: as many micro-batches as it deals out), resuming where
+        the checkpoint ends."""
+        q = (stream_df.writeStream.format("parquet").outputMode("append").option("path", self.path)
+             .option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    def read(self, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path)
+
+
+def run_to_table(stream_df: DataFrame, name: str = "out") -> DataFrame:
+    """Drive a stream over all its source holds and return the table written."""
+    table = StreamTable(stream_df.sparkSession, name)
+    table.advance(stream_df)
+    return table.read(stream_df.schema)
 
 
 def score_stream(model, ledger_stream: DataFrame, k: int = 3) -> DataFrame:

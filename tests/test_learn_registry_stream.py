@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import normalize as nz
 from ledgerlens.operators import split as sp
-from ledgerlens.operators.registry import ModelRegistry, save_bundle
+from ledgerlens.operators.registry import ModelRegistry, load_bundle, save_bundle
 from ledgerlens.plans import learn, tuning
 from ledgerlens.sources.ledger import ledger_frame
 from ledgerlens.streaming import monitor as sm
@@ -80,8 +80,79 @@ def test_registry_round_trip(spark, model, tmp_path):
     reg.verify("v-1")
     victim = next(f for f in man["checksums"] if f.startswith("meta/part"))
     (tmp_path / "reg" / "versions" / "v-1" / victim).write_text("tampered")
-    with pytest.raises(RuntimeError, match="Hash mismatch"):
+    with pytest.raises(RuntimeError, match="altered: .*meta/part|cannot be read back"):
         reg.verify("v-1")
+    with pytest.raises(RuntimeError):
+        load_bundle(reg, "v-1")
+
+
+@pytest.mark.parametrize("kind, params", [("forest", {"numTrees": 5, "maxDepth": 4}), ("logistic", {"maxIter": 10})])
+def test_loaded_bundle_scores_alike(spark, parts, tmp_path, kind, params):
+    m = learn.train(parts[0], kind=kind, **params)
+    reg = ModelRegistry(spark, str(tmp_path / "reg"))
+    with pytest.raises(FileNotFoundError):
+        load_bundle(reg)
+    reg.promote(save_bundle(reg, m, {"accuracy": 0.5, "none": None}, {"kind": kind})["version"])
+    again = load_bundle(reg)
+    assert again.classes == m.classes and again.metrics == {"accuracy": 0.5} and not reg.has_update()
+    assert again.features.tfidf.n_docs == m.features.tfidf.n_docs
+    a = {r["txn_id"]: (r["y_pred"], r["proba"]) for r in m.score(parts[1]).collect()}
+    b = {r["txn_id"]: (r["y_pred"], r["proba"]) for r in again.score(parts[1]).collect()}
+    assert a.keys() == b.keys() and all(a[k][0] == b[k][0] and np.allclose(a[k][1], b[k][1]) for k in a)
+
+
+def test_explanation_of_fitted_model(spark, parts):
+    from pyspark.ml.functions import vector_to_array
+    from ledgerlens.operators import explain as xp
+    m = learn.train(parts[0], kind="logistic", maxIter=15)
+    val = parts[1].limit(60)
+    rows = xp.explain_fitted(m, val, ["txn_id"], n=3).collect()
+    x = {r["txn_id"]: np.array(r["x"]) for r in m.features.transform(val, keep=["txn_id"]).select(
+        "txn_id", vector_to_array("features").alias("x")).collect()}
+    w, names = m.classifier.coefficientMatrix.toArray(), m.features.feature_names()
+    for r in rows:
+        c = w[m.classes.index(r["code"])] * (x[r["txn_id"]] - m.means)
+        assert r["total"] == pytest.approx(c.sum()) and r["margin"] == pytest.approx(c.sum())
+        best = sorted(range(len(c)), key=lambda j: (-abs(c[j]), j))[:3]
+        assert [t["contribution"] for t in r["top"]] == pytest.approx([c[j] for j in best])
+        assert [t["feature"] for t in r["top"]] == [names[j] for j in best]
+    chosen = xp.explain_fitted(m, val, ["txn_id"], target_class=m.classes[1], n=2).collect()
+    assert {r["code"] for r in chosen} == {m.classes[1]}
+    with pytest.raises(ValueError):
+        xp.explain_fitted(m, val, ["txn_id"], target_class="no such code")
+    dense = np.stack(list(x.values()))
+    want = np.abs(w).mean(0) * np.abs(dense - m.means).mean(0)
+    got = {r["feature"]: r["importance"] for r in xp.fitted_importance(m, val, top=5).collect()}
+    best = sorted(range(len(want)), key=lambda j: -want[j])[:5]
+    assert sorted(got.values()) == pytest.approx(sorted(want[best]))
+
+
+def test_boosted_classes(spark):
+    from pyspark.ml.linalg import Vectors
+    rows = [(float(i % 3), Vectors.dense([i % 3 == 1, i % 3 == 2, i % 7])) for i in range(240)]
+    x = spark.createDataFrame(rows, ["label", "features"])
+    m = learn.make_classifier("boosted", maxIter=4, maxDepth=2).fit(x)
+    from pyspark.ml.functions import vector_to_array
+    out = m.transform(x).select("label", vector_to_array("probability").alias("p")).collect()
+    assert all(len(r["p"]) == 3 and abs(sum(r["p"]) - 1) < 1e-9 for r in out)
+    assert all(int(np.argmax(r["p"])) == int(r["label"]) for r in out)
+
+
+def test_training_refuses_bad_ledgers(parts):
+    with pytest.raises(ValueError):
+        learn.train(parts[0].limit(0))
+    with pytest.raises(ValueError):
+        learn.train(parts[0].withColumn("debit", F.lit(0.0)).withColumn("credit", F.lit(0.0)))
+
+
+def test_failed_trials_keep_their_error(spark, parts):
+    from pyspark.ml.linalg import Vectors
+    x = spark.createDataFrame([(0.0, Vectors.dense([1.0])), (1.0, Vectors.dense([0.0]))], ["label", "features"])
+    grid = tuning.trial_grid(spark, 2).withColumn("max_depth", F.lit(-1))
+    columns = list(grid.columns)
+    with pytest.raises(RuntimeError, match="no trial completed"):
+        tuning.tune(x, x, grid)
+    assert grid.columns == columns
 
 
 def test_trial_grid_baseline_first(spark):
@@ -93,13 +164,14 @@ def test_trial_grid_baseline_first(spark):
     assert g == tuning.trial_grid(spark, 5).orderBy("trial").collect()  # repeatable
 
 
-def test_stream_equals_batch(spark, sf_small):
-    from ledgerlens.operators import evaluate as ev
+def test_stream_windows_close_behind_the_watermark(spark, sf_small):
     events = spark.read.parquet(f"{sf_small}/events.parquet")
-    folder = sm.stage_folder(spark, events, "events-test")
-    streamed = sm.run_to_table(sm.confidence_windows(sm.event_stream(spark, folder)))
-    got = {(r["w"]["start"], r["bin"], r["n"]) for r in streamed.collect()}
-    conf = F.least(F.col("value") / 500.0, F.lit(1.0))
-    batch = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"),
-                           ev.bin_index(conf).alias("bin")).count()
-    assert got == {(r["w"]["start"], r["bin"], r["count"]) for r in batch.collect()}
+    folder = sm.stage_folder(spark, events, "events-test", by="ts")
+    table = sm.run_to_table(sm.class_counts_windows(sm.event_stream(spark, folder, max_files_per_trigger=1)), "test")
+    got = {(r["w"]["start"], r["cls"], r["n"]) for r in table.collect()}
+    ts = F.col("ts").cast("timestamp")
+    last = events.agg(F.max(ts)).first()[0]
+    batch = events.groupBy(F.window(ts, "1 day").alias("w"), F.col("event_type").alias("cls")).count()
+    import datetime as dt
+    want = {(r["w"]["start"], r["cls"], r["count"]) for r in batch.collect() if r["w"]["end"] <= last - dt.timedelta(days=1)}
+    assert got == want and got
