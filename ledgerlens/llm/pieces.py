@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 SPACE = "\u2581"
 _HIDDEN = "\uffff"                      # stands for a literal U+2581 while matching; in no piece
 CACHE = 300_000
+STEP = 500                      # rows handled at a time
 
 
 def default_model() -> str:
@@ -160,7 +161,9 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, fill) -> DataFrame:
 
     def batches(it):
         for b in it:
-            yield pa.RecordBatch.from_arrays([*b.columns, fill(b)], names=[*b.schema.names, name])
+            for a in range(0, b.num_rows, STEP):                   # bounded Python objects at a time
+                part = b.slice(a, STEP)
+                yield pa.RecordBatch.from_arrays([*part.columns, fill(part)], names=[*part.schema.names, name])
     return df.mapInArrow(batches, schema)
 
 
@@ -177,7 +180,8 @@ def decode(df: DataFrame, model: _Shared, ids: str = "ids", out: str = "decoded"
     """``df`` with the text of ``ids`` appended."""
     def fill(b):
         codec, col = _codec(model), b[ids]
-        flat, at = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+        at = col.offsets.to_numpy()
+        flat, at = col.values[at[0]:at[-1]].to_numpy(zero_copy_only=False), at - at[0]
         return pa.array([None if null else codec.decode(flat[at[i]:at[i + 1]].tolist())
                          for i, null in enumerate(col.is_null().to_pylist())], pa.string())
     return _with_column(df, out, T.StringType(), fill)
@@ -195,7 +199,8 @@ def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
         import hashlib
         for b in it:
             col = b["ids"]
-            flat, at = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+            at = col.offsets.to_numpy()
+            flat, at = col.values[at[0]:at[-1]].to_numpy(zero_copy_only=False), at - at[0]
             null = col.is_null().to_pylist()
             cut = [b"" if n else flat[at[i]:at[i + 1]].tobytes() for i, n in enumerate(null)]
             yield pa.RecordBatch.from_arrays(
