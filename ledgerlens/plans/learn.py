@@ -182,7 +182,7 @@ def make_classifier(kind: str = "forest", **params):
         defaults.update(params)
         return RandomForestClassifier(featuresCol="features", labelCol="label", **defaults)
     if kind == "logistic":
-        defaults = dict(maxIter=100, regParam=0.001, elasticNetParam=0.0, tol=1e-3, family="multinomial")
+        defaults = dict(maxIter=50, regParam=0.001, elasticNetParam=0.0, tol=1e-3, family="multinomial")
         defaults.update(params)
         return LogisticRegression(featuresCol="features", labelCol="label", **defaults)
     if kind == "boosted":
