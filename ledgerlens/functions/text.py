@@ -73,20 +73,30 @@ def _after_ampersand(p: Column) -> Column:
     closed, bare = F.regexp_extract(p, "^[A-Za-z][A-Za-z0-9]*;", 0), F.regexp_extract(p, _BARE, 1)
     tail = lambda head: F.substring(p, F.length(head) + 1, F.length(p))
     return (F.when((digits != "") | (hexed != ""), F.concat(_code_point(number), F.regexp_replace(p, "^#([0-9]+|[xX][0-9a-fA-F]+);?", "")))
-            .when((closed != "") & F.try_element_at(named, closed).isNotNull(),
-                  F.concat(F.try_element_at(named, closed), tail(closed)))
-            .when(bare != "", F.concat(F.try_element_at(named, bare), tail(bare)))
-            .otherwise(F.concat(F.lit("&"), p)))
+            .otherwise(F.coalesce(
+                F.when(closed != "", F.concat(F.try_element_at(named, closed), tail(closed))),
+                F.when(bare != "", F.concat(F.try_element_at(named, bare), tail(bare))),
+                F.concat(F.lit("&"), p))))
+
+
+#: The usual references.  A text with no others is decoded by plain replacement, ``&amp;`` last.
+COMMON = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "#x27": "'", "nbsp": "\u00a0", "copy": "©",
+          "middot": "·", "amp": "&"}
 
 
 def decode_entities(col: str | Column) -> Column:
     """Decode all HTML character references in one pass: named ones (also the legacy ones without semicolon)
-    and numeric ones.  A text is cut at its ampersands; one without any is returned as it is."""
+    and numeric ones.  A text without ampersand is returned as it is, and one with nothing but common
+    references takes a short way; others are cut at their ampersands and looked up."""
     raw = _c(col)
+    short = raw
+    for name, char in COMMON.items():
+        short = F.replace(short, F.lit(f"&{name};"), F.lit(char))
+    others = F.regexp_replace(raw, "&(?:" + "|".join(COMMON) + ");", "").contains("&")
     parts = F.split(raw, "&", -1)
     decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(
         F.transform(F.slice(parts, F.lit(2), F.size(parts)), _after_ampersand), ""))
-    return F.when(raw.contains("&"), decoded).otherwise(raw)
+    return F.when(~raw.contains("&"), raw).when(~others, short).otherwise(decoded)
 
 
 def strip_html(col: str | Column) -> Column:
