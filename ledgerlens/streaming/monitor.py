@@ -28,7 +28,7 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 
 def stage_folder(spark: SparkSession, df: DataFrame, name: str, by: str | None = None, files: int = 4) -> str:
     """Write a batch frame as a Parquet folder a file stream can read.  With ``by``, rows arrive in ``files``
-    steps of that column, one write after the other."""
+    steps of that column, one write after the other; rows without a value come with the first."""
     path = scratch_path(spark, f"stream-src-{name}-{uuid.uuid4().hex[:8]}")
     if by is None:
         df.write.mode("overwrite").parquet(path)
@@ -42,11 +42,22 @@ def stage_folder(spark: SparkSession, df: DataFrame, name: str, by: str | None =
         if low is not None:
             step = step.filter(order > low)
         if high is not None:
-            step = step.filter(order <= high)
+            at = order <= high
+            step = step.filter(at | order.isNull() if low is None else at)
         step.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
+def stage_closing_row(spark: SparkSession, folder: str, events: DataFrame, windows: str = "1 day",
+                      watermark: str = "1 day") -> None:
+    """End a staged event stream with one row far enough behind the last event that the watermark passes
+    every window holding an event.  The row's own window stays open, so it is never written."""
+    far = F.col("ts") + F.expr(f"2 * (interval {windows}) + interval {watermark}")
+    last = events.agg(F.max("ts").alias("ts")).filter("ts is not null").select(far.cast(events.schema["ts"].dataType).alias("ts"))
+    fields = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.col("ts") for f in events.schema]
+    last.select(*fields).coalesce(1).write.mode("append").parquet(folder)
+
+
 def event_stream(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)

@@ -175,3 +175,25 @@ def test_stream_windows_close_behind_the_watermark(spark, sf_small):
     import datetime as dt
     want = {(r["w"]["start"], r["cls"], r["count"]) for r in batch.collect() if r["w"]["end"] <= last - dt.timedelta(days=1)}
     assert got == want and got
+
+
+def test_stream_queries_count_every_event(spark, sf_small, tmp_path):
+    """Both stream queries against SQL over all events, with lateness, a last day and a row without a time."""
+    import duckdb
+
+    import __spark_entry__ as E
+    from ledgerlens.operators import evaluate as ev
+    events = spark.read.parquet(f"{sf_small}/events.parquet")
+    timeless = events.limit(1).withColumn("ts", F.lit(None).cast(events.schema["ts"].dataType))
+    events.union(timeless).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT *, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS w, least(value / 500.0, 1.0) "
+                f"AS c FROM read_parquet('{tmp_path}/events.parquet/*.parquet') WHERE ts IS NOT NULL")
+    edges = ev._edges(10)
+    bins = " ".join(f"WHEN c >= {lo!r} AND c {'<=' if i == 9 else '<'} {hi!r} THEN {i}" for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])))
+    for name, key in (("stream_class_counts", "event_type"), ("stream_confidence", f"CASE {bins} END")):
+        got = [tuple(r) for r in E.queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted(got, key=repr) == sorted(con.execute(f"SELECT w, {key}, count(*) FROM events GROUP BY ALL").fetchall(), key=repr)
+        assert sum(r[2] for r in got) == events.count()
+    assert sm.stage_folder(spark, events.union(timeless), "timeless", by="ts") and spark.read.parquet(
+        sm.stage_folder(spark, events.union(timeless), "timeless", by="ts")).count() == events.count() + 1
