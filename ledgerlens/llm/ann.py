@@ -14,9 +14,9 @@ block of vectors and one of queries whatever the skew; nothing is dropped.  Each
 ones for a query.  Copies of a vector are reduced beforehand to the ``k + 1`` smallest ids (the only ones
 that can be returned), and equal queries are searched once.
 
-Vectors that are null, all zero, of another length than the longest, or with null or non-finite components
-take no part, as candidates or as queries; so do null ids.  Rows that repeat an id count once, at their
-smallest distance.  With fewer than ``k`` other vectors all are returned: every bucket is probed then.
+Vectors that are null, all zero, or with null or non-finite components take no part, as candidates or as
+queries; so do null ids.  Vectors are searched among those of their own length; a length with at most BLOCK_V
+rows is compared in full.  Rows that repeat an id count once, at their smallest distance.  With fewer than ``k`` other vectors all are returned: every bucket is probed then.
 An empty table gives an empty result.
 """
 
@@ -101,8 +101,51 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     """(query_id, rank, vec_id, score) of the k nearest found for every row where ``is_query(id)``."""
     spark = vectors.sparkSession
     usable = _usable(vectors, id_col, vector_col)
-    dim = usable.agg(F.max(F.size("v"))).first()[0] or 1
-    usable = usable.filter(F.size("v") == dim)
+    size = F.size("v")
+    lengths = usable.groupBy(size.alias("dim")).count().orderBy("dim").collect()
+    large = [r.dim for r in lengths if r["count"] > BLOCK_V]
+    pairs = [_search_length(usable.filter(size == dim), is_query, k, dim, recall) for dim in large]
+    if len(large) < len(lengths):
+        pairs.append(_search_small(usable.filter(~size.isin(large)), is_query, k))
+    if not pairs:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = pairs[0]
+    for more in pairs[1:]:
+        found = found.union(more)
+    ranked = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return (found.filter("query_id <> vec_id")
+            .groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+            .withColumn("rank", F.row_number().over(ranked).cast("int")).filter(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score"))
+
+
+def _search_small(usable: DataFrame, is_query, k: int) -> DataFrame:
+    """(query_id, vec_id, score) by brute force, for lengths of at most BLOCK_V rows each."""
+    pool = usable.distinct().withColumn("dim", F.size("v"))
+    asked = pool.filter(is_query(F.col("vec_id"))).select("dim", F.col("vec_id").alias("query_id"), "v")
+
+    def compare(vec, ask):
+        out = [(np.zeros(0, np.int64), np.zeros(0))]
+        took = [0]
+        if vec.num_rows and ask.num_rows:
+            dim = vec["dim"][0].as_py()
+            x, ids = matrix(vec["v"].combine_chunks(), dim), vec["vec_id"].to_numpy()
+            for q, own in zip(matrix(ask["v"].combine_chunks(), dim), ask["query_id"].to_numpy()):
+                others = ids != own
+                dist = np.sqrt(((x[others] - q) ** 2).sum(1))
+                at = np.lexsort((ids[others], dist))
+                at = at[np.sort(np.unique(ids[others][at], return_index=True)[1])[:k]]
+                out.append((ids[others][at], dist[at]))
+                took.append(len(at))
+        owner = ask["query_id"].to_numpy() if ask.num_rows else np.zeros(0, np.int64)
+        return pa.table({"query_id": np.repeat(owner, took[1:]) if len(took) > 1 else np.zeros(0, np.int64),
+                         "vec_id": np.concatenate([o[0] for o in out]), "score": np.concatenate([o[1] for o in out])})
+    return (pool.groupBy("dim").cogroup(asked.groupBy("dim"))
+            .applyInArrow(compare, "query_id long, vec_id long, score double"))
+
+
+def _search_length(usable: DataFrame, is_query, k: int, dim: int, recall: float) -> DataFrame:
+    """(query_id, vec_id, score) of the nearest found among vectors of one length; own ids are still in."""
     same = Window.partitionBy("v").orderBy("vec_id")
     pool = written(usable.distinct().withColumn("turn", F.row_number().over(same)).filter(F.col("turn") <= k + 1)
                    .select("vec_id", "v"), "ann-pool")
@@ -177,12 +220,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
              .groupBy("c1", "c2", "vec_id").agg(F.min("score").alias("score")))
     best = Window.partitionBy("c1", "c2").orderBy("score", "vec_id")
     found = found.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= k + 1)
-    ranked = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (asked.select("query_id", "c1", "c2").join(found, ["c1", "c2"])
-            .filter("query_id <> vec_id")
-            .groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-            .withColumn("rank", F.row_number().over(ranked).cast("int")).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    return asked.select("query_id", "c1", "c2").join(found, ["c1", "c2"]).select("query_id", "vec_id", "score")
 
 
 def _mixed(ids: np.ndarray) -> np.ndarray:

@@ -424,3 +424,19 @@ def test_very_long_text(spark):
     assert cut == {0: (300_000, 300_000), 1: (2, 0), 2: (300_001, 300_000), 3: (1, 0)}
     assert line_dedup.dedup_lines(docs).filter("n_removed > 0").count() == 0
     assert winnow.edited_fingerprints(docs.filter("doc_id > 0")).count() == 3
+
+
+def test_neighbours_of_other_lengths(spark, monkeypatch):
+    """One overlong row, and a few short ones, leave the others' neighbours as they are."""
+    from ledgerlens.llm import ann
+    monkeypatch.setattr(ann, "BLOCK_V", 40)
+    x = np.random.default_rng(8).normal(size=(300, 8))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(300)]
+    rows += [(1000, [1.0] * 9)] + [(1100 + i, [float(i), 1.0]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(ann.search(df, lambda i: i % 100 == 0).collect(), key=lambda r: r.rank):
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == {0, 100, 200, 1100} and got[1100] == [1101, 1102, 1103]
+    hits = sum(len(set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11]) & set(got[q])) for q in (0, 100, 200))
+    assert all(len(got[q]) == 10 for q in (0, 100, 200)) and hits >= 27
