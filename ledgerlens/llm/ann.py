@@ -2,12 +2,15 @@
 
 Each of ``tables`` pseudo-rotations (three rounds of random signs and a fast Hadamard transform, vectors
 padded with zeros to a power of two) sends a unit vector to its nearest signed axis, its bucket in that
-table.  Every vector is indexed in all tables.  A query probes the ``probes`` buckets, over all tables, whose
-axes lie nearest to it.  Candidates are reranked by the Euclidean distance of the original vectors in double
-precision.
+table.  Every vector is indexed in all tables.  A query probes the buckets, over all tables, whose axes lie
+nearest to it.  Candidates are reranked by the Euclidean distance of the original vectors in double precision.
 
-``probes`` is fitted: a bounded sample of queries (SAMPLE) is answered by brute force over all vectors, and
-the smallest number of probes is taken that finds the wanted share of their true neighbours.
+The number of probes is first one for all: a bounded sample of queries (SAMPLE) is answered by brute force over
+all vectors, and the smallest number is taken that finds the wanted share of their true neighbours.  Each query is
+then judged by itself.  One that found too few vectors, or whose probes would miss more than one in ten
+(VOUCH) of the vectors at the angle of its farthest find (DRAWS random ones are hashed), goes through further
+rounds with more probes.  From as many probes as one table has buckets, that whole table is probed instead:
+it holds every vector once, so the answer is exact.
 
 Buckets that are large, in vectors or in queries, are cut into blocks of bounded size, so a task holds one
 block of vectors and one of queries whatever the skew; nothing is dropped.  Each block returns only its best
@@ -31,6 +34,7 @@ from ledgerlens.llm.common import table, written
 from ledgerlens.llm.learn import sum_vectors, vector_rows
 
 TABLES, RECALL, SAMPLE = 6, 0.97, 64
+VOUCH, DRAWS = 0.9, 128
 BLOCK_V, BLOCK_Q = 4096, 1024
 
 
@@ -73,13 +77,35 @@ class Hasher:
         near = np.concatenate([self.axes(x, t) for t in range(self.tables)], 1)
         return np.argsort(-near, axis=1, kind="stable")
 
+    def probed(self, x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, bucket) pairs of the ``p[row]`` nearest buckets; the whole first table from its size on."""
+        order = self.probe_order(x)
+        full = np.tile(np.arange(2 * self.width), (len(x), 1))
+        whole = p >= 2 * self.width
+        order[whole, :2 * self.width] = full[whole]
+        n = np.minimum(p, 2 * self.width)
+        row = np.repeat(np.arange(len(x)), n)
+        return row, order[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+
+    def need(self, q: np.ndarray, cos: float, seed: int) -> int:
+        """Probes of ``q`` that find VOUCH of random vectors whose angle to it has this cosine."""
+        u = q / np.abs(q).max()
+        u = u / np.linalg.norm(u)
+        w = np.random.Generator(np.random.PCG64(seed)).normal(size=(DRAWS, len(u)))
+        w -= np.outer(w @ u, u)
+        w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+        cos = min(1.0, max(-1.0, cos))
+        codes = self.codes(cos * u + np.sqrt(1 - cos * cos) * w)
+        place = np.argsort(self.probe_order(q[None])[0])
+        return int(np.sort(place[codes].min(1))[int(np.ceil(VOUCH * DRAWS)) - 1]) + 1
+
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, distances) of the k nearest rows to q, ties to the smaller id."""
+def nearest_at(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, distances) of the k nearest rows to q, ties to the smaller id."""
     dist = np.sqrt(((x - q) ** 2).sum(1))
     if len(dist) > 4 * k:
         cut = np.partition(dist, k - 1)[k - 1]
@@ -87,7 +113,18 @@ def nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.n
     else:
         at = np.arange(len(dist))
     at = at[np.lexsort((ids[at], dist[at]))][:k]
-    return ids[at], dist[at]
+    return at, dist[at]
+
+
+def nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k nearest rows to q, ties to the smaller id."""
+    at, dist = nearest_at(ids, x, q, k)
+    return ids[at], dist
+
+
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    x, q = x / np.abs(x).max(1, keepdims=True), q / np.abs(q).max()
+    return x @ q / (np.linalg.norm(x, axis=1) * np.linalg.norm(q))
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -151,9 +188,51 @@ def _search_length(usable: DataFrame, is_query, k: int, dim: int, recall: float)
                    .select("vec_id", "v"), "ann-pool")
     asked = written(usable.filter(is_query(F.col("vec_id"))).distinct()
                     .select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("c1"), F.hash("v").alias("c2")), "ann-asked")
-    classes = asked.groupBy("c1", "c2").agg(F.min_by("v", "query_id").alias("v"))
+    classes = written(asked.groupBy("c1", "c2").agg(F.min_by("v", "query_id").alias("v")), "ann-classes")
     hasher = Hasher(dim)
-    probes = _fit_probes(pool, classes, hasher, k + 1, recall)
+    probes = min(_fit_probes(pool, classes, hasher, k + 1, recall), 2 * hasher.width)
+    due, settled = classes.withColumn("p", F.lit(probes)), []
+    while True:
+        found = written(_round(pool, due, hasher, k), "ann-found")
+        if probes >= 2 * hasher.width:                          # every query of this round was answered in full
+            settled.append(found)
+            break
+        due = written(_unsettled(due, found, hasher, k), "ann-due")
+        least = due.agg(F.min("p")).first()[0]
+        if least is None:
+            settled.append(found)
+            break
+        probes = least
+        settled.append(found.join(due.select("c1", "c2"), ["c1", "c2"], "left_anti"))
+    found = settled[0]
+    for more in settled[1:]:
+        found = found.union(more)
+    return (asked.select("query_id", "c1", "c2").join(found.select("c1", "c2", "vec_id", "score"), ["c1", "c2"])
+            .select("query_id", "vec_id", "score"))
+
+
+def _unsettled(due: DataFrame, found: DataFrame, hasher: Hasher, k: int) -> DataFrame:
+    """The queries of a round that need more probes than they had, with at least twice as many."""
+    per = found.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("cos").alias("cos"))
+    asked = (due.filter(F.col("p") < 2 * hasher.width).join(per, ["c1", "c2"], "left")
+             .select("c1", "c2", "v", "p", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cos", F.lit(0.0)).alias("cos")))
+
+    def judge(it):
+        for b in it:
+            x, p = matrix(b["v"], hasher.dim), b["p"].to_numpy()
+            n, cos, seeds = b["n"].to_numpy(), b["cos"].to_numpy(), _mixed(b["c1"].to_numpy())
+            want = np.array([8 * p[i] if n[i] <= k else hasher.need(x[i], cos[i], int(seeds[i])) for i in range(len(x))], np.int64)
+            at = np.flatnonzero(want > p)
+            more = np.minimum(np.maximum(want[at], 2 * p[at]), 2 * hasher.width).astype(np.int32)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b["c1"].take(take), b["c2"].take(take), b["v"].take(take), pa.array(more)],
+                                             names=["c1", "c2", "v", "p"])
+    return asked.mapInArrow(judge, "c1 long, c2 int, v array<double>, p int")
+
+
+def _round(pool: DataFrame, due: DataFrame, hasher: Hasher, k: int) -> DataFrame:
+    """(c1, c2, vec_id, score, cos) of the k + 1 nearest vectors in the ``p`` probed buckets of each query."""
+    dim = hasher.dim
 
     def count_codes(it):
         n = np.zeros(hasher.buckets, np.int64)
@@ -164,19 +243,18 @@ def _search_length(usable: DataFrame, is_query, k: int, dim: int, recall: float)
     def count_probes(it):
         n = np.zeros(hasher.buckets, np.int64)
         for b in it:
-            n += np.bincount(hasher.probe_order(matrix(b["v"], dim))[:, :probes].ravel(), minlength=hasher.buckets)
+            n += np.bincount(hasher.probed(matrix(b["v"], dim), b["p"].to_numpy())[1], minlength=hasher.buckets)
         yield vector_rows(n, 1)
     rows = "part int, data binary"
     zero = np.zeros(hasher.buckets, np.int64)
     held = sum_vectors(pool.select("v").mapInArrow(count_codes, rows), 1, "ann-held")
-    wanted = sum_vectors(classes.select("v").mapInArrow(count_probes, rows), 1, "ann-wanted")
+    wanted = sum_vectors(due.select("v", "p").mapInArrow(count_probes, rows), 1, "ann-wanted")
+    asked_for = (wanted if len(wanted) else zero) > 0
     vblocks = np.maximum(1, -(-(held if len(held) else zero) // BLOCK_V))
     qblocks = np.maximum(1, -(-(wanted if len(wanted) else zero) // BLOCK_Q))
 
-    def deal(codes, own, own_blocks, far_blocks, own_first):
+    def deal(row, code, own, own_blocks, far_blocks, own_first):
         """Row numbers and block keys: one block of its own side, every block of the other side."""
-        row = np.repeat(np.arange(len(codes)), codes.shape[1])
-        code = codes.ravel()
         mine = own[row] % own_blocks[code].astype(np.uint64)
         times = far_blocks[code]
         pick = np.repeat(np.arange(len(code)), times)
@@ -190,36 +268,44 @@ def _search_length(usable: DataFrame, is_query, k: int, dim: int, recall: float)
     def index(it):
         for b in it:
             x, ids = matrix(b["v"], dim), b["vec_id"].to_numpy()
-            row, code, a, q = deal(hasher.codes(x), _mixed(ids), vblocks, qblocks, True)
+            codes = hasher.codes(x)
+            at = np.nonzero(asked_for[codes])                   # buckets that no query probes need no rows
+            row, code, a, q = deal(at[0], codes[at], _mixed(ids), vblocks, qblocks, True)
             yield table_of(["code", "vb", "qb", "vec_id", "v"], code, a, q, ids[row], b["v"].take(pa.array(row)))
 
     def ask(it):
         for b in it:
             x = matrix(b["v"], dim)
             own = _mixed(b["c1"].to_numpy())
-            row, code, a, q = deal(hasher.probe_order(x)[:, :probes], own, qblocks, vblocks, False)
+            row, code, a, q = deal(*hasher.probed(x, b["p"].to_numpy()), own, qblocks, vblocks, False)
             take = pa.array(row)
             yield table_of(["code", "vb", "qb", "c1", "c2", "v"], code, a, q, b["c1"].take(take), b["c2"].take(take), b["v"].take(take))
 
     key = "code long, vb long, qb long"
     left = pool.mapInArrow(index, f"{key}, vec_id long, v array<double>")
-    right = classes.mapInArrow(ask, f"{key}, c1 long, c2 int, v array<double>")
+    right = due.mapInArrow(ask, f"{key}, c1 long, c2 int, v array<double>")
 
     def rerank(vec, ask):
         if not vec.num_rows or not ask.num_rows:
             return pa.table({"c1": pa.array([], pa.int64()), "c2": pa.array([], pa.int32()),
-                             "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+                             "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()),
+                             "cos": pa.array([], pa.float64())})
         x, ids = matrix(vec["v"].combine_chunks(), dim), vec["vec_id"].to_numpy()
-        found = [nearest(ids, x, q, k + 1) for q in matrix(ask["v"].combine_chunks(), dim)]
+        qs = matrix(ask["v"].combine_chunks(), dim)
+        found = [nearest_at(ids, x, q, k + 1) for q in qs]
+        cos = [cosines(x[f[0]], q) for q, f in zip(qs, found)]
         take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
         return pa.table({"c1": ask["c1"].take(take), "c2": ask["c2"].take(take),
-                         "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found])})
+                         "vec_id": ids[np.concatenate([f[0] for f in found])], "score": np.concatenate([f[1] for f in found]),
+                         "cos": np.concatenate(cos)})
     keys = ("code", "vb", "qb")
     found = (left.groupBy(*keys).cogroup(right.groupBy(*keys))
-             .applyInArrow(rerank, "c1 long, c2 int, vec_id long, score double")
-             .groupBy("c1", "c2", "vec_id").agg(F.min("score").alias("score")))
+             .applyInArrow(rerank, "c1 long, c2 int, vec_id long, score double, cos double")
+             .groupBy("c1", "c2", "vec_id").agg(F.min("score").alias("score"), F.max("cos").alias("cos")))
     best = Window.partitionBy("c1", "c2").orderBy("score", "vec_id")
-    found = found.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= k + 1)
+    return found.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= k + 1).drop("turn")
+
+
     return asked.select("query_id", "c1", "c2").join(found, ["c1", "c2"]).select("query_id", "vec_id", "score")
 
 

@@ -440,3 +440,19 @@ def test_neighbours_of_other_lengths(spark, monkeypatch):
     assert set(got) == {0, 100, 200, 1100} and got[1100] == [1101, 1102, 1103]
     hits = sum(len(set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11]) & set(got[q])) for q in (0, 100, 200))
     assert all(len(got[q]) == 10 for q in (0, 100, 200)) and hits >= 27
+
+
+def test_neighbours_of_isolated_vectors(spark):
+    """Few large clusters and some isolated vectors: each query gets its rows and its neighbours, not only the mean."""
+    from ledgerlens.llm import ann
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(3, 32))
+    x = np.concatenate([centres[i % 3] + 0.05 * rng.normal(size=(1, 32)) for i in range(4500)] + [rng.normal(size=(60, 32))])
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<double>")
+    asked = [*range(0, 4500, 50), *range(4500, 4560, 8)]
+    got = defaultdict(list)
+    for r in ann.search(df, lambda i: i.isin(asked)).collect():
+        got[r.query_id].append(r.vec_id)
+    hits = {q: len(set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11]) & set(got[q])) for q in asked}
+    assert all(len(got[q]) == 10 for q in asked)
+    assert min(hits[q] for q in asked if q >= 4500) >= 7 and sum(hits.values()) >= 9 * len(asked)
