@@ -3,7 +3,8 @@
 A rule names a host and a path prefix; it fits that host and its subdomains, and the longest fitting rule
 decides.  Urls that no rule fits inherit from their aliases.  Aliases are the connected components over
  - spellings of one address (scheme, letter case of the host, fragment, tracking parameters, final slash),
- - canonical links and meta refreshes found in the page,
+ - every canonical link and every meta refresh found in the page (character references decoded, relative
+   targets resolved against the page's own address; a base element is not read),
  - rows of a redirect table, if given.
 A component with a blocked address blocks its undecided members, unless an address of it is explicitly
 allowed: an allow takes precedence.  A rule's own verdict is never overturned.
@@ -18,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import ascii_lower, table, written
+from ledgerlens.functions.text import decode_entities
+from ledgerlens.llm.common import ascii_lower, let, table, written
 from ledgerlens.llm.components import connected_components
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -28,6 +30,10 @@ CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+LINK_TAG = r"""(?is)<link\b[^>]*\srel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*>"""
+META_TAG = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*>"""
+ATTRIBUTE = r"""(?is)[\s"']%s\s*=\s*(?:"([^">]*)|'([^'>]*)|([^"'\s>]+))"""
+DELAYED = r"""(?is)^\s*(?:[\d.]*+[\s;,]*+url\s*=\s*|[\d.]++[\s;,]++(?!url\s*=))["']?([^"']+)"""
 TRACKING = r"(?:^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 
 
@@ -64,24 +70,49 @@ def rule_columns(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return (none, none) if name is None else (name, action)
 
 
-def link_target(html: Column, url: Column) -> Column:
-    """Absolute url of the canonical link, else of the meta refresh, else null."""
-    raw = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1)
-    raw = F.when(raw != "", raw).otherwise(F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1))
-    return (F.when(F.coalesce(raw, F.lit("")) == "", None)
-            .when(raw.contains("://"), raw)
+def link_values(html: Column) -> Column:
+    """The address attributes, as written, of all canonical links and meta refreshes of a page."""
+    def values(tags, attribute, kind):
+        tags = F.coalesce(F.regexp_extract_all(html, F.lit(tags), F.lit(0)), F.array().cast("array<string>"))
+        return F.transform(tags, lambda t: F.struct(F.lit(kind).alias("kind"), F.concat(
+            *[F.regexp_extract(t, ATTRIBUTE % attribute, i) for i in (1, 2, 3)]).alias("raw")))
+    return F.concat(values(LINK_TAG, "href", "link"), values(META_TAG, "content", "refresh"))
+
+
+def link_target(kind: Column, raw: Column, host: Column, path: Column) -> Column:
+    """Absolute url of one attribute of ``link_values`` on the page at host and path, or null."""
+    plain = let(decode_entities(raw), lambda r: F.when(kind == "refresh", F.regexp_extract(r, DELAYED, 1)).otherwise(r))
+    plain = F.regexp_replace(F.regexp_replace(plain, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    return let(plain, lambda r: _absolute(r, host, path))
+
+
+def _absolute(raw: Column, host: Column, path: Column) -> Column:
+    own = F.regexp_extract(raw, r"^[^?#]*", 0)
+    folder = F.regexp_extract(F.when(path == "", "/").otherwise(path), r"^.*/", 0)
+    full = (F.when(own == "", path).when(own.startswith("/"), own).otherwise(F.concat(folder, own)))
+    full = F.regexp_replace(full, r"/\.{1,2}$", "$0/")
+    parts = F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), lambda done, p: (
+        F.when(p == ".", done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.concat(done, F.array(p)))))
+    return (F.when((raw == "") | raw.startswith("#"), None)
+            .when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), raw)
             .when(raw.startswith("//"), F.concat(F.lit("http:"), raw))
-            .when(raw.startswith("/"), F.concat(F.lit("http://"), host_of(url), raw)))
+            .when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | (host == ""), None)
+            .otherwise(F.concat(F.lit("http://"), host, F.array_join(parts, "/"), F.regexp_extract(raw, r"(?s)[?#].*", 0))))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict.  ``redirects`` has (from_url, to_url)."""
     url = F.col("url")
     judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"),
-                          address_of(url).alias("address"), link_target(F.col("html"), url).alias("target"))
+                          address_of(url).alias("address"), link_values(F.col("html")).alias("links"))
     rule, action = rule_columns(F.col("host"), F.col("path"), rules)
     judged = written(judged.withColumns({"rule": rule, "action": action}), "url-judged")
-    far = judged.filter("target is not null").select("address", "target")
+    far = judged.select("address", F.col("host").alias("h"), F.col("path").alias("p"), F.explode("links").alias("link"))
+    # written: the target is referred to many times below
+    far = written(far.select("address", "h", "p", F.col("link.kind").alias("kind"), F.col("link.raw").alias("raw")).select(
+        "address", link_target(F.col("kind"), F.col("raw"), F.col("h"), F.col("p")).alias("target")), "url-links")
+    far = far.filter("target is not null")
     if redirects is not None:
         far = far.union(redirects.select(address_of(F.col("from_url")), "to_url"))
     t = F.col("target")

@@ -456,3 +456,26 @@ def test_neighbours_of_isolated_vectors(spark):
     hits = {q: len(set(np.argsort(((x - x[q]) ** 2).sum(1))[1:11]) & set(got[q])) for q in asked}
     assert all(len(got[q]) == 10 for q in asked)
     assert min(hits[q] for q in asked if q >= 4500) >= 7 and sum(hits.values()) >= 9 * len(asked)
+
+
+def test_url_filter_follows_every_link(spark):
+    """Canonical links beside refreshes, several of each, relative targets and character references."""
+    from html import unescape
+    from urllib.parse import urljoin
+
+    from ledgerlens.llm.url_filter import filter_urls
+    own = '<link rel="canonical" href="http://p.net/d/{}"/>'
+    refresh = '<meta http-equiv="refresh" content="{}">'
+    heads = [own + refresh.format("0; url=http://x.com/de/a"), refresh.format("3;URL='http://x.com/de/b'") + own,
+             own + '<link href="http://x.com/de/c" rel="alternate canonical">', '<link rel=canonical href="bad">',
+             '<link rel="canonical" href="../d/./bad">', '<link rel="canonical" href="/q?a=1&amp;b=2">',
+             '<link rel="canonical" href="?a=1&#38;c=3">', own + own.replace("http://p.net/d/{}", "http://x.com/de/e"),
+             own, '<link rel="canonical" href="/ok?u=http://x.com/de/a">', '<link rel="stylesheet" href="http://x.com/de/a">',
+             refresh.format("5"), '<link rel="canonical" href="#top">', '<link rel="canonical" href="mailto:a@x.com">']
+    rows = [(i, f"http://p.net/d/{i}", h.replace("{}", str(i))) for i, h in enumerate(heads)]
+    rows += [(90, "http://p.net/d/bad", '<link rel="canonical" href="http://x.com/de/z">'),
+             (91, "http://p.net/q?a=1&b=2", refresh.format("0;url=http://x.com/de/z")),
+             (92, "http://p.net/d/6?a=1&c=3", refresh.format("0;url=http://x.com/de/z"))]
+    got = {r.page_id: r.verdict for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [i for i in got if got[i] == "block"] and {i for i in got if got[i] == "block"} == {0, 1, 2, 3, 4, 5, 6, 7, 90, 91, 92}
+    assert urljoin(rows[4][1], "../d/./bad") == rows[-3][1] and urljoin(rows[5][1], unescape("/q?a=1&amp;b=2")) == rows[-2][1]
