@@ -4,7 +4,7 @@ A document is the set of its distinct word n-grams (64-bit hashes).  Its signatu
 under each of as many hash functions the smallest value of the set.  Two sets of Jaccard similarity s agree in
 each coordinate with probability s, independently, so the number of agreeing coordinates (collisions) is
 binomial.  ``match_threshold`` takes the largest number of matches that a linked pair misses with probability
-2e-8 at most (38 of 64 at 0.85); that chance is the only way to lose a link.
+2e-8 at most (36 of 64 at 0.85); that chance is the only way to lose a link.
 
  1. Classes.  Documents with equal sets (known by a hash of the set) are one class; copies are never compared.
  2. Posting.  Every class is posted under each (coordinate, value) pair.  Pairs that occur once cannot collide and
@@ -15,10 +15,11 @@ binomial.  ``match_threshold`` takes the largest number of matches that a linked
  4. Hubs.  In each list every class is compared with the one that shares most (highest sum of log frequencies):
     in a family of edited copies that is the original.  Links form components; a list of two, or within one
     component, is settled.
- 5. Skip merging.  Of the other lists, classes are cut by size band and hash into blocks of bounded size.  In a
-    block the coordinates of all pairs in different components are counted in steps; a pair that cannot reach
-    the threshold any more is skipped, and when none is left so is the block.  Pairs above it are intersected
-    exactly, and a block gives a spanning forest of its links: never more rows than it has classes.
+ 5. Skip merging.  Of the other lists, classes are cut by size band and hash into cells of bounded size; two cells
+    make a block, and those of a list's largest component only meet the list's other classes.  In a block the
+    coordinates of all pairs in different components are counted in steps; a pair that cannot reach the threshold
+    any more is skipped, and when none is left so is the block.  Pairs above it are intersected exactly, and a
+    block gives a spanning forest of its links: never more rows than it has classes.
 
 Every linked pair above the match threshold shares a prefix list, so none between components is left out.
 Counts are partial aggregates, joins on hot keys are split by adaptive execution, and a hot list is dealt over
@@ -48,7 +49,8 @@ from ledgerlens.llm.jaccard import listed_only, set_hash, sets_of
 GRAM, NUM, DEN = 3, 85, 100
 COORDINATES = 64
 MISS = 2e-8
-BLOCK = 384                     # classes of a cell; a block has two cells at most
+BLOCK = 512                     # classes of a cell; a block has two cells at most
+CELL_GRAMS = 1 << 19            # n-grams of a cell, on average
 COLUMNS = 4096                  # n-grams intersected at once
 STEP = 8                        # coordinates counted between two looks at what is left
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -225,41 +227,62 @@ def block_links(n, side, comp, sig, sets, one_cell: bool, matches: int, num: int
 
 
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, matches: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that join different components within lists of three classes or more; written."""
+    """Links (a, b) that join different components within lists of three classes or more; written.
+
+    The classes of a list's largest component need no comparison with each other: they meet only the others, so a
+    list of a large family and a few strangers costs about its size times its strangers."""
     own = (members.filter("m > 2").join(labels.withColumnsRenamed({"node": "c"}), "c", "left")
            .select("p", "c", "n", F.coalesce("component", "c").alias("comp")))
     own = written(own, "minhash-members")
-    apart = own.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("p")
     # sizes of a linked pair differ by den / num at most, so they lie in one band or in neighbouring ones
     band = F.floor(F.log(F.col("n")) / F.lit(log(den / num) + 1e-3)).cast("int")
-    own = written(own.join(apart, "p", "left_semi").withColumn("band", band), "minhash-open")
-    cells = own.groupBy("p", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("cells"))
+    largest = (own.groupBy("p", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("p")
+               .agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
+               .filter("comps > 1").select("p", "main"))
+    own = written(own.join(largest, "p").select("p", "c", "n", "comp", band.alias("band"), (F.col("comp") == F.col("main")).alias("main")),
+                  "minhash-open")
+
+    def room(main: bool):
+        here = F.col("main") == F.lit(main)
+        rows, grams = F.count_if(here), F.sum(F.when(here, F.col("n").cast("long")).otherwise(0))
+        return F.greatest(F.ceil(rows / F.lit(BLOCK)), F.ceil(grams / F.lit(CELL_GRAMS))).cast("int")
+    cells = own.groupBy("p", "band").agg(room(True).alias("s0"), room(False).alias("o0"))
     by_list = Window.partitionBy("p").orderBy("band")         # one row per size band: some 130 for any list
-    next_to = lambda f, d: F.when(f("band", 1).over(by_list) == F.col("band") + d, f("cells", 1).over(by_list)).otherwise(0)
-    cells = cells.select("p", "band", "cells", next_to(F.lead, 1).alias("above"), next_to(F.lag, -1).alias("below"))
-    cell = F.pmod(F.xxhash64("c"), F.col("cells")).cast("int")
-    to = lambda n, key: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), key)).otherwise(
-        F.array().cast("array<struct<band:int,i:int,other:int,j:int,side:int>>"))
-    key = lambda band, i, other, j, side: F.struct(*[x.cast("int").alias(k) for x, k in
-                                                     zip((band, i, other, j, side), ("band", "i", "other", "j", "side"))])
-    here, i = F.col("band"), F.col("i")
-    within = to(F.col("cells"), lambda j: key(here, F.least(i, j), here, F.greatest(i, j), (i > j).cast("int")))
-    upward = to(F.col("above"), lambda j: key(here, i, here + 1, j, F.lit(0)))
-    downward = to(F.col("below"), lambda j: key(here - 1, j, here, i, F.lit(1)))
-    dealt = (own.join(cells, ["p", "band"]).withColumn("i", cell)
-             .select("p", "c", "n", "comp", F.explode(F.concat(within, upward, downward)).alias("to"))
+    next_to = lambda f, d, c: F.when(f("band", 1).over(by_list) == F.col("band") + d, f(c, 1).over(by_list)).otherwise(0)
+    cells = cells.select("p", "band", "s0", "o0", *[next_to(f, d, c).alias(f"{c[0]}{t}") for t, f, d in
+                                                    (("1", F.lead, 1), ("2", F.lag, -1)) for c in ("s0", "o0")])
+    place = "struct<band:int,main:boolean,i:int,other:int,other_main:boolean,j:int,side:int>"
+    here, i, main = F.col("band"), F.col("i"), F.col("main")
+    names = ("band", "main", "i", "other", "other_main", "j", "side")
+    key = lambda *v: F.struct(*[x.alias(k) for x, k in zip(v, names)]).cast(place)
+    no, yes = F.lit(False), F.lit(True)
+    to = lambda n, one: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one)).otherwise(
+        F.array().cast(f"array<{place}>"))
+    only = lambda cond, n: F.when(cond, n).otherwise(0)
+    stranger, family = ~main, main
+    dealt = [                                                  # of a block's two cells, the first is named first
+        to(only(stranger, F.col("o0")), lambda j: key(here, no, F.least(i, j), here, no, F.greatest(i, j), (i > j).cast("int"))),
+        to(only(stranger, F.col("s0")), lambda j: key(here, no, i, here, yes, j, F.lit(0))),
+        to(only(family, F.col("o0")), lambda j: key(here, no, j, here, yes, i, F.lit(1))),
+        to(F.col("o1"), lambda j: key(here, main, i, here + 1, no, j, F.lit(0))),
+        to(only(stranger, F.col("s1")), lambda j: key(here, no, i, here + 1, yes, j, F.lit(0))),
+        to(F.col("o2"), lambda j: key(here - 1, no, j, here, main, i, F.lit(1))),
+        to(only(stranger, F.col("s2")), lambda j: key(here - 1, yes, j, here, no, i, F.lit(1))),
+    ]
+    cell = F.pmod(F.xxhash64("c"), F.when(main, F.col("s0")).otherwise(F.col("o0"))).cast("int")
+    dealt = (own.join(cells, ["p", "band"]).withColumn("i", cell).select("p", "c", "n", "comp", F.explode(F.concat(*dealt)).alias("to"))
              .select("p", "to.*", "c", "n", "comp").join(sets, "c"))
 
     def compare(block: pa.Table) -> pa.Table:
         c, n, side, comp = (block[x].to_numpy() for x in ("c", "n", "side", "comp"))
         if len(c) < 2:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        one = block["band"][0] == block["other"][0] and block["i"][0] == block["j"][0]
+        one = all(block[x][0] == block[y][0] for x, y in (("band", "other"), ("main", "other_main"), ("i", "j")))
         sig = np.stack([np.frombuffer(s, np.uint32) for s in block["sig"].to_pylist()])
         grams = [np.frombuffer(s, np.uint64) for s in block["grams"].to_pylist()]
         a, b = block_links(n, side, comp, sig, grams, one, matches, num, den)
         return pa.table({"a": pa.array(c[a], pa.int64()), "b": pa.array(c[b], pa.int64())})
-    return written(dealt.groupBy("p", "band", "i", "other", "j").applyInArrow(compare, "a long, b long"), "minhash-rest")
+    return written(dealt.groupBy("p", "band", "main", "i", "other", "other_main", "j").applyInArrow(compare, "a long, b long"), "minhash-rest")
 
 
 def minhash_components(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = DEN,
