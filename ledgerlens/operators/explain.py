@@ -84,11 +84,15 @@ def explain_linear(df: DataFrame, x_col: str, weights: list[list[float]],
 
 def explain_fitted(model, df: DataFrame, keep: list[str], target_class: str | None = None,
                    n: int = TOP_N) -> DataFrame:
-    """X1-X3 for a fitted linear ``LedgerModel``: ``keep``, ``code`` (the predicted class, or the chosen one),
-    ``margin`` = score(x) - score(mean), ``total`` = sum of all contributions (equal to it), and ``top``, the
-    ``n`` largest contributions with feature names.
-
-    Coefficients (classes x features) and means are sent once per task; a batch is a few matrix products."""
+    """X1-X3 for a fitted ``LedgerModel``: ``keep``, ``code`` (the predicted class, or the chosen one),
+    ``confidence``, ``margin`` = score less expected score, ``total`` = sum of all contributions (equal to it), and
+    ``top``, the ``n`` largest contributions with feature names and values.
+
+    Tree models: exact path attribution (``attribution.explain_trees``).  Linear ones: score(x) - score(mean) in
+    parts; coefficients (classes x features) and means are sent once per task, a batch is a few matrix products."""
+    if model.kind != "logistic":
+        from .attribution import explain_trees
+        return explain_trees(model, df, keep, target_class, n)
     coef, means, names, classes = _linear_parts(model)
     if target_class is not None and target_class not in classes:
         raise ValueError(f"this model has no class {target_class!r}")
@@ -97,7 +101,7 @@ def explain_fitted(model, df: DataFrame, keep: list[str], target_class: str | No
     shared = df.sparkSession.sparkContext.broadcast((coef, means, intercept, names))
     chosen = None if target_class is None else classes.index(target_class)
     top = "array<struct<feature:string,value:double,contribution:double>>"
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields if f.name in keep)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields if f.name in keep]
 
     def run(batches):
         w, m, b, label = shared.value
@@ -113,6 +117,8 @@ def explain_fitted(model, df: DataFrame, keep: list[str], target_class: str | No
                 row = np.repeat(np.arange(hi - lo), np.diff(at[lo:hi + 1]))
                 dense[row, col[at[lo]:at[hi]]] = num[at[lo]:at[hi]]
                 scores = dense @ w.T + b
+                prob = np.exp(scores - scores.max(1, keepdims=True))
+                prob /= prob.sum(1, keepdims=True)
                 c = scores.argmax(1) if chosen is None else np.full(hi - lo, chosen)
                 contribution = w[c] * (dense - m)
                 r = np.arange(hi - lo)
@@ -124,14 +130,18 @@ def explain_fitted(model, df: DataFrame, keep: list[str], target_class: str | No
                         [label.take(pa.array(flat)), pa.array(dense[at_row, flat]), pa.array(contribution[at_row, flat])],
                         names=["feature", "value", "contribution"]))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch[k].slice(lo, hi - lo) for k in keep], pa.array([classes[i] for i in c], pa.string()),
+                    [*[batch[k].slice(lo, hi - lo) for k in keep], pa.array([classes[i] for i in c], pa.string()), pa.array(prob[r, c]),
                      pa.array(scores[r, c] - (w[c] @ m + b[c])), pa.array(contribution.sum(1)), tops],
-                    names=[*keep, "code", "margin", "total", "top"])
-    return x.mapInArrow(run, f"{kept}, code string, margin double, total double, top {top}")
+                    names=[*keep, "code", "confidence", "margin", "total", "top"])
+    return x.mapInArrow(run, ", ".join([*kept, "code string, confidence double, margin double, total double", f"top {top}"]))
 
 
 def fitted_importance(model, df: DataFrame, top: int = GLOBAL_TOP) -> DataFrame:
-    """X4 for a fitted linear model: mean |contribution| over rows and classes, largest first."""
+    """X4 for a fitted model, largest first.  Linear: mean |contribution| over rows and classes; trees: over rows,
+    toward the predicted class."""
+    if model.kind != "logistic":
+        from .attribution import tree_importance
+        return tree_importance(model, df, top)
     coef, means, names, _ = _linear_parts(model)
     shared = df.sparkSession.sparkContext.broadcast(means)
     weight = np.abs(coef).mean(0)

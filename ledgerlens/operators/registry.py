@@ -181,7 +181,8 @@ def load_bundle(registry: ModelRegistry, version: str | None = None):
     from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
     from pyspark.ml.feature import StringIndexerModel
 
-    from ..plans.learn import BoostedModel, FeatureModel, LedgerModel
+    from ..plans.learn import FeatureModel, LedgerModel
+    from .boosting import SoftmaxModel
     from .features import DateFeatures
     from .profile import DomainFeatures, Profile
     from .tfidf import TfidfModel
@@ -193,7 +194,7 @@ def load_bundle(registry: ModelRegistry, version: str | None = None):
     meta = json.loads(registry.spark.read.text(f"{base}/meta").first()[0])
     labels = StringIndexerModel.load(f"{base}/labels")
     if meta["kind"] == "boosted":
-        classifier = BoostedModel.load(f"{base}/classifier", len(labels.labels))
+        classifier = SoftmaxModel.load(registry.spark, f"{base}/classifier")
     else:
         kinds = {"forest": RandomForestClassificationModel, "logistic": LogisticRegressionModel}
         classifier = kinds[meta["kind"]].load(f"{base}/classifier")

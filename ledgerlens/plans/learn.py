@@ -3,7 +3,7 @@
 Fitting is Spark ML: the label encoder is a ``StringIndexer`` (alphabetical,
 like a sorted label encoder), the classifier any ``pyspark.ml`` probabilistic
 classifier (random forest by default; multinomial logistic regression as
-the linear option; boosted trees per class with early stopping).  Features per row:
+the linear option; joint softmax boosting with early stopping).  Features per row:
 
 * TF-IDF: term arrays from Column expressions; per Arrow batch the terms are
   looked up in the fitted vocabulary (bounded, shipped with the closure) and
@@ -19,16 +19,14 @@ ranked top-k codes.
 from __future__ import annotations
 
 import time
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Model
-from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -38,6 +36,7 @@ from pyspark.sql import types as T
 from ..operators import evaluate as ev
 from ..operators import features as feat
 from ..operators import normalize as nz
+from ..operators.boosting import SoftmaxBoosting, SoftmaxModel
 from ..operators.profile import DomainFeatures
 from ..operators.tfidf import LEDGER_BLOCKS, BlockSpec, TfidfModel, TfidfVectorizer, batch_weights, ledger_texts
 
@@ -175,83 +174,28 @@ FIT_ROWS = 4_000
 
 
 def make_classifier(kind: str = "forest", **params):
-    """A Spark ML probabilistic multi-class classifier."""
+    """A probabilistic multi-class classifier."""
     if kind == "forest":
         defaults = dict(numTrees=40, maxDepth=10, maxBins=32, subsamplingRate=0.7,
                         featureSubsetStrategy="sqrt", minInstancesPerNode=1, seed=42)
         defaults.update(params)
         return RandomForestClassifier(featuresCol="features", labelCol="label", **defaults)
     if kind == "logistic":
-        defaults = dict(maxIter=50, regParam=0.001, elasticNetParam=0.0, tol=1e-3, family="multinomial")
+        defaults = dict(maxIter=100, regParam=0.001, elasticNetParam=0.0, tol=1e-6, family="multinomial")
         defaults.update(params)
         return LogisticRegression(featuresCol="features", labelCol="label", **defaults)
     if kind == "boosted":
-        return BoostedClasses(**params)
+        return SoftmaxBoosting(**params)
     raise ValueError(f"unknown classifier kind: {kind}")
 
 
-class BoostedClasses:
-    """Boosted trees for several classes: one ``GBTClassifier`` per class against the rest.
-
-    Rows are weighted so that both sides of a class weigh alike, and a hashed tenth of the rows (column
-    ``held``) stops the boosting of a class when it no longer gains there."""
-
-    def __init__(self, maxIter: int = 40, maxDepth: int = 5, stepSize: float = 0.1, subsamplingRate: float = 0.7,
-                 validationTol: float = 0.001, parallelism: int = 4, seed: int = 42):
-        self.params = dict(maxIter=maxIter, maxDepth=maxDepth, stepSize=stepSize, subsamplingRate=subsamplingRate,
-                           validationTol=validationTol, seed=seed)
-        self.parallelism = parallelism
-
-    def fit(self, x: DataFrame) -> "BoostedModel":
-        n_classes = int(x.agg(F.max("label")).first()[0] or 0) + 1
-        held = (F.pmod(F.xxhash64("features"), F.lit(10)) == 0).alias("held")
-        sizes = {int(r["label"]): r["count"] for r in x.groupBy("label").count().collect()}
-        total = sum(sizes.values())
-
-        def one(c: int):
-            n = sizes.get(c, 0)
-            own = F.col("label") == c
-            weight = F.when(own, total / (2.0 * max(n, 1))).otherwise(total / (2.0 * max(total - n, 1)))
-            rows = x.select("features", own.cast("double").alias("label"), held, weight.alias("weight"))
-            return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                                 validationIndicatorCol="held", **self.params).fit(rows)
-        with ThreadPoolExecutor(max_workers=self.parallelism) as pool:
-            return BoostedModel(list(pool.map(one, range(n_classes))))
-
-
-class BoostedModel:
-    """Scores of the per-class models, normalised to a distribution in ``probability``."""
-
-    def __init__(self, models: list[GBTClassificationModel]):
-        self.models = models
-
-    def transform(self, x: DataFrame) -> DataFrame:
-        for i, m in enumerate(self.models):
-            m = m.copy()
-            m.setPredictionCol(f"__pred{i}").setProbabilityCol(f"__p{i}").setRawPredictionCol(f"__raw{i}")
-            x = m.transform(x)
-        n = len(self.models)
-        p = F.array(*[F.element_at(vector_to_array(f"__p{i}"), 2) for i in range(n)])
-        x = x.withColumn("__p", p).withColumn("__sum", F.aggregate("__p", F.lit(0.0), lambda a, v: a + v))
-        x = x.withColumn("probability", array_to_vector(F.transform("__p", lambda v: v / F.col("__sum"))))
-        return x.drop("__p", "__sum", *[f"__{k}{i}" for i in range(n) for k in ("pred", "p", "raw")])
-
-    def save(self, path: str) -> None:
-        for i, m in enumerate(self.models):
-            m.write().overwrite().save(f"{path}/class-{i:05d}")
-
-    @classmethod
-    def load(cls, path: str, n_classes: int) -> "BoostedModel":
-        return cls([GBTClassificationModel.load(f"{path}/class-{i:05d}") for i in range(n_classes)])
-
-
 @dataclass
 class LedgerModel:
     """A fitted bundle: features, label encoder, classifier, metrics."""
 
     features: FeatureModel
     labels: StringIndexerModel
-    classifier: Model | BoostedModel
+    classifier: Model | SoftmaxModel
     train_seconds: float = 0.0
     metrics: dict = field(default_factory=dict)
     baseline_accuracy: float = 0.0

@@ -131,7 +131,7 @@ def test_boosted_classes(spark):
     from pyspark.ml.linalg import Vectors
     rows = [(float(i % 3), Vectors.dense([i % 3 == 1, i % 3 == 2, i % 7])) for i in range(240)]
     x = spark.createDataFrame(rows, ["label", "features"])
-    m = learn.make_classifier("boosted", maxIter=4, maxDepth=2).fit(x)
+    m = learn.make_classifier("boosted", n_estimators=4, max_depth=2, min_rows=2, patience=None).fit(x)
     from pyspark.ml.functions import vector_to_array
     out = m.transform(x).select("label", vector_to_array("probability").alias("p")).collect()
     assert all(len(r["p"]) == 3 and abs(sum(r["p"]) - 1) < 1e-9 for r in out)
