@@ -5,9 +5,12 @@ Words are maximal runs of Latin letters.  As a multiset of letters a word is a b
 words have vectors at Hamming distance two at most.
 
  1. Count.  Runs of seven letters or more are counted over all texts (partial aggregate); rare ones go.
- 2. Partition and enumerate.  The places are dealt into ``parts`` partitions by a hash.  Two vectors at distance
-    two differ in at most two partitions, so they are equal on some choice of ``parts - 2``; each word gives one
-    exact signature per choice: a hash of the choice and the places that lie in it.
+ 2. Partition and enumerate.  The places are dealt into partitions by a hash.  Two vectors at distance k differ in k
+    partitions at most, so they are equal on some choice of all but k of them; each word gives one exact signature
+    per choice: a hash of the choice and of the places that lie in it.  Words of one length are near at distance two
+    (four partitions, six choices), words of neighbouring lengths at distance one (three partitions, three choices).
+    Many words share their letters, so a signature also holds the lengths and a half of the word: the edit lies in
+    one half and leaves the letters of the other as they are, in their order.
  3. Equi-join of equal signatures, and in the same join the verification: words of the pair differ by exactly
     one code point.  Only verified pairs leave the join; hot signatures are split by adaptive execution.
  4. A word's form is its most frequent near word, if that is ``ratio`` times as frequent.  Frequencies along
@@ -33,7 +36,7 @@ from ledgerlens.llm.words import mix64
 # Fixed values of the task: letters of a run, smallest word, smallest count, typo rule, dominance of a form.
 LETTERS = "A-Za-zÀ-ÿ"
 LEAST_LENGTH, LEAST_COUNT, TYPO, RATIO = 7, 2, 31, 10
-PARTS = 8
+PARTS, PARTS_NEXT = 4, 3         # partitions for words of the same length, of neighbouring lengths
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -71,28 +74,55 @@ def part_sums(words: list[str], parts: int) -> np.ndarray:
     return out
 
 
-def enumerated(sums: np.ndarray) -> np.ndarray:
-    """(words, choices) signatures: one for each choice of all but two partitions."""
-    parts = sums.shape[1]
+def half_hashes(words: list[str]) -> np.ndarray:
+    """(words, 6) hashes of halves with the lengths they are for: first and last half among words of the same length;
+    the same as the shorter one of a pair; as the longer one."""
+    out = np.zeros((len(words), 6), np.uint64)
+    size = np.array([len(w) for w in words], np.int64)
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        letters = np.frombuffer("".join(words[i] for i in at).encode("utf-32-le"), np.uint32).reshape(len(at), n).astype(np.uint64)
+        h, g = n // 2, (n - 1) // 2
+        halves = ((letters[:, :h], 4 * n), (letters[:, h:], 4 * n + 1), (letters[:, :h], 4 * n + 2), (letters[:, h:], 4 * n + 3),
+                  (letters[:, :g], 4 * (n - 1) + 2), (letters[:, g + 1:], 4 * (n - 1) + 3))
+        for k, (part, seed) in enumerate(halves):
+            total = np.full(len(at), seed, np.uint64)
+            for j in range(part.shape[1]):
+                total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + part[:, j])
+            out[at, k] = total
+    return out
+
+
+def enumerated(sums: np.ndarray, apart: int) -> list[np.ndarray]:
+    """One hash per choice of all but ``apart`` partitions; ``sums`` is (words, partitions)."""
     total = sums.sum(1, dtype=np.uint64)
-    out = [mix64((total - sums[:, p] - sums[:, q]) ^ mix64(np.full(1, p * parts + q + 1, np.uint64)))
-           for p, q in combinations(range(parts), 2)]
-    return np.stack(out, 1)
+    out = []
+    for i, away in enumerate(combinations(range(sums.shape[1]), apart)):
+        left = total - sums[:, list(away)].sum(1, dtype=np.uint64)
+        out.append(mix64(left ^ mix64(np.full(1, 1000 * apart + i + 1, np.uint64))))
+    return out
+
+
+def signatures(words: list[str], parts: int = PARTS, parts_next: int = PARTS_NEXT) -> np.ndarray:
+    """(words, signatures) of each word."""
+    half = half_hashes(words)
+    same = [mix64(e ^ half[:, k]) for e in enumerated(part_sums(words, parts), 2) for k in (0, 1)]
+    return np.stack(same + [mix64(e ^ half[:, k]) for e in enumerated(part_sums(words, parts_next), 1) for k in (2, 3, 4, 5)], 1)
 
 
-def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
+def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b, na, nb), a < b: the words that differ by exactly one code point, once each; ``words`` is (word, n)."""
     def sign(it):
         for b in it:
-            sig = enumerated(part_sums(b["word"].to_pylist(), parts))
+            sig = signatures(b["word"].to_pylist())
             again = pa.array(np.repeat(np.arange(b.num_rows), sig.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(sig.reshape(-1).view(np.int64)), b["word"].take(again), b["n"].take(again)],
                                              names=["s", "word", "n"])
     signed = words.mapInArrow(sign, "s long, word string, n long")
-    side = lambda x: signed.select("s", F.col("word").alias(x), F.col("n").alias(f"n{x}"))
-    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
-    a, b = side("a"), side("b").withColumnRenamed("s", "t")
-    return a.join(b, (F.col("s") == F.col("t")) & near).select("a", "b", "na", "nb").distinct()
+    a, b = signed.alias("a"), signed.alias("b")               # the same exchange serves both sides
+    near = (F.col("a.word") < F.col("b.word")) & (F.levenshtein("a.word", "b.word", 1) == 1)
+    return a.join(b, (F.col("a.s") == F.col("b.s")) & near).select(
+        F.col("a.word").alias("a"), F.col("b.word").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -107,10 +137,10 @@ def roots(forms: DataFrame) -> DataFrame:
             return ptr.withColumnRenamed("to", "root")
 
 
-def spelling_variants(docs: DataFrame, ratio: int = RATIO, parts: int = PARTS) -> DataFrame:
+def spelling_variants(docs: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, n, n_near, form, form_n, root) of every word of ``docs`` (doc_id, text)."""
     words = written(word_counts(docs.select("doc_id", "text")), "spelling-words")
-    pairs = written(near_pairs(words, parts), "spelling-pairs")
+    pairs = written(near_pairs(words), "spelling-pairs")
     both = pairs.select(F.col("a").alias("w"), F.col("b").alias("v"), F.col("nb").alias("nv")).union(
         pairs.select(F.col("b").alias("w"), F.col("a").alias("v"), F.col("na").alias("nv")))
     best = both.groupBy("w").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct(-F.col("nv"), F.col("v"))).alias("best"))

@@ -191,7 +191,8 @@ def spelled(seed, docs=60):
                     w = spoil(w)
             ws.append(w.upper() if rng.random() < 0.05 else w)
         out.append((i, rng.choice([" ", ", ", "_", "1"]).join(ws)))
-    return out + [(None, "anagramme anagramme Anagramme"), (None, None), (5, ""), (5, out[5][1]), (7, "short words only")]
+    return out + [(None, "anagramme anagramme Anagramme"), (None, None), (5, ""), (5, out[5][1]), (7, "short words only"),
+                  (8, "chainword " * 450 + "chainwore " * 33 + "chainware " * 2)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -225,14 +226,14 @@ def test_spelling_of_a_very_long_text(spark):
 
 
 def test_signatures_of_near_words_meet():
-    from ledgerlens.llm.spelling import enumerated, part_sums
+    from ledgerlens.llm.spelling import signatures
     rng = random.Random(6)
     for _ in range(200):
         w = "".join(rng.choice("abcdeé") for _ in range(rng.randrange(7, 12)))
         i = rng.randrange(len(w))
         v = rng.choice([w[:i] + w[i + 1:], w[:i] + "z" + w[i:], w[:i] + "z" + w[i + 1:], w[:i] + "a" + w[i:]])
-        s = enumerated(part_sums([w, v], 8))
-        assert set(s[0].tolist()) & set(s[1].tolist()) and s.shape == (2, 28)
+        s = signatures([w, v])
+        assert set(s[0].tolist()) & set(s[1].tolist()) and s.shape == (2, 24)
 
 
 # ------------------------------------------------------------- vector codes
