@@ -39,7 +39,7 @@ def top_k(arr: Column, k: int) -> Column:
     """K2: ARRAY<STRUCT<idx INT, p DOUBLE>> of the k best classes
     (probability descending, class index ascending on ties).  No shuffle."""
     indexed = F.transform(arr, lambda x, i: F.struct((-x).alias("neg"), i.cast("int").alias("idx")))
-    best = F.slice(F.array_sort(indexed), 1, k)
+    best = F.slice(F.sort_array(indexed), 1, k)
     return F.transform(best, lambda s: F.struct(s["idx"].alias("idx"), (-s["neg"]).alias("p")))
 
 

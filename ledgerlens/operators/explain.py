@@ -62,7 +62,7 @@ def top_contributions(contribs: Column, n: int = TOP_N) -> Column:
     keyed = F.transform(contribs, lambda s: F.struct(
         (-F.abs(s["contribution"])).alias("neg_abs"), s["j"].alias("j"), s["value"].alias("value"),
         s["contribution"].alias("contribution")))
-    return F.slice(F.array_sort(keyed), 1, n)
+    return F.slice(F.sort_array(keyed), 1, n)
 
 
 def explain_linear(df: DataFrame, x_col: str, weights: list[list[float]],

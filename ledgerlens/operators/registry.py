@@ -1,22 +1,29 @@
 """Model registry as tables.
 
 A registry root holds one folder per version (model artefacts) plus two
-append-only Parquet tables:
+append-only tables:
 
 * ``manifests``  -- version, created_at, config MAP<STRING,STRING>, metrics
   MAP<STRING,DOUBLE>, num_categories, n_features, checksums MAP<STRING,STRING>,
   status;
-* ``promotions`` -- version, promoted_at.
+* ``promotions`` -- a commit log: file ``n`` holds the n-th promotion (version,
+  promoted_at).
 
-The active version is the last promotion (``max_by``); promotion is an
-append, so concurrent readers never see a half-switched state.  Checksums
+A promotion claims the next number by creating its file only if it is absent;
+whoever loses the race takes the number after.  So any promotions that run at
+once end up in one order, which every reader sees alike, and the active version
+is the last one of it.  Checksums
 are ``sha2(content, 256)`` over a ``binaryFile`` scan of the version folder.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
+import os
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +40,44 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("status", T.StringType(), True),
 ])
 PROMOTION_SCHEMA = T.StructType([
+    T.StructField("n", T.LongType(), False),
     T.StructField("version", T.StringType(), False),
     T.StructField("promoted_at", T.TimestampType(), False),
 ])
 
 
+def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with ``text``, unless one of that name exists: then False and nothing is changed.
+
+    A local path is linked into place (complete from its first moment on); other stores give the guarantee by their
+    file system's exclusive create."""
+    local = path.removeprefix("file://") if path.startswith("file:///") else path
+    if "://" not in local:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        draft = f"{os.path.dirname(local)}/.draft-{uuid.uuid4().hex}"
+        with open(draft, "w") as f:
+            f.write(text)
+        try:
+            os.link(draft, local)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError as err:
+        if "AlreadyExists" in err.java_exception.getClass().getName() or fs.exists(target):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 class ModelRegistry:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -56,19 +96,22 @@ class ModelRegistry:
     def version_path(self, version: str) -> str:
         return f"{self.root}/versions/{version}"
 
-    def _read(self, path: str, schema: T.StructType) -> DataFrame:
+    def _read(self, reader, path: str, schema: T.StructType) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(path)
+            return reader(path)
         except AnalysisException as err:
             if err.getCondition() != "PATH_NOT_FOUND":          # any other failure is one
                 raise
             return self.spark.createDataFrame([], schema)
 
     def manifests(self) -> DataFrame:
-        return self._read(self.manifests_path, MANIFEST_SCHEMA)
+        return self._read(self.spark.read.schema(MANIFEST_SCHEMA).parquet, self.manifests_path, MANIFEST_SCHEMA)
 
     def promotions(self) -> DataFrame:
-        return self._read(self.promotions_path, PROMOTION_SCHEMA)
+        """(n, version, promoted_at) of every promotion; an entry whose text is still being written is not there
+        yet."""
+        rows = self._read(self.spark.read.schema(PROMOTION_SCHEMA).json, self.promotions_path, PROMOTION_SCHEMA)
+        return rows.filter("n is not null and version is not null")
 
     # ------------------------------------------------------------- write
     @staticmethod
@@ -101,14 +144,20 @@ class ModelRegistry:
             .write.mode("append").parquet(self.manifests_path)
         return row
 
-    def promote(self, version: str, at: _dt.datetime | None = None) -> None:
-        """Unknown version → error; otherwise append a promotion event."""
+    def promote(self, version: str, at: _dt.datetime | None = None) -> int:
+        """Unknown version → error; otherwise the next entry of the promotion log, whose number is returned.
+
+        A number that another promotion claims first is given up for the next one."""
         known = self.manifests().filter(F.col("version") == version).limit(1).count()
         if not known:
             raise FileNotFoundError(f"no version {version} in this registry")
         at = at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        self.spark.createDataFrame([(version, at)], PROMOTION_SCHEMA).coalesce(1) \
-            .write.mode("append").parquet(self.promotions_path)
+        n = 0
+        while True:
+            n = max(n, self.promotions().agg(F.max("n")).first()[0] or 0) + 1
+            entry = json.dumps({"n": n, "version": version, "promoted_at": at.isoformat()})
+            if create_if_absent(self.spark, f"{self.promotions_path}/{n:012d}.json", entry):
+                return n
 
     # -------------------------------------------------------------- read
     def versions(self) -> DataFrame:
@@ -117,8 +166,8 @@ class ModelRegistry:
                    .orderBy(F.desc("version"))
 
     def active(self) -> str | None:
-        """The version of the latest promotion."""
-        row = self.promotions().agg(F.max_by("version", "promoted_at").alias("v")).first()
+        """The version of the last promotion."""
+        row = self.promotions().agg(F.max_by("version", "n").alias("v")).first()
         return row["v"] if row else None
 
     def mark_loaded(self, version: str) -> None:
@@ -150,7 +199,6 @@ def save_bundle(registry: ModelRegistry, model, metrics: dict, config: dict,
                 version: str | None = None) -> dict:
     """Write a fitted ``LedgerModel`` (classifier, labels, vocabularies, date modes, feature means, rule
     profile) into a new version folder and register its manifest."""
-    import json
     version = version or registry.new_version()
     base = registry.version_path(version)
     if model.kind == "boosted":
@@ -175,8 +223,6 @@ def save_bundle(registry: ModelRegistry, model, metrics: dict, config: dict,
 
 def load_bundle(registry: ModelRegistry, version: str | None = None):
     """The ``LedgerModel`` of a version (default: the active one), checked against its recorded hashes."""
-    import json
-
     import numpy as np
     from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
     from pyspark.ml.feature import StringIndexerModel
@@ -208,7 +254,5 @@ def load_bundle(registry: ModelRegistry, version: str | None = None):
 
 def default_root(spark: SparkSession) -> str:
     """A registry folder of its own under the shared folder."""
-    import uuid
-
     from ..session import scratch_path
     return scratch_path(spark, f"registry-{uuid.uuid4().hex}")

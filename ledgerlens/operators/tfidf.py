@@ -82,7 +82,7 @@ def term_stats(texts: DataFrame, blocks: tuple[BlockSpec, ...]) -> DataFrame:
     A document sits in one row, so its terms are sorted there and the first of equal ones is marked; one
     aggregate with map-side sums then gives both counts."""
     def marked(block: str, grams: Column) -> Column:
-        return F.element_at(F.transform(F.array(F.array_sort(grams)), lambda g: F.transform(g, lambda t, i: F.struct(
+        return F.element_at(F.transform(F.array(F.sort_array(grams)), lambda g: F.transform(g, lambda t, i: F.struct(
             F.lit(block).alias("block"), t.alias("term"),
             F.when((i > 0) & (F.get(g, i - 1) == t), 0).otherwise(1).alias("first")))), 1)
     grams = gram_columns(texts, blocks)
@@ -161,6 +161,28 @@ class TfidfModel:
         return g.mapInArrow(weigh, f"doc_id {doc_type}, block string, term string, "
                                    "col_index int, weight double")
 
+    def top_terms(self, texts: DataFrame, n: int) -> DataFrame:
+        """(doc_id, block, rank, term, weight) of each row's ``n`` heaviest terms per block (ties: term).  A row's terms
+        are together in its batch, so nothing is shuffled."""
+        tables = self.lookup_tables()
+
+        def pick(batches):
+            for batch in batches:
+                for name, (terms, idf, _) in tables.items():
+                    row, code, weight = batch_weights(batch[f"__g_{name}"], terms, idf)
+                    by = np.lexsort((code, -weight, row))              # codes are in term order
+                    row, code, weight = row[by], code[by], weight[by]
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    keep = rank < n
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["doc_id"].take(pa.array(row[keep])), pa.array([name] * int(keep.sum()), pa.string()),
+                         pa.array((rank[keep] + 1).astype("int32")), terms.take(pa.array(code[keep])), pa.array(weight[keep])],
+                        names=["doc_id", "block", "rank", "term", "weight"])
+
+        doc_type = texts.schema["doc_id"].dataType.simpleString()
+        return gram_columns(texts, self.blocks).mapInArrow(
+            pick, f"doc_id {doc_type}, block string, rank int, term string, weight double")
+
     def lookup_tables(self) -> dict[str, tuple[pa.Array, np.ndarray, np.ndarray]]:
         """Per block (terms, idf, column index) in column order; bounded by max_features."""
         rows = self.vocab.select("block", "term", "idf", "col_index").orderBy("col_index").collect()

@@ -1,9 +1,12 @@
 """Registered queries, part three: features for learning, training, scoring,
 comparison, tuning, registry and streaming.
 
-No SQL oracle can fit a model; keys, ranks, widths, thresholds and facts that
-hold for any sound fit are checked exactly.  Fitted models are kept per
-application and data folder, so the queries that read one do not refit it.
+SQL cannot fit a model, so queries that return what a model says (codes,
+confidences, metrics, parameters, contributions) have no oracle; tests compare
+them with plain recomputations.  Beside them, ``*_facts`` queries give what must
+hold for any sound fit (keys, ranks, widths, thresholds, sums), which SQL checks.
+Fitted models are kept per application and data folder, so the queries that
+read one do not refit it.
 """
 
 from __future__ import annotations
@@ -14,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
+from ..operators import explain as xp
 from ..operators import features as feat
 from ..operators import normalize as nz
-from ..operators import explain as xp
 from ..operators.registry import ModelRegistry, default_root, load_bundle, save_bundle
 from ..session import written
 from ..sources.ledger import read_tables
@@ -24,33 +27,46 @@ from ..streaming import monitor as sm
 from . import learn
 from . import oracle as O
 from . import tuning
-from .catalog import domain, labelled_ledger, prepared, profile, query, r6, ts_text
-from .catalog_more import _tfidf_sql
+from .catalog import ORACLE, domain, labelled_ledger, prepared, profile, query, r6, ts_text
+from .catalog_more import _tfidf_sql, drift_columns
+
+#: ``tune``: trials, rungs, and a bound on the rounds of a trial (the space asks for 200 to 1500).
+TRIALS, ETA, RUNGS, MOST_ROUNDS = 9, 3, 3, 12
 
-#: Labelled rows for the boosted model of ``model_compare`` (one model per class).
-BOOSTED_ROWS = 1_000
+_LOCK = threading.RLock()
+_KEPT: dict = {}
 
-_LOCK = threading.Lock()
-_MODELS: dict = {}
+
+def _once(spark, sf, name, make):
+    """``make()``, kept per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    with _LOCK:
+        if key not in _KEPT:
+            _KEPT[key] = make()
+        return _KEPT[key]
 
 
 def _split(spark, sf):
-    lab = labelled_ledger(spark, sf)
+    """(training part, validation part) of the labelled ledger, which is written once for all model queries."""
+    lab = _once(spark, sf, "ledger", lambda: written(labelled_ledger(spark, sf), "labelled"))
     return lab.filter(F.col("part") == "train"), lab.filter(F.col("part") == "val")
 
 
 def fitted(spark, sf, kind: str = "forest", families=learn.FAMILIES) -> learn.LedgerModel:
-    """The model of a kind with the library's own settings, fitted once per application and data folder."""
-    key = (spark.sparkContext.applicationId, sf, kind, tuple(families))
-    with _LOCK:
-        if key not in _MODELS:
-            tr, _ = _split(spark, sf)
-            _MODELS[key] = learn.train(tr, kind=kind, families=families)
-        return _MODELS[key]
+    """The model of a kind with the library's own settings."""
+    tr, _ = _split(spark, sf)
+    return _once(spark, sf, (kind, tuple(families)), lambda: learn.train(tr, kind=kind, families=families))
 
 
-def _known(va, m):
-    return va.filter(F.col("target").isin(m.classes))
+def _predictions(spark, sf, kind: str = "forest") -> DataFrame:
+    """(txn_id, y_true, y_pred, proba) of a model on the validation part, written once."""
+    m = fitted(spark, sf, kind)
+    _, va = _split(spark, sf)
+    return _once(spark, sf, ("predictions", kind), lambda: written(m.predictions(va), "predictions"))
+
+
+def _code(m, index):
+    return F.element_at(F.array(*[F.lit(c) for c in m.classes]), index.cast("int") + 1)
 
 
 # ------------------------------------------------------------ dense features
@@ -147,21 +163,35 @@ def q_feature_matrix(spark, sf):
                     F.size(F.filter(arr, lambda v: F.abs(v) > 1e-9)).alias("n_nonzero"))
 
 
+def _known(va, m):
+    return va.filter(F.col("target").isin(m.classes))
+
+
 _KNOWN = """
 , classes AS (SELECT DISTINCT target FROM labelled WHERE part = 'train'),
 known AS (SELECT * FROM labelled WHERE part = 'val' AND target IN (SELECT target FROM classes))"""
 
 
-@query("train_score", O.split_sql((_KNOWN + """
+@query("train_score")
+def q_train_score(spark, sf):
+    """L2 / L4: fit on the training part; for validation rows of known classes the predicted code, its probability,
+    the probability of the true code and whether the code is right."""
+    m = fitted(spark, sf)
+    p = _predictions(spark, sf)
+    return p.select("txn_id", _code(m, F.col("y_true")).alias("target"), _code(m, F.col("y_pred")).alias("code"),
+                    F.round(F.get("proba", F.col("y_pred")), 6).alias("confidence"),
+                    F.round(F.get("proba", F.col("y_true")), 6).alias("true_confidence"),
+                    (F.col("y_pred") == F.col("y_true")).cast("int").alias("hit"))
+
+
+@query("train_score_facts", O.split_sql((_KNOWN + """
 SELECT txn_id, target, (SELECT CAST(count(*) AS INTEGER) FROM classes) AS n_classes,
        CAST(1.0 AS DOUBLE) AS proba_sum, 1 AS pred_is_largest FROM known""").replace("\n, classes", ", classes", 1)))
-def q_train_score(spark, sf):
-    """L2 / L4: fit on the training part, probabilities for validation rows."""
+def q_train_score_facts(spark, sf):
+    """L4: a distribution over all classes for every validation row of a known class."""
     m = fitted(spark, sf)
-    _, va = _split(spark, sf)
-    scored = m.score(_known(va, m), keep=["txn_id", "target"])
-    return scored.select(
-        "txn_id", "target", F.size("proba").alias("n_classes"),
+    return _predictions(spark, sf).select(
+        "txn_id", _code(m, F.col("y_true")).alias("target"), F.size("proba").alias("n_classes"),
         F.round(F.aggregate("proba", F.lit(0.0), lambda a, x: a + x), 6).alias("proba_sum"),
         (F.get("proba", F.col("y_pred")) == F.array_max("proba")).cast("int").alias("pred_is_largest"))
 
@@ -170,7 +200,13 @@ _RANKS = """SELECT txn_id, CAST(rank AS INTEGER) AS rank, 1 AS in_order, 1 AS is
 FROM labelled, (SELECT unnest([1, 2, 3]) AS rank) WHERE part = 'val'"""
 
 
-def _ranked(out, m):
+def _ranked(out):
+    """(txn_id, rank, code, confidence) of a classification."""
+    return out.select("txn_id", F.posexplode("predictions").alias("pos", "p")).select(
+        "txn_id", (F.col("pos") + 1).alias("rank"), "p.code", "p.confidence")
+
+
+def _rank_facts(out, m):
     """Ranks of a classification, with the facts that hold for each of them."""
     p = F.col("predictions")
     falling = F.forall(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.get(p, i - 1)["confidence"] >= F.get(p, i)["confidence"])
@@ -179,62 +215,82 @@ def _ranked(out, m):
         F.col("p.code").isin(m.classes).cast("int").alias("is_class"))
 
 
-@query("classify", O.split_sql(_RANKS))
+@query("classify")
 def q_classify(spark, sf):
-    """Ranked top-3 codes with confidence for every validation row."""
+    """The three likeliest codes with confidence (4 places) for every validation row."""
+    _, va = _split(spark, sf)
+    return _ranked(fitted(spark, sf).classify(va, k=3))
+
+
+@query("classify_facts", O.split_sql(_RANKS))
+def q_classify_facts(spark, sf):
+    """Three known codes in falling confidence for every validation row."""
     m = fitted(spark, sf)
     _, va = _split(spark, sf)
-    return _ranked(m.classify(va, k=3), m)
+    return _rank_facts(m.classify(va, k=3), m)
 
 
-@query("train_pipeline", O.split_sql("""
+_GATE = """
 , c AS (SELECT target, count(*) AS n FROM labelled WHERE part = 'train' GROUP BY target),
 b AS (SELECT max(n) / sum(n) AS baseline_accuracy, count(*) AS k FROM c)
 SELECT baseline_accuracy, baseline_accuracy * CAST(1.2 AS DOUBLE) AS acc_threshold,
        (CAST(1.0 AS DOUBLE) / k) * CAST(1.2 AS DOUBLE) AS bal_threshold, 1 AS passed, 1 AS well_above_majority
-FROM b""".replace("\n, c AS", ", c AS", 1)))
-def q_train_pipeline(spark, sf):
-    """L3 + E1 + L11: the gate on the fitted model's validation metrics.  The label follows features, so a
-    sound fit is far above the majority share: five times it is asked for."""
+FROM b""".replace("\n, c AS", ", c AS", 1)
+
+
+def _gated(spark, sf):
     m = fitted(spark, sf)
-    _, va = _split(spark, sf)
-    rep = m.evaluate(va)
-    out = ev.quality_gate(rep, F.lit(m.baseline_accuracy), F.lit(len(m.classes)))
+    rep = ev.classification_report(_predictions(spark, sf))
+    return m, rep, ev.quality_gate(rep, F.lit(m.baseline_accuracy), F.lit(len(m.classes)))
+
+
+@query("train_pipeline")
+def q_train_pipeline(spark, sf):
+    """L3 + E1 + L11: the fitted model's validation metrics, the gate's thresholds and its verdict, seconds of the fit."""
+    m, rep, gate = _gated(spark, sf)
+    row = rep.first().asDict()                                 # one row of metrics
+    return gate.select("*", *[F.lit(float(v)).alias(k) for k, v in row.items() if k not in gate.columns and v is not None],
+                       F.lit(len(m.classes)).alias("n_classes"), F.lit(round(m.train_seconds, 3)).alias("train_seconds"))
+
+
+@query("train_pipeline_facts", O.split_sql(_GATE))
+def q_train_pipeline_facts(spark, sf):
+    """The gate's thresholds.  The label follows features, so a sound fit is far above the majority share: five
+    times it is asked for."""
+    _, _, out = _gated(spark, sf)
     return out.select("baseline_accuracy", "acc_threshold", "bal_threshold", "passed",
                       (F.col("accuracy") >= 5 * F.col("baseline_accuracy")).cast("int").alias("well_above_majority"))
 
 
-@query("model_metrics", """
-SELECT model, 1 AS in_range, 1 AS beats_majority FROM (VALUES ('forest'), ('logistic')) t(model)""")
+@query("model_metrics")
 def q_model_metrics(spark, sf):
-    """E1-E4 of two fitted models on the validation part: every metric is a share, and the accuracy is above
-    the majority share (``LedgerModel.evaluate`` has the values)."""
-    _, va = _split(spark, sf)
+    """E1-E4 of two fitted models on the validation part: all metrics of each."""
     out = None
-    for kind in ("forest", "logistic"):
-        m = fitted(spark, sf, kind)
-        rep = m.evaluate(va)
-        shares = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in rep.columns])
-        row = rep.select(F.lit(kind).alias("model"),
-                         F.forall(shares, lambda v: (v >= 0) & (v <= 1)).cast("int").alias("in_range"),
-                         (F.col("accuracy") > m.baseline_accuracy).cast("int").alias("beats_majority"))
+    for kind in ("forest", "boosted"):
+        row = ev.classification_report(_predictions(spark, sf, kind)).select(F.lit(kind).alias("model"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-@query("evaluate_model", O.split_sql((_KNOWN + """
+@query("evaluate_model")
+def q_evaluate_model(spark, sf):
+    """E2 on model output: share of validation rows whose code is among the k likeliest."""
+    p = _predictions(spark, sf)
+    return ev.topk_accuracy(p, n_classes=len(fitted(spark, sf).classes)).select(
+        F.col("k").cast("int").alias("k"), "accuracy", F.lit(p.count()).alias("n_rows"))
+
+
+@query("evaluate_model_facts", O.split_sql((_KNOWN + """
 SELECT CAST(k AS INTEGER) AS k, 1 AS rising, (SELECT count(*) FROM known) AS n_rows
 FROM (SELECT unnest([1, 3, 5, 10]) AS k)""").replace("\n, classes", ", classes", 1)))
-def q_evaluate_model(spark, sf):
-    """E2 on model output: top-k accuracy never falls with k (``LedgerModel.evaluate`` has the values)."""
+def q_evaluate_model_facts(spark, sf):
+    """Top-k accuracy never falls with k."""
     from pyspark.sql import Window
-    m = fitted(spark, sf)
-    _, va = _split(spark, sf)
-    pred = written(m.predictions(va), "predictions")
-    acc = ev.topk_accuracy(pred, n_classes=len(m.classes))
+    p = _predictions(spark, sf)
+    acc = ev.topk_accuracy(p, n_classes=len(fitted(spark, sf).classes))
     before = F.lag("accuracy").over(Window.partitionBy(F.lit(1)).orderBy("k"))
     return acc.withColumn("rising", (F.col("accuracy") >= F.coalesce(before, F.lit(0.0))).cast("int")) \
-              .select(F.col("k").cast("int").alias("k"), "rising", F.lit(pred.count()).alias("n_rows"))
+              .select(F.col("k").cast("int").alias("k"), "rising", F.lit(p.count()).alias("n_rows"))
 
 
 @query("model_confusion", O.split_sql((_KNOWN + """
@@ -243,27 +299,41 @@ SELECT y_true, count(*) AS n FROM known JOIN labels USING (target) GROUP BY y_tr
     "\n, classes", ", classes", 1)))
 def q_model_confusion(spark, sf):
     """E5 on model output: the confusion counts add up to the class sizes."""
+    return ev.confusion_pairs(_predictions(spark, sf)).groupBy("y_true").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+@query("model_confusion_pairs")
+def q_model_confusion_pairs(spark, sf):
+    """E5 on model output: how often each true code got each predicted code."""
     m = fitted(spark, sf)
-    _, va = _split(spark, sf)
-    return ev.confusion_pairs(m.predictions(va)).groupBy("y_true").agg(F.sum("n").cast("bigint").alias("n"))
+    return ev.confusion_pairs(_predictions(spark, sf)).select(
+        _code(m, F.col("y_true")).alias("target"), _code(m, F.col("y_pred")).alias("code"), F.col("n").cast("bigint").alias("n"))
+
+
+@query("model_per_class")
+def q_model_per_class(spark, sf):
+    """E3 on model output: precision, recall, F1 and support of every code that occurs."""
+    m = fitted(spark, sf)
+    out = ev.per_class(_predictions(spark, sf))
+    return out.select(_code(m, F.col("cls")).alias("code"), *[c for c in out.columns if c != "cls"])
+
+
+@query("model_calibration")
+def q_model_calibration(spark, sf):
+    """E6 on model output: accuracy and mean confidence by confidence bin."""
+    return ev.calibration(_predictions(spark, sf))
 
 
-@query("model_compare", """
-SELECT * FROM (VALUES ('boosted', 1), ('forest', 1), ('logistic', 1)) t(model, beats_majority)""")
+@query("model_compare")
 def q_model_compare(spark, sf):
-    """Forest, multinomial logistic regression and boosted trees on one split."""
-    tr, va = _split(spark, sf)
+    """Forest, multinomial logistic regression and joint boosting: one split, one sample of rows, all feature
+    families, the library's own settings."""
     rows = []
     for kind in ("forest", "logistic", "boosted"):
-        if kind == "boosted":
-            # per class one boosted model: fitted on the documented bound of rows, with few steps
-            m = learn.train(tr, kind="boosted", max_rows=BOOSTED_ROWS, families=("numeric", "date", "domain"),
-                            maxIter=5, maxDepth=4, parallelism=8)
-        else:
-            m = fitted(spark, sf, kind)
-        r = m.evaluate(va).first()
-        rows.append((kind, int((r["accuracy"] or 0.0) > m.baseline_accuracy)))
-    return spark.createDataFrame(rows, "model string, beats_majority int")
+        m = fitted(spark, sf, kind)
+        r = ev.classification_report(_predictions(spark, sf, kind)).first()
+        rows.append((kind, r["accuracy"], r["balanced_accuracy"], r["f1_weighted"], round(m.train_seconds, 3)))
+    return spark.createDataFrame(rows, "model string, accuracy double, balanced_accuracy double, f1_weighted double, train_seconds double")
 
 
 def _ablation_sql() -> str:
@@ -274,45 +344,77 @@ def _ablation_sql() -> str:
     return _tfidf_sql(rows)
 
 
-@query("ablation", _ablation_sql())
-def q_ablation(spark, sf):
-    """cumulative feature families: text, +numeric, +date, +domain."""
+def _ablated(spark, sf):
     _, va = _split(spark, sf)
     rows = []
     for i in range(1, len(learn.FAMILIES) + 1):
         m = fitted(spark, sf, "forest", learn.FAMILIES[:i])
-        r = m.evaluate(va).first()
-        rows.append(("+".join(learn.FAMILIES[:i]), len(m.features.feature_names()),
+        r = _once(spark, sf, ("ablation", i), lambda m=m: m.evaluate(va).first())
+        rows.append(("+".join(learn.FAMILIES[:i]), len(m.features.feature_names()), r["accuracy"], r["balanced_accuracy"],
                      int((r["accuracy"] or 0.0) > m.baseline_accuracy)))
-    return spark.createDataFrame(rows, "families string, n_features int, beats_majority int")
+    return spark.createDataFrame(rows, "families string, n_features int, accuracy double, balanced_accuracy double, beats_majority int")
+
+
+@query("ablation")
+def q_ablation(spark, sf):
+    """accuracy with cumulative feature families: text, +numeric, +date, +domain."""
+    return _ablated(spark, sf).drop("beats_majority")
+
+
+@query("ablation_facts", _ablation_sql())
+def q_ablation_facts(spark, sf):
+    """the widths of the families; each fit beats the majority share."""
+    return _ablated(spark, sf).select("families", "n_features", "beats_majority")
 
 
-@query("tune", """
-SELECT CAST(trial AS INTEGER) AS trial, 'COMPLETE' AS state, CAST(3 AS BIGINT) AS n_in_state, 1 AS beats_majority
-FROM (SELECT unnest([0, 1, 2]) AS trial)""")
+@query("tune")
 def q_tune(spark, sf):
-    """Baseline plus two seeded draws for the linear model, and their report."""
-    m = fitted(spark, sf, "logistic")
+    """The baseline and seeded draws of the whole space for the boosted learner, by successive halving: every
+    trial with its parameters, last rung, rows, metrics, seconds, state and rank among the completed ones."""
+    m = fitted(spark, sf)
     tr, va = _split(spark, sf)
     tx = m.labels.transform(m.features.transform(learn.fit_sample(tr, tr.count()), keep=["txn_id", "target"]))
     vx = m.labels.transform(m.features.transform(_known(va, m), keep=["txn_id", "target"]))
-    trials = tuning.tune(tx, vx, tuning.trial_grid(spark, 3, seed=42), kind="logistic")
-    top = tuning.top_trials(trials, 3).select("trial", "state", "accuracy")
-    return top.join(tuning.state_counts(trials), "state").select(
-        "trial", "state", F.col("n").alias("n_in_state"),
-        (F.col("accuracy") > m.baseline_accuracy).cast("int").alias("beats_majority"))
-
-
-@query("registry_versions", O.split_sql("""SELECT txn_id, 1 AS same FROM labelled WHERE part = 'val'"""))
+    grid = tuning.trial_grid(spark, TRIALS, seed=42).withColumn("n_estimators", F.least("n_estimators", F.lit(MOST_ROUNDS)))
+    trials, _ = tuning.successive_halving(written(tx, "tune-train"), written(vx, "tune-val"), grid, eta=ETA, rungs=RUNGS)
+    trials = written(trials, "trials")
+    best = tuning.top_trials(trials, TRIALS).select(F.col("trial").alias("t"), "rank")
+    return trials.join(F.broadcast(best), F.col("trial") == F.col("t"), "left").drop("t")
+
+
+def _registered(spark, sf):
+    """A registry with the fitted model saved, registered and promoted."""
+    def make():
+        m = fitted(spark, sf)
+        reg = ModelRegistry(spark, default_root(spark))
+        report = ev.classification_report(_predictions(spark, sf)).first().asDict()
+        for _ in range(2):
+            man = save_bundle(reg, m, report, {"kind": m.kind})
+            reg.promote(man["version"])
+        return reg
+    return _once(spark, sf, "registry", make)
+
+
+@query("registry_versions")
 def q_registry_versions(spark, sf):
-    """Save, register, promote, verify, load again and score: the loaded model gives every
-    validation row the scores of the model in memory."""
+    """Every version, newest first: status, classes, features, files, accuracy, promotions, and which one
+    is active."""
+    reg = _registered(spark, sf)
+    promoted = reg.promotions().groupBy(F.col("version").alias("v")).agg(F.count(F.lit(1)).alias("promotions"))
+    return (reg.manifests().join(promoted, F.col("version") == F.col("v"), "left")
+            .select("version", "created_at", "status", "num_categories", "n_features", F.size("checksums").alias("n_files"),
+                    F.col("metrics")["accuracy"].alias("accuracy"), F.col("metrics")["balanced_accuracy"].alias("balanced_accuracy"),
+                    F.coalesce("promotions", F.lit(0)).alias("promotions"),
+                    (F.col("version") == F.lit(reg.active())).alias("active")).orderBy(F.desc("version")))
+
+
+@query("registry_round_trip", O.split_sql("""SELECT txn_id, 1 AS same FROM labelled WHERE part = 'val'"""))
+def q_registry_round_trip(spark, sf):
+    """The active version verified, loaded again and scored: it gives every validation row the scores of the
+    model in memory."""
     m = fitted(spark, sf)
     _, va = _split(spark, sf)
-    reg = ModelRegistry(spark, default_root(spark))
-    man = save_bundle(reg, m, m.evaluate(va).first().asDict(), {"kind": m.kind})
-    reg.promote(man["version"])
-    again = load_bundle(reg)
+    again = load_bundle(_registered(spark, sf))
     a = m.score(va).select("txn_id", F.col("proba").alias("p"), F.col("y_pred").alias("y"))
     b = again.score(va).select(F.col("txn_id").alias("id"), "proba", "y_pred")
     near = F.forall(F.arrays_zip("p", "proba"), lambda z: F.abs(z["p"] - z["proba"]) < 1e-9)
@@ -320,23 +422,42 @@ def q_registry_versions(spark, sf):
         "txn_id", (near & (F.col("y") == F.col("y_pred"))).cast("int").alias("same"))
 
 
-@query("explain_model", O.split_sql("""
+def _explained(spark, sf):
+    m = fitted(spark, sf)
+    _, va = _split(spark, sf)
+    return _once(spark, sf, "explained", lambda: written(xp.explain_fitted(m, va, ["txn_id"], n=5), "explained"))
+
+
+@query("explain_model")
+def q_explain_model(spark, sf):
+    """X1-X3 of the fitted forest: per validation row the predicted code, its confidence and the five features that
+    contribute most to it, with their values (exact path attribution)."""
+    return _explained(spark, sf).select("txn_id", "code", "confidence", F.posexplode("top").alias("pos", "t")).select(
+        "txn_id", (F.col("pos") + 1).alias("rank"), "code", F.round("confidence", 4).alias("confidence"), "t.feature",
+        F.round("t.value", 4).alias("value"), F.round("t.contribution", 4).alias("contribution"))
+
+
+@query("explain_model_facts", O.split_sql("""
 SELECT txn_id, CAST(rank AS INTEGER) AS rank, 1 AS adds_up, 1 AS falling
 FROM labelled, (SELECT unnest([1, 2, 3, 4, 5]) AS rank) WHERE part = 'val'"""))
-def q_explain_model(spark, sf):
-    """X1-X3 of the fitted linear model: contributions toward the predicted class add up to score minus mean
-    score, and the five shown are the largest, in order."""
-    m = fitted(spark, sf, "logistic")
-    _, va = _split(spark, sf)
-    out = xp.explain_fitted(m, va, ["txn_id"], n=5)
+def q_explain_model_facts(spark, sf):
+    """All contributions of a row add up to its score less the expected score, and the five shown are in order."""
     top = F.col("top")
     size = lambda i: F.abs(F.get(top, i)["contribution"])
     falling = F.forall(F.sequence(F.lit(1), F.size(top) - 1), lambda i: size(i - 1) >= size(i))
-    return out.select("txn_id", (F.abs(F.col("margin") - F.col("total")) < 1e-6).cast("int").alias("adds_up"),
-                      falling.cast("int").alias("falling"), F.posexplode(top).alias("pos", "t")).select(
+    return _explained(spark, sf).select(
+        "txn_id", (F.abs(F.col("margin") - F.col("total")) < 1e-6).cast("int").alias("adds_up"),
+        falling.cast("int").alias("falling"), F.posexplode(top).alias("pos", "t")).select(
         "txn_id", (F.col("pos") + 1).alias("rank"), "adds_up", "falling")
 
 
+@query("model_importance")
+def q_model_importance(spark, sf):
+    """X4 of the fitted forest: mean size of the contributions, the twenty largest."""
+    _, va = _split(spark, sf)
+    return xp.fitted_importance(fitted(spark, sf), va)
+
+
 @query("sample_rows", O.prepared_sql("""
 SELECT txn_id, target FROM prepared ORDER BY md5('42:' || CAST(txn_id AS VARCHAR)), txn_id LIMIT 100"""))
 def q_sample_rows(spark, sf):
@@ -347,56 +468,72 @@ def q_sample_rows(spark, sf):
 
 
 # ---------------------------------------------------------------- streaming
-def _streamed(spark, sf, name: str, aggregate):
-    """All events through a stream in several micro-batches, in order of time; a closing row then moves the
-    watermark past the last window, so every window is written and no event is late."""
+def _upserted(spark, sf, name: str, key, kind: str):
+    """All events through a stream in several micro-batches into an upsert table of day counts."""
     events = read_tables(spark, sf, "events")["events"]
-    folder = sm.stage_folder(spark, events, name, by="ts")
-    sm.stage_closing_row(spark, folder, events)
-    stream = aggregate(sm.event_stream(spark, folder, max_files_per_trigger=1))
-    return sm.run_to_table(stream, name)
-
-
-# A window is written when the watermark (largest time seen, less a day) has passed its end.
-_STREAM_CTE = """
-WITH first_run AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events WHERE event_id % 97 <> 0),
-both_runs AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events),
-seen AS (SELECT *, date_trunc('day', ts) AS w FROM events
-         WHERE event_id % 97 <> 0 OR date_trunc('day', ts) + INTERVAL 1 DAY > (SELECT mark FROM first_run)),
-closed AS (SELECT * FROM seen WHERE w + INTERVAL 1 DAY <= (SELECT mark FROM both_runs))
-"""
-_STREAM_CONF_SQL = _STREAM_CTE + f"""
-SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS w,
+    table = sm.WindowTable(spark, name, sm.day_counts(key), f"w timestamp, key {kind}, n long")
+    for folder in sm.feed(events, name, by="ts"):
+        table.advance(sm.event_stream(spark, folder))
+    return table.read()
+
+
+def _confidence():
+    return F.least(F.col("value") / 500.0, F.lit(1.0))
+
+
+_STREAM_CONF_SQL = f"""
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS w,
        CASE {" ".join(f"WHEN least(value / 500.0, 1.0) >= {lo!r} AND least(value / 500.0, 1.0) "
                       f"{'<=' if i == 9 else '<'} {hi!r} THEN {i}"
                       for i, (lo, hi) in enumerate(zip(ev._edges(10)[:-1], ev._edges(10)[1:])))}
        END AS bin, count(*) AS n
-FROM closed GROUP BY ALL"""
+FROM events WHERE ts IS NOT NULL GROUP BY ALL"""
 
 
 @query("stream_confidence", _STREAM_CONF_SQL)
 def q_stream_confidence(spark, sf):
-    """Streamed per-day confidence histogram of all events (watermarked tumbling windows, append mode)."""
-    return _streamed(spark, sf, "confidence", sm.confidence_windows).select(
-        ts_text(F.col("w.start")).alias("w"), "bin", "n")
+    """Streamed per-day confidence histogram of all events (upserts; no event is too late)."""
+    return _upserted(spark, sf, "confidence", ev.bin_index(_confidence(), 10), "int").select(
+        ts_text("w").alias("w"), F.col("key").alias("bin"), "n")
 
 
-@query("stream_class_counts", _STREAM_CTE + """
-SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS w, event_type AS cls, count(*) AS n FROM closed GROUP BY ALL""")
+@query("stream_class_counts", """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS w, event_type AS cls, count(*) AS n
+FROM events WHERE ts IS NOT NULL GROUP BY ALL""")
 def q_stream_class_counts(spark, sf):
-    """Z3: streamed per-day class counts of all events (append mode)."""
-    return _streamed(spark, sf, "classes", sm.class_counts_windows).select(
-        ts_text(F.col("w.start")).alias("w"), "cls", "n")
+    """Z3: streamed per-day class counts of all events (upserts)."""
+    return _upserted(spark, sf, "classes", F.col("event_type"), "string").select(
+        ts_text("w").alias("w"), F.col("key").alias("cls"), "n")
 
 
-@query("stream_score", O.split_sql(_RANKS))
-def q_stream_score(spark, sf):
-    """The validation ledger streamed through the fitted model (top-3) into a table."""
+@query("stream_drift", ORACLE["confidence_drift"])
+def q_stream_drift(spark, sf):
+    """E9 on a stream: per closed day the distance of its confidence histogram to the day before, from keyed state."""
+    events = read_tables(spark, sf, "events")["events"]
+    table = sm.StreamTable(spark, "drift")
+    with sm.rocksdb_state(spark):
+        for folder in sm.feed(events, "drift", by="ts", closing=True):
+            stream = sm.drift_stream(sm.event_stream(spark, folder), _confidence())
+            table.advance(stream)
+    return drift_columns(table.read(stream.schema))
+
+
+def _streamed_scores(spark, sf):
     m = fitted(spark, sf)
     _, va = _split(spark, sf)
     folder = sm.stage_folder(spark, va.select("txn_id", "account_code", "description", "remarks",
-                                              "reference", "debit", "credit", "posting_date"),
-                             "ledger", by="txn_id")
-    schema = spark.read.parquet(folder).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return _ranked(sm.run_to_table(sm.score_stream(m, stream), "scores"), m)
+                                              "reference", "debit", "credit", "posting_date"), "ledger", files=8)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return sm.run_to_table(sm.score_stream(m, stream), "scores")
+
+
+@query("stream_score")
+def q_stream_score(spark, sf):
+    """The validation ledger streamed through the fitted model: three codes with confidence per row."""
+    return _ranked(_streamed_scores(spark, sf))
+
+
+@query("stream_score_facts", O.split_sql(_RANKS))
+def q_stream_score_facts(spark, sf):
+    """Every row of the stream is scored once, three known codes in falling confidence."""
+    return _rank_facts(_streamed_scores(spark, sf), fitted(spark, sf))

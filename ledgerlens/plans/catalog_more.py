@@ -179,16 +179,11 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, te
 SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, round(weight, 6) AS weight FROM rk WHERE rank <= 5""")
 def q_doc_top_terms(spark, sf):
     """Top-5 TF-IDF terms per document (word 1-2-grams, vocabulary of 4,000)."""
-    from pyspark.sql import Window
     docs = read_tables(spark, sf, "documents")["documents"]
     block = tf.BlockSpec("text", 4000, (1, 2))
     texts = docs.select("doc_id", tx.normalize_text("text").alias("text"))
     model = tf.TfidfVectorizer((block,)).fit(texts)
-    w = model.transform(texts)
-    rk = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))
-    return (w.select("doc_id", "term", "weight", rk.cast("int").alias("rank"))
-             .filter(F.col("rank") <= 5)
-             .select("doc_id", "rank", "term", r6(F.col("weight")).alias("weight")))
+    return model.top_terms(texts, 5).select("doc_id", "rank", "term", r6(F.col("weight")).alias("weight"))
 
 
 # ================================================================ evaluation
@@ -429,7 +424,10 @@ d AS (SELECT w, sum(dd) AS l1 FROM lagged GROUP BY w)
 SELECT strftime(per_w.w, '%Y-%m-%d %H:%M:%S') AS w, n, round(mean_conf, 6) AS mean_conf,
        round(l1, 6) AS l1_drift FROM per_w JOIN d USING (w)""")
 def q_confidence_drift(spark, sf):
-    out = ev.confidence_drift(event_confidence(spark, sf))
+    return drift_columns(ev.confidence_drift(event_confidence(spark, sf)))
+
+
+def drift_columns(out):
     return out.select(ts_text("w").alias("w"), "n", r6(F.col("mean_conf")).alias("mean_conf"),
                       r6(F.col("l1_drift")).alias("l1_drift"))
 

@@ -1,21 +1,28 @@
-"""Structured Streaming scoring and monitoring.
+"""Structured Streaming scoring and monitoring (Z1-Z3, E9 on a stream).
 
 Streams read a Parquet folder (``readStream``), apply the same Column
-transformations as the batch queries, and aggregate per event-time window
-with a watermark so state for closed windows is dropped.  Only fitted
-artefacts (vocabularies, date modes, label list, classifier) are used on a
-stream: nothing is re-fitted per micro-batch.
-
-``run_to_table`` drives a stream with ``availableNow`` in several
-micro-batches into a Parquet table in append mode; production jobs pass their
-own trigger.  Tables and checkpoints lie under the shared
-``spark.checkpoint.dir``.
+transformations as the batch queries, and aggregate per event-time window.
+Only fitted artefacts (vocabularies, date modes, label list, classifier) are
+used on a stream: nothing is re-fitted per micro-batch.
+
+* ``StreamTable``: append mode into Parquet; a window is written once, when the
+  watermark has passed it, and its state is dropped.
+* ``WindowTable``: an upsert sink for window counts.  Every micro-batch writes
+  the new totals of the windows it touches as a version; however late an event
+  is, it corrects its window, and a replayed batch changes nothing.
+* ``drift_stream``: distance between the confidence histograms of consecutive
+  windows, kept as state and given out as windows close.
+
+``feed`` hands a batch frame to a stream in steps.  Tables and checkpoints lie
+under the shared ``spark.checkpoint.dir``; production jobs pass their own
+trigger.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,36 +33,40 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
                "value double, props string"
 
 
-def stage_folder(spark: SparkSession, df: DataFrame, name: str, by: str | None = None, files: int = 4) -> str:
-    """Write a batch frame as a Parquet folder a file stream can read.  With ``by``, rows arrive in ``files``
-    steps of that column, one write after the other; rows without a value come with the first."""
+def stage_folder(spark: SparkSession, df: DataFrame, name: str, files: int | None = None) -> str:
+    """Write a batch frame as a Parquet folder a file stream can read, in its natural partitions or in ``files``."""
     path = scratch_path(spark, f"stream-src-{name}-{uuid.uuid4().hex[:8]}")
-    if by is None:
-        df.write.mode("overwrite").parquet(path)
-        return path
-    order = F.col(by).cast("timestamp").cast("double") if "timestamp" in df.schema[by].dataType.simpleString() \
-        else F.col(by).cast("double")
-    cuts = df.select(F.percentile_approx(order, [i / files for i in range(1, files)])).first()[0] or []
+    (df.repartition(files) if files else df).write.parquet(path)
+    return path
+
+
+def feed(df: DataFrame, name: str, by: str, steps: int = 4, closing: bool = False):
+    """Yield a folder after each of ``steps`` appends of ``df`` to it, in order of ``by`` (a number or a time); rows
+    without a value come with the first.  A step keeps the partitions of ``df``: nothing passes through one task.
+
+    With ``closing`` the last step also brings a row far enough behind the last event that a watermark of a day passes
+    every window of a day that holds an event; the row's own window stays open, so it is never written."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"stream-src-{name}-{uuid.uuid4().hex[:8]}")
+    at = F.col(by).cast("timestamp") if "timestamp" in df.schema[by].dataType.simpleString() else F.col(by)
+    order = at.cast("double")
+    cuts = df.select(F.percentile_approx(order, [i / steps for i in range(1, steps)])).first()[0] or []
     edges = [None, *cuts, None]
-    for low, high in zip(edges[:-1], edges[1:]):
-        step = df
-        if low is not None:
-            step = step.filter(order > low)
+    for i, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+        step = df if low is None else df.filter(order > low)
         if high is not None:
-            at = order <= high
-            step = step.filter(at | order.isNull() if low is None else at)
-        step.coalesce(1).write.mode("append").parquet(path)
-    return path
+            step = step.filter((order <= high) | order.isNull()) if low is None else step.filter(order <= high)
+        step.write.mode("append").parquet(path)
+        if closing and i + 2 == len(edges):
+            closing_row(df, by).coalesce(1).write.mode("append").parquet(path)
+        yield path
 
 
-def stage_closing_row(spark: SparkSession, folder: str, events: DataFrame, windows: str = "1 day",
-                      watermark: str = "1 day") -> None:
-    """End a staged event stream with one row far enough behind the last event that the watermark passes
-    every window holding an event.  The row's own window stays open, so it is never written."""
-    far = F.col("ts") + F.expr(f"2 * (interval {windows}) + interval {watermark}")
-    last = events.agg(F.max("ts").alias("ts")).filter("ts is not null").select(far.cast(events.schema["ts"].dataType).alias("ts"))
-    fields = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.col("ts") for f in events.schema]
-    last.select(*fields).coalesce(1).write.mode("append").parquet(folder)
+def closing_row(df: DataFrame, by: str, far: str = "interval 3 days") -> DataFrame:
+    """One row of ``df``'s columns, null but for its time: the last one plus ``far``.  None for a frame without times."""
+    kind = df.schema[by].dataType
+    last = df.agg(F.max(by).alias(by)).filter(F.col(by).isNotNull()).select((F.col(by) + F.expr(far)).cast(kind).alias(by))
+    return last.select(*[F.col(by) if f.name == by else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
 
 
 def event_stream(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA,
@@ -113,6 +124,147 @@ def run_to_table(stream_df: DataFrame, name: str = "out") -> DataFrame:
     return table.read(stream_df.schema)
 
 
+class WindowTable:
+    """Counts per event-time window and key on shared storage, kept right by upserts.
+
+    ``upsert`` is a ``foreachBatch`` function: a micro-batch is counted, the counts are added to the totals of the
+    windows it touches, and these windows' new totals become version ``batch id``.  A window's state is its newest
+    version.  Totals are taken from versions before the batch's own, and the write replaces that version, so a batch
+    that runs again after a failure writes the same rows.  No watermark is needed: no event is too late.
+    ``compact`` merges what has settled into one version, so reading stays bounded by the windows there are."""
+
+    def __init__(self, spark: SparkSession, name: str, count, schema: str, root: str | None = None):
+        """``count``: frame of events -> frame (w, keys..., n), one row per window and key; ``schema`` of it."""
+        self.spark, self.count = spark, count
+        self.root = root or scratch_path(spark, f"windows-{name}-{uuid.uuid4().hex}")
+        self.checkpoint = f"{self.root}-checkpoint"
+        self.schema = f"{schema}, version long"
+        self.keys = [c.strip().split(" ")[0] for c in schema.split(",")][:-1]
+
+    def _versions(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.schema).parquet(self.root)
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.schema)
+
+    @staticmethod
+    def _newest(rows: DataFrame) -> DataFrame:
+        last = rows.groupBy("w").agg(F.max("version").alias("last"))
+        return rows.join(last.withColumnRenamed("w", "w_"), F.col("w").eqNullSafe(F.col("w_")) & (F.col("version") == F.col("last")))
+
+    def upsert(self, batch: DataFrame, batch_id: int) -> None:
+        added = self.count(batch)
+        touched = added.select(F.col("w").alias("t")).distinct()
+        before = self._versions().filter(F.col("version") < batch_id)
+        old = self._newest(before.join(touched, F.col("w").eqNullSafe(F.col("t")), "left_semi")).select(*self.keys, "n")
+        total = added.select(*self.keys, "n").union(old).groupBy(*self.keys).agg(F.sum("n").cast("long").alias("n"))
+        total.write.mode("overwrite").parquet(f"{self.root}/version={batch_id}")
+
+    def advance(self, events: DataFrame) -> None:
+        """Read what the source has now, resuming where the checkpoint ends."""
+        q = (events.writeStream.foreachBatch(self.upsert).outputMode("update")
+             .option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    def read(self) -> DataFrame:
+        return self._newest(self._versions()).select(*self.keys, "n")
+
+    def compact(self) -> "WindowTable":
+        """A table with one version that holds the present state, in a folder of its own; the old one is untouched and
+        the stream goes on from the same checkpoint."""
+        out = WindowTable(self.spark, "compact", self.count, self.schema.rsplit(",", 1)[0])
+        out.checkpoint = self.checkpoint
+        last = self._versions().agg(F.max("version")).first()[0]
+        if last is not None:
+            self.read().write.mode("overwrite").parquet(f"{out.root}/version={last}")
+        return out
+
+
+def day_counts(key, window: str = "1 day"):
+    """Events -> (w, key, n) per window; events without a time are not in any."""
+    def count(events: DataFrame) -> DataFrame:
+        return (events.filter(F.col("ts").isNotNull()).groupBy(F.window("ts", window).start.alias("w"), key.alias("key"))
+                .agg(F.count(F.lit(1)).alias("n")))
+    return count
+
+
+# ----------------------------------------------------------------- drift
+DRIFT_SCHEMA = "w timestamp, n long, mean_conf double, l1_drift double"
+
+
+def window_histograms(events: DataFrame, conf, window: str = "1 day", watermark: str = "1 day", n_bins: int = 10) -> DataFrame:
+    """(stream, w, n, total, counts) of every closed window: the histogram of ``conf`` as one array."""
+    b = ev.bin_index(conf, n_bins)
+    cells = [F.count_if(b == i).alias(f"b{i}") for i in range(n_bins)]
+    seen = (events.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(conf).alias("total"), *cells))
+    return seen.select(F.lit("all").alias("stream"), F.col("w.start").alias("w"), "n", "total",
+                       F.array(*[F.col(f"b{i}") for i in range(n_bins)]).alias("counts"))
+
+
+def drift_processor(keep_days: int = 90):
+    """State per stream: the last closed window's histogram.  A timer drops it when ``keep_days`` of event time pass
+    without a window, so streams that end leave nothing behind."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    class Drift(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "shares array<double>")
+
+        def handleInputRows(self, key, rows, timerValues):
+            found = pd.concat(list(rows)).sort_values("w")
+            last = list(self.last.get()[0]) if self.last.exists() else None
+            out = []
+            for w, n, total, counts in zip(found["w"], found["n"], found["total"], found["counts"]):
+                shares = [c / n for c in counts]
+                out.append((w, int(n), total / n, None if last is None else sum(abs(a - b) for a, b in zip(shares, last))))
+                last = shares
+            self.last.update((last,))
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int(found["w"].max().timestamp() * 1000) + keep_days * 86_400_000)
+            yield pd.DataFrame(out, columns=["w", "n", "mean_conf", "l1_drift"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.last.clear()
+            yield pd.DataFrame({"w": pd.Series(dtype="datetime64[ns]"), "n": pd.Series(dtype="int64"),
+                                "mean_conf": pd.Series(dtype="float64"), "l1_drift": pd.Series(dtype="float64")})
+
+        def close(self) -> None:
+            pass
+    return Drift()
+
+
+def drift_stream(events: DataFrame, conf, keep_days: int = 90, **windows) -> DataFrame:
+    """E9 on a stream: per closed window its size, mean confidence and L1 distance to the window before (null for the
+    first).  Histograms are aggregated over all tasks; only one row per closed window reaches the keyed state."""
+    return (window_histograms(events, conf, **windows).groupBy("stream")
+            .transformWithStateInPandas(drift_processor(keep_days), outputStructType=DRIFT_SCHEMA, outputMode="Append", timeMode="EventTime"))
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class rocksdb_state:
+    """Within this context streams are started with the state store that keyed state needs."""
+
+    KEY = "spark.sql.streaming.stateStore.providerClass"
+
+    def __init__(self, spark: SparkSession):
+        self.conf = spark.conf
+
+    def __enter__(self):
+        self.before = self.conf.get(self.KEY)
+        self.conf.set(self.KEY, STATE_STORE)
+
+    def __exit__(self, *_):
+        self.conf.set(self.KEY, self.before)
+
+
 def score_stream(model, ledger_stream: DataFrame, k: int = 3) -> DataFrame:
     """Streaming feature derivation and top-k scoring with a fitted model."""
     return model.classify(ledger_stream, k=k, keep=["txn_id"])

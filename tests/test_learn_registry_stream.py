@@ -164,36 +164,173 @@ def test_trial_grid_baseline_first(spark):
     assert g == tuning.trial_grid(spark, 5).orderBy("trial").collect()  # repeatable
 
 
+def test_promotions_at_once_have_one_order(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    reg = ModelRegistry(spark, str(tmp_path / "reg"))
+    names = [f"v-{i}" for i in range(12)]
+    for v in names:
+        (tmp_path / "reg" / "versions" / v).mkdir(parents=True)
+        (tmp_path / "reg" / "versions" / v / "file").write_text(v)
+        reg.register(v, {}, {}, 1, 1)
+    import datetime as dt
+    now = dt.datetime(2024, 5, 1)
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda v: ModelRegistry(spark, reg.root).promote(v, now), names))
+    assert sorted(numbers) == list(range(1, 13))                   # each promotion has a number of its own
+    order = {r["n"]: r["version"] for r in reg.promotions().collect()}
+    assert order == dict(zip(numbers, names))
+    assert {ModelRegistry(spark, reg.root).active() for _ in range(3)} == {order[12]}
+    (tmp_path / "reg" / "promotions" / "000000000013.json").write_text("")        # claimed, not written yet
+    assert reg.active() == order[12] and reg.promote("v-0") == 14 and reg.active() == "v-0"
+
+
+# ------------------------------------------------------------------- streaming
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
 def test_stream_windows_close_behind_the_watermark(spark, sf_small):
+    import datetime as dt
     events = spark.read.parquet(f"{sf_small}/events.parquet")
-    folder = sm.stage_folder(spark, events, "events-test", by="ts")
-    table = sm.run_to_table(sm.class_counts_windows(sm.event_stream(spark, folder, max_files_per_trigger=1)), "test")
-    got = {(r["w"]["start"], r["cls"], r["n"]) for r in table.collect()}
+    table = sm.StreamTable(spark, "test")
+    for folder in sm.feed(events, "events-test", by="ts"):
+        stream = sm.class_counts_windows(sm.event_stream(spark, folder))
+        table.advance(stream)
+    got = {(r["w"]["start"], r["cls"], r["n"]) for r in table.read(stream.schema).collect()}
     ts = F.col("ts").cast("timestamp")
     last = events.agg(F.max(ts)).first()[0]
     batch = events.groupBy(F.window(ts, "1 day").alias("w"), F.col("event_type").alias("cls")).count()
-    import datetime as dt
     want = {(r["w"]["start"], r["cls"], r["count"]) for r in batch.collect() if r["w"]["end"] <= last - dt.timedelta(days=1)}
     assert got == want and got
 
 
 def test_stream_queries_count_every_event(spark, sf_small, tmp_path):
-    """Both stream queries against SQL over all events, with lateness, a last day and a row without a time."""
+    """Both stream queries against SQL over all events, with a last day and a row without a time."""
     import duckdb
 
     import __spark_entry__ as E
-    from ledgerlens.operators import evaluate as ev
     events = spark.read.parquet(f"{sf_small}/events.parquet")
     timeless = events.limit(1).withColumn("ts", F.lit(None).cast(events.schema["ts"].dataType))
     events.union(timeless).write.parquet(str(tmp_path / "events.parquet"))
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT *, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS w, least(value / 500.0, 1.0) "
-                f"AS c FROM read_parquet('{tmp_path}/events.parquet/*.parquet') WHERE ts IS NOT NULL")
-    edges = ev._edges(10)
-    bins = " ".join(f"WHEN c >= {lo!r} AND c {'<=' if i == 9 else '<'} {hi!r} THEN {i}" for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])))
-    for name, key in (("stream_class_counts", "event_type"), ("stream_confidence", f"CASE {bins} END")):
-        got = [tuple(r) for r in E.queries()[name](spark, str(tmp_path)).collect()]
-        assert sorted(got, key=repr) == sorted(con.execute(f"SELECT w, {key}, count(*) FROM events GROUP BY ALL").fetchall(), key=repr)
-        assert sum(r[2] for r in got) == events.count()
-    assert sm.stage_folder(spark, events.union(timeless), "timeless", by="ts") and spark.read.parquet(
-        sm.stage_folder(spark, events.union(timeless), "timeless", by="ts")).count() == events.count() + 1
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("stream_class_counts", "stream_confidence"):
+        df = E.queries()[name](spark, str(tmp_path))
+        got = sorted((tuple(r) for r in df.collect()), key=repr)
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({E.oracle_sql()[name]})").fetchall()
+        assert got == sorted(want, key=repr) and sum(r[2] for r in got) == events.count()
+    whole = [f for f in sm.feed(events.union(timeless), "timeless", by="ts")][-1]
+    assert spark.read.parquet(whole).count() == events.count() + 1
+
+
+def test_late_events_correct_their_window(spark):
+    """An event far behind the watermark changes its window's total; a batch that runs again changes nothing."""
+    import datetime as dt
+    day = lambda d, h=0: dt.datetime(2024, 3, d, h)
+    rows = lambda *x: spark.createDataFrame([(i, t, 0, k, 1.0, "") for i, (t, k) in enumerate(x)], EVENTS)
+    table = sm.WindowTable(spark, "late", sm.day_counts(F.col("event_type")), "w timestamp, key string, n long")
+    state = lambda t=table: {(r["w"], r["key"]): r["n"] for r in t.read().collect()}
+    assert state() == {}
+    batches = [rows((day(1), "a"), (day(1, 5), "a"), (day(2), "b"), (None, "a")), rows((day(20), "a")),
+               rows((day(1, 7), "a"), (day(1), None), (day(2), "a"))]
+    for i, b in enumerate(batches):
+        table.upsert(b, i)
+    want = {(day(1), "a"): 3, (day(1), None): 1, (day(2), "b"): 1, (day(2), "a"): 1, (day(20), "a"): 1}
+    assert state() == want
+    table.upsert(batches[2], 2)                                    # the last batch again, after a failure
+    assert state() == want
+    small = table.compact()
+    assert state(small) == want and state() == want
+    small.upsert(rows((day(1), "a")), 3)
+    assert state(small) == {**want, (day(1), "a"): 4}
+    table.upsert(rows(), 3)                                        # an empty batch
+    assert state() == want
+
+
+def test_upserts_from_a_stream_resume(spark, sf_small):
+    events = spark.read.parquet(f"{sf_small}/events.parquet")
+    backwards = events.withColumn("late", -F.col("event_id"))      # the newest events come first
+    table = sm.WindowTable(spark, "back", sm.day_counts(F.col("event_type")), "w timestamp, key string, n long")
+    for folder in sm.feed(backwards, "backwards", by="late", steps=3):
+        table.advance(sm.event_stream(spark, folder))
+    ts = F.col("ts").cast("timestamp")
+    want = {(r["w"]["start"], r["event_type"], r["count"]) for r in events.groupBy(F.window(ts, "1 day").alias("w"), "event_type").count().collect()}
+    assert {(r["w"], r["key"], r["n"]) for r in table.read().collect()} == want
+
+
+def test_stream_drift_equals_batch(spark, sf_small):
+    from ledgerlens.plans import catalog_learn as cl
+    from ledgerlens.plans import catalog_more as cm
+    got = cl.q_stream_drift(spark, sf_small).orderBy("w").collect()
+    assert got == cm.q_confidence_drift(spark, sf_small).orderBy("w").collect() and len(got) > 5
+    assert got[0]["l1_drift"] is None and got[1]["l1_drift"] is not None
+
+
+def test_stream_drift_state_expires(spark):
+    """After a pause longer than the state is kept for, the next window starts anew."""
+    import datetime as dt
+    at = [dt.datetime(2024, 1, d, 3) for d in (1, 2)] + [dt.datetime(2024, 6, d, 3) for d in (1, 2, 3)] + [dt.datetime(2024, 9, 1)]
+    table = sm.StreamTable(spark, "pause")
+    with sm.rocksdb_state(spark):
+        df = spark.createDataFrame([(i, t, 0, "e", 100.0 * i, "") for i, t in enumerate(at)], EVENTS)
+        for folder in sm.feed(df, "pause", by="ts", steps=6, closing=True):
+            stream = sm.drift_stream(sm.event_stream(spark, folder), F.least(F.col("value") / 500.0, F.lit(1.0)), keep_days=60)
+            table.advance(stream)
+    got = [(r["w"].month, r["w"].day, r["l1_drift"] is None) for r in table.read(stream.schema).orderBy("w").collect()]
+    assert got == [(1, 1, True), (1, 2, False), (6, 1, True), (6, 2, False), (6, 3, False), (9, 1, True)]
+
+
+# --------------------------------------------------- what the model queries say
+def test_model_queries_give_what_the_model_says(spark, sf_small):
+    """Codes, confidences, metrics and ranks recomputed from the probabilities, on the smallest tables."""
+    import __spark_entry__ as E
+    from ledgerlens.plans import catalog_learn as cl
+    q = E.queries()
+    run = lambda name: [r.asDict() for r in q[name](spark, sf_small).collect()]
+    m = cl.fitted(spark, sf_small)
+    _, va = cl._split(spark, sf_small)
+    proba = {r["txn_id"]: np.array(r["proba"]) for r in m.score(va).collect()}
+    truth = {r["txn_id"]: r["target"] for r in va.select("txn_id", "target").collect()}
+    known = {t: c for t, c in truth.items() if c in m.classes}
+    best = {t: m.classes[int(p.argmax())] for t, p in proba.items()}
+
+    for name in ("classify", "stream_score"):
+        got = run(name)
+        assert len(got) == 3 * len(proba)
+        for r in got:
+            order = sorted(range(len(m.classes)), key=lambda c: (-proba[r["txn_id"]][c], c))
+            assert r["code"] == m.classes[order[r["rank"] - 1]]
+            assert r["confidence"] == pytest.approx(proba[r["txn_id"]][order[r["rank"] - 1]], abs=6e-5)
+    got = {r["txn_id"]: r for r in run("train_score")}
+    assert set(got) == set(known)
+    for t, r in got.items():
+        assert (r["target"], r["code"], r["hit"]) == (known[t], best[t], int(best[t] == known[t]))
+        assert r["true_confidence"] == pytest.approx(proba[t][m.classes.index(known[t])], abs=1e-6)
+    accuracy = np.mean([best[t] == c for t, c in known.items()])
+    balanced = np.mean([np.mean([best[t] == c for t, k in known.items() if k == c]) for c in set(known.values())])
+    row = run("train_pipeline")[0]
+    assert row["accuracy"] == pytest.approx(accuracy) and row["balanced_accuracy"] == pytest.approx(balanced)
+    assert row["passed"] == int(accuracy >= row["acc_threshold"] and balanced >= row["bal_threshold"]) and row["train_seconds"] > 0
+    for r in run("evaluate_model"):
+        hits = [known[t] in [m.classes[c] for c in sorted(range(len(m.classes)), key=lambda c: (-proba[t][c], c))[:r["k"]]] for t in known]
+        assert r["accuracy"] == pytest.approx(np.mean(hits)) and r["n_rows"] == len(known)
+    pairs = {(r["target"], r["code"]): r["n"] for r in run("model_confusion_pairs")}
+    assert sum(pairs.values()) == len(known) and all(n == sum(best[t] == p and c == k for t, c in known.items()) for (k, p), n in pairs.items())
+    for r in run("model_per_class"):
+        assert r["support"] == sum(c == r["code"] for c in known.values())
+        if r["support"]:
+            assert r["recall"] == pytest.approx(pairs.get((r["code"], r["code"]), 0) / r["support"])
+    for r in run("model_calibration"):
+        mine = [t for t in known if r["bin"] / 10 <= proba[t].max() < (r["bin"] + 1) / 10]
+        assert abs(r["n"] - len(mine)) <= 1
+        if mine and r["n"] == len(mine):
+            assert r["accuracy"] == pytest.approx(np.mean([best[t] == known[t] for t in mine]))
+    versions = run("registry_versions")
+    assert len(versions) == 2 and [r["active"] for r in versions] == [True, False]
+    assert all(r["accuracy"] == pytest.approx(accuracy) and r["promotions"] == 1 and r["n_files"] > 5 for r in versions)
+    assert {r["same"] for r in run("registry_round_trip")} == {1}
+    explained = run("explain_model")
+    assert len(explained) == 5 * len(proba) and {r["rank"] for r in explained} == {1, 2, 3, 4, 5}
+    assert all(r["code"] == best[r["txn_id"]] and r["confidence"] == pytest.approx(proba[r["txn_id"]].max(), abs=6e-5) for r in explained)
+    assert {r["adds_up"] for r in run("explain_model_facts")} == {1}
+    importance = run("model_importance")
+    assert len(importance) == 20 and importance[0]["importance"] >= importance[-1]["importance"] > 0
