@@ -205,28 +205,31 @@ def window_histograms(events: DataFrame, conf, window: str = "1 day", watermark:
 
 
 def drift_processor(keep_days: int = 90):
-    """State per stream: the last closed window's histogram.  A timer drops it when ``keep_days`` of event time pass
-    without a window, so streams that end leave nothing behind."""
+    """State per stream: the last closed window and its histogram.  After more than ``keep_days`` without a window the
+    next one counts as a first one; a timer on event time drops the state by then, so streams that end leave nothing."""
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+    keep = keep_days * 86_400_000
+
     class Drift(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last", "shares array<double>")
+            self.last = handle.getValueState("last", "at long, shares array<double>")
 
         def handleInputRows(self, key, rows, timerValues):
             found = pd.concat(list(rows)).sort_values("w")
-            last = list(self.last.get()[0]) if self.last.exists() else None
+            before, last = self.last.get() if self.last.exists() else (None, None)
             out = []
             for w, n, total, counts in zip(found["w"], found["n"], found["total"], found["counts"]):
-                shares = [c / n for c in counts]
-                out.append((w, int(n), total / n, None if last is None else sum(abs(a - b) for a, b in zip(shares, last))))
-                last = shares
-            self.last.update((last,))
+                at, shares = int(w.timestamp() * 1000), [c / n for c in counts]
+                fresh = before is None or at - before > keep
+                out.append((w, int(n), total / n, None if fresh else sum(abs(a - b) for a, b in zip(shares, last))))
+                before, last = at, shares
+            self.last.update((before, last))
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
-            self.handle.registerTimer(int(found["w"].max().timestamp() * 1000) + keep_days * 86_400_000)
+            self.handle.registerTimer(before + keep + 1)
             yield pd.DataFrame(out, columns=["w", "n", "mean_conf", "l1_drift"])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
