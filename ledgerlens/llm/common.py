@@ -25,6 +25,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until none is a column of ``df`` (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``value`` computed once per row.  An expression that is referred to inside a lambda
     is otherwise computed again for every element."""
