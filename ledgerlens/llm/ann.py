@@ -18,8 +18,8 @@ ones for a query.  Copies of a vector are reduced beforehand to the ``k + 1`` sm
 that can be returned), and equal queries are searched once.
 
 Vectors that are null, all zero, or with null or non-finite components take no part, as candidates or as
-queries; so do null ids.  Vectors are searched among those of their own length; a length with at most BLOCK_V
-rows is compared in full.  Rows that repeat an id count once, at their smallest distance.  With fewer than ``k`` other vectors all are returned: every bucket is probed then.
+queries; so do null ids.  Vectors are searched among those of their own length, one length that queries have
+after the other (lengths are few; one, as a rule).  Rows that repeat an id count once, at their smallest distance.  With fewer than ``k`` other vectors all are returned: every bucket is probed then.
 An empty table gives an empty result.
 """
 
@@ -87,17 +87,21 @@ class Hasher:
         row = np.repeat(np.arange(len(x)), n)
         return row, order[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
 
-    def need(self, q: np.ndarray, cos: float, seed: int) -> int:
-        """Probes of ``q`` that find VOUCH of random vectors whose angle to it has this cosine."""
-        u = q / np.abs(q).max()
-        u = u / np.linalg.norm(u)
-        w = np.random.Generator(np.random.PCG64(seed)).normal(size=(DRAWS, len(u)))
-        w -= np.outer(w @ u, u)
-        w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
-        cos = min(1.0, max(-1.0, cos))
-        codes = self.codes(cos * u + np.sqrt(1 - cos * cos) * w)
-        place = np.argsort(self.probe_order(q[None])[0])
-        return int(np.sort(place[codes].min(1))[int(np.ceil(VOUCH * DRAWS)) - 1]) + 1
+    def need(self, q: np.ndarray, cos: np.ndarray, seeds: np.ndarray, step: int = 32) -> np.ndarray:
+        """Probes of each query that find VOUCH of random vectors whose angle to it has its cosine."""
+        out = np.zeros(len(q), np.int64)
+        for a in range(0, len(q), step):
+            u = q[a:a + step] / np.abs(q[a:a + step]).max(1, keepdims=True)
+            u = u / np.linalg.norm(u, axis=1, keepdims=True)
+            w = np.stack([np.random.Generator(np.random.PCG64(int(s))).normal(size=(DRAWS, self.dim)) for s in seeds[a:a + step]])
+            w -= (w @ u[:, :, None]) * u[:, None, :]
+            w /= np.maximum(np.linalg.norm(w, axis=2, keepdims=True), 1e-300)
+            c = np.clip(cos[a:a + step], -1.0, 1.0)[:, None, None]
+            codes = self.codes((c * u[:, None, :] + np.sqrt(1 - c * c) * w).reshape(-1, self.dim))
+            place = np.argsort(self.probe_order(q[a:a + step]), axis=1)
+            first = place[np.repeat(np.arange(len(u)), DRAWS)[:, None], codes].min(1).reshape(len(u), DRAWS)
+            out[a:a + step] = np.sort(first, axis=1)[:, int(np.ceil(VOUCH * DRAWS)) - 1] + 1
+        return out
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -139,11 +143,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     spark = vectors.sparkSession
     usable = _usable(vectors, id_col, vector_col)
     size = F.size("v")
-    lengths = usable.groupBy(size.alias("dim")).count().orderBy("dim").collect()
-    large = [r.dim for r in lengths if r["count"] > BLOCK_V]
-    pairs = [_search_length(usable.filter(size == dim), is_query, k, dim, recall) for dim in large]
-    if len(large) < len(lengths):
-        pairs.append(_search_small(usable.filter(~size.isin(large)), is_query, k))
+    asked = usable.filter(is_query(F.col("vec_id"))).groupBy(size.alias("dim")).count().orderBy("dim").collect()
+    pairs = [_search_length(usable.filter(size == r.dim), is_query, k, r.dim, recall) for r in asked]
     if not pairs:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = pairs[0]
@@ -156,31 +157,6 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
             .select("query_id", "rank", "vec_id", "score"))
 
 
-def _search_small(usable: DataFrame, is_query, k: int) -> DataFrame:
-    """(query_id, vec_id, score) by brute force, for lengths of at most BLOCK_V rows each."""
-    pool = usable.distinct().withColumn("dim", F.size("v"))
-    asked = pool.filter(is_query(F.col("vec_id"))).select("dim", F.col("vec_id").alias("query_id"), "v")
-
-    def compare(vec, ask):
-        out = [(np.zeros(0, np.int64), np.zeros(0))]
-        took = [0]
-        if vec.num_rows and ask.num_rows:
-            dim = vec["dim"][0].as_py()
-            x, ids = matrix(vec["v"].combine_chunks(), dim), vec["vec_id"].to_numpy()
-            for q, own in zip(matrix(ask["v"].combine_chunks(), dim), ask["query_id"].to_numpy()):
-                others = ids != own
-                dist = np.sqrt(((x[others] - q) ** 2).sum(1))
-                at = np.lexsort((ids[others], dist))
-                at = at[np.sort(np.unique(ids[others][at], return_index=True)[1])[:k]]
-                out.append((ids[others][at], dist[at]))
-                took.append(len(at))
-        owner = ask["query_id"].to_numpy() if ask.num_rows else np.zeros(0, np.int64)
-        return pa.table({"query_id": np.repeat(owner, took[1:]) if len(took) > 1 else np.zeros(0, np.int64),
-                         "vec_id": np.concatenate([o[0] for o in out]), "score": np.concatenate([o[1] for o in out])})
-    return (pool.groupBy("dim").cogroup(asked.groupBy("dim"))
-            .applyInArrow(compare, "query_id long, vec_id long, score double"))
-
-
 def _search_length(usable: DataFrame, is_query, k: int, dim: int, recall: float) -> DataFrame:
     """(query_id, vec_id, score) of the nearest found among vectors of one length; own ids are still in."""
     same = Window.partitionBy("v").orderBy("vec_id")
@@ -221,7 +197,9 @@ def _unsettled(due: DataFrame, found: DataFrame, hasher: Hasher, k: int) -> Data
         for b in it:
             x, p = matrix(b["v"], hasher.dim), b["p"].to_numpy()
             n, cos, seeds = b["n"].to_numpy(), b["cos"].to_numpy(), _mixed(b["c1"].to_numpy())
-            want = np.array([8 * p[i] if n[i] <= k else hasher.need(x[i], cos[i], int(seeds[i])) for i in range(len(x))], np.int64)
+            want = 8 * p.astype(np.int64)
+            enough = n > k
+            want[enough] = hasher.need(x[enough], cos[enough], seeds[enough])
             at = np.flatnonzero(want > p)
             more = np.minimum(np.maximum(want[at], 2 * p[at]), 2 * hasher.width).astype(np.int32)
             take = pa.array(at)
@@ -306,9 +284,6 @@ def _round(pool: DataFrame, due: DataFrame, hasher: Hasher, k: int) -> DataFrame
     return found.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= k + 1).drop("turn")
 
 
-    return asked.select("query_id", "c1", "c2").join(found, ["c1", "c2"]).select("query_id", "vec_id", "score")
-
-
 def _mixed(ids: np.ndarray) -> np.ndarray:
     from ledgerlens.llm.words import mix64
     return mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(1)
