@@ -35,6 +35,7 @@ UNITS = WORDS + SHAPES
 LIMIT = 8_000
 PARTS = 16
 STEP = 200_000                      # words handled at a time
+GRAIN = 1 << 20
 _FIELD = np.zeros(256, np.uint64)   # per byte one count in a 12-bit field: capital, small, other letter, digit, punctuation
 _FIELD[:] = np.uint64(1) << np.uint64(48)
 _FIELD[65:91] = 1
@@ -104,7 +105,7 @@ def add_contexts(total: np.ndarray, index: np.ndarray, word: np.ndarray, shape:
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit-length context vectors of all units, from every text of ``docs``."""
+    """Context vectors of all units, from every text of ``docs``: of unit length, in multiples of 1 / GRAIN."""
     def count(it):
         index = index_vectors()
         total = np.zeros((UNITS + 1, DIM), np.float64)
@@ -118,22 +119,23 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     if used.any():
         v[used] -= v[used].mean(0)                      # what all units share says nothing
         v[used] /= np.maximum(np.linalg.norm(v[used], axis=1, keepdims=True), 1e-12)
-    return v.astype(np.float32)
+    return np.rint(v * GRAIN).astype(np.int32)
 
 
 def pool(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """(rows, 2 * DIM) means of word and shape vectors; zero for a text without words."""
+    """(rows, 2 * DIM) means of word and shape vectors; zero for a text without words.  The vectors are whole
+    multiples of 1 / GRAIN and are summed as integers, so equal texts have equal means wherever they stand."""
     word, shape, first = units(column)
-    out = np.zeros((len(column), 2 * DIM))
+    total = np.zeros((len(column), 2 * DIM), np.int64)
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
     for a in range(0, len(word), STEP):
         b = min(len(word), a + STEP)
         cut = np.flatnonzero(np.diff(row[a:b], prepend=-1))
         at = row[a:b][cut]
-        out[at, :DIM] += np.add.reduceat(vectors[word[a:b]], cut, axis=0)
-        out[at, DIM:] += np.add.reduceat(vectors[shape[a:b]], cut, axis=0)
-    return out / np.maximum(n, 1)[:, None]
+        total[at, :DIM] += np.add.reduceat(vectors[word[a:b]], cut, axis=0, dtype=np.int64)
+        total[at, DIM:] += np.add.reduceat(vectors[shape[a:b]], cut, axis=0, dtype=np.int64)
+    return total / (np.maximum(n, 1)[:, None] * float(GRAIN))
 
 
 def _forward(net: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +178,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 80
     if len(rest) >= 20:
         s, t = _forward(net, x[rest])[1], y[rest]
         loss = lambda c: np.logaddexp(0, np.where(t == 1, -s, s) / c).mean()
-        net["temperature"] = float(min(np.geomspace(0.5, 8, 60), key=loss))
+        net["temperature"] = float(min(np.geomspace(0.02, 50, 160), key=loss))
     return net
 
 
