@@ -11,7 +11,9 @@ another character (checked when a model is loaded), so the best path of a text i
 space-led chunks in a row, and equal chunks are solved once per worker (bounded cache).  A U+2581 in the
 text itself is spelled in bytes, which keeps the round trip exact.  Control pieces are never matched.
 
-Null text: null ids, and back.  Empty text: no ids.  Rows are independent: no shuffle, repeated rows get
+Null text: null ids, and back.  Empty text: no ids.  Ids that no text is encoded to decode as well: an id that the model
+does not have, or a null, becomes U+FFFD, bytes that are not UTF-8 likewise, and a leading space is dropped only if there
+is one.  Rows are independent: no shuffle, repeated rows get
 equal ids.  The model file is read on the driver and its pieces (a vocabulary, bounded) are broadcast.
 """
 
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 
 SPACE = "\u2581"
 _HIDDEN = "\uffff"                      # stands for a literal U+2581 while matching; in no piece
+_LOST = "\ufffd".encode()             # stands for an id that the model does not have
 CACHE = 300_000
 STEP = 500                      # rows handled at a time
 
@@ -119,7 +122,9 @@ class Codec:
         return b"".join(map(self.known.__getitem__, self.chunks(" " + text))) if text else b""
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.out.__getitem__, ids)).decode()[1:]
+        n = len(self.out)
+        text = b"".join([self.out[i] if 0 <= i < n else _LOST for i in ids]).decode(errors="replace")
+        return text[1:] if text.startswith(" ") else text
 
 
 _BUILT: dict[str, Codec] = {}
@@ -181,7 +186,7 @@ def decode(df: DataFrame, model: _Shared, ids: str = "ids", out: str = "decoded"
     def fill(b):
         codec, col = _codec(model), b[ids]
         at = col.offsets.to_numpy()
-        flat, at = col.values[at[0]:at[-1]].to_numpy(zero_copy_only=False), at - at[0]
+        flat, at = col.values[at[0]:at[-1]].fill_null(-1).to_numpy(zero_copy_only=False), at - at[0]
         return pa.array([None if null else codec.decode(flat[at[i]:at[i + 1]].tolist())
                          for i, null in enumerate(col.is_null().to_pylist())], pa.string())
     return _with_column(df, out, T.StringType(), fill)
