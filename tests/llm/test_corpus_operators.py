@@ -479,3 +479,91 @@ def test_url_filter_follows_every_link(spark):
     got = {r.page_id: r.verdict for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [i for i in got if got[i] == "block"] and {i for i in got if got[i] == "block"} == {0, 1, 2, 3, 4, 5, 6, 7, 90, 91, 92}
     assert urljoin(rows[4][1], "../d/./bad") == rows[-3][1] and urljoin(rows[5][1], unescape("/q?a=1&amp;b=2")) == rows[-2][1]
+
+
+def test_line_dedup_tells_rows_apart(spark):
+    """Rows without id, or with the same one, are documents of their own; of equal rows one keeps its lines."""
+    from ledgerlens.llm.line_dedup import dedup_lines
+    texts = ["l1\nl2\nl3\nkeep A", "u1\nu2\nu3\nu4", "q\nl1\nl2\nl3"]
+    for doc_id in (None, 5):
+        df = spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string").coalesce(1)
+        for name in ("row", "of", "gone", "Row_"):
+            df = df.withColumn(name, df.doc_id)
+        got = {r.text: r.n_removed for r in dedup_lines(df).collect()}
+        assert got == {"l1\nl2\nl3\nkeep A": 0, "u1\nu2\nu3\nu4": 0, "q": 3}
+    same = spark.createDataFrame([(7, texts[0])] * 4, "doc_id long, text string")
+    assert sorted(r.n_removed for r in dedup_lines(same).collect()) == [0, 4, 4, 4]
+
+
+def test_small_tables_are_hashed(spark, monkeypatch):
+    """Tables of 500 and 2,000 vectors go through the buckets, and every query finds nine of ten neighbours."""
+    from ledgerlens.llm import ann
+    calls = []
+    round_, fit = ann._round, ann._fit_probes
+    monkeypatch.setattr(ann, "_round", lambda pool, due, hasher, k: calls.append(hasher.buckets) or round_(pool, due, hasher, k))
+    monkeypatch.setattr(ann, "_fit_probes", lambda *a: calls.append("fit") or fit(*a))
+    for sf in ("sf0.01", "sf0.1"):
+        df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding")
+        calls.clear()
+        got = defaultdict(list)
+        for r in ann.search(df, lambda i: i % 100 == 0).collect():
+            got[r.query_id].append(r.vec_id)
+        assert "fit" in calls and 6 * 128 in calls
+        rows = df.orderBy("vec_id").collect()
+        x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+        for q in [i for i in ids if i % 100 == 0]:
+            d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+            d[ids == q] = np.inf
+            assert len(got[q]) == 10 and len(set(ids[np.lexsort((ids, d))[:10]]) & set(got[q])) >= 9
+
+
+def test_equal_texts_have_equal_quality(spark):
+    """Long equal texts in one column: equal means, whatever part of a batch they fall in; means are plain averages."""
+    import pyarrow as pa
+    from ledgerlens.llm import quality
+    rng = np.random.default_rng(3)
+    vectors = np.rint(rng.normal(size=(quality.UNITS, quality.DIM)) * quality.GRAIN).astype(np.int32)
+    text = " ".join(f"Word{i}" for i in rng.integers(0, 500, 1500))
+    x = quality.pool(pa.array([text] * 300 + ["", "two words"]), vectors)
+    assert len(np.unique(x[:300], axis=0)) == 1 and not x[300].any()
+    word, shape, first = quality.units(pa.array([text]))
+    v = vectors / quality.GRAIN
+    assert np.allclose(x[0], np.concatenate([v[word].mean(0), v[shape].mean(0)]))
+
+
+def test_quality_contexts_and_network_against_plain_loops():
+    import pyarrow as pa
+    from ledgerlens.llm import quality
+    texts = ["a b c d a b", "", "one", "b a B c!"]
+    index = quality.index_vectors()
+    total = np.zeros((quality.UNITS + 1, quality.DIM))
+    quality.add_contexts(total, index, *quality.units(pa.array(texts)))
+    want = np.zeros_like(total)
+    for t in texts:
+        word, shape, _ = quality.units(pa.array([t]))
+        for i in range(len(word)):
+            for j in range(max(0, i - 2), min(len(word), i + 3)):
+                if j != i:
+                    for unit in (word[i], shape[i]):
+                        want[unit] += index[word[j]] + index[shape[j]]
+    assert np.array_equal(total[:quality.UNITS], want[:quality.UNITS])
+    rng = np.random.default_rng(0)
+    net = {"mean": rng.normal(size=4), "scale": rng.random(4) + 0.5, "w1": rng.normal(size=(4, 3)), "b1": rng.normal(size=3),
+           "w2": rng.normal(size=3), "b2": 0.3, "temperature": 1.7}
+    x = rng.normal(size=(5, 4))
+    for row, p in zip(x, quality.probability(net, x)):
+        hidden = [max(0.0, sum((row[i] - net["mean"][i]) / net["scale"][i] * net["w1"][i][j] for i in range(4)) + net["b1"][j]) for j in range(3)]
+        s = sum(h * w for h, w in zip(hidden, net["w2"])) + net["b2"]
+        assert p == pytest.approx(1 / (1 + np.exp(-s / 1.7)))
+
+
+def test_decoding_of_ids_that_no_text_has(spark):
+    from ledgerlens.llm import pieces
+    model = pieces.load_pieces(pieces.default_model())
+    codec = pieces.Codec(model)
+    ids = list(np.frombuffer(codec.encode("The cat"), np.int32))
+    inner = next(i for i, (p, _, k) in enumerate(model["pieces"]) if k == "n" and p == "ing")
+    byte = codec.byte[0xC3]
+    rows = [(0, [int(i) for i in ids]), (1, [inner]), (2, [10 ** 9, -4, inner]), (3, [None, inner]), (4, [byte, inner]), (5, []), (6, None)]
+    got = {r.k: r.decoded for r in pieces.decode(spark.createDataFrame(rows, "k int, ids array<int>"), pieces.share(spark)).collect()}
+    assert got == {0: "The cat", 1: "ing", 2: "\ufffd\ufffding", 3: "\ufffding", 4: "\ufffding", 5: "", 6: None}

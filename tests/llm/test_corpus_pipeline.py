@@ -110,3 +110,14 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_go_whatever_their_ids(spark):
+    """A near copy goes even if its id also stands on another text; rows without id; extra columns."""
+    import corpus_pipeline as cp
+    base = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, base), (2, base + " b"), (2, "something else entirely, on a row of the same id"), (None, base + " c"),
+            (None, "alone"), (None, "alone"), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 9) for i, t in rows], COLUMNS + ", row long")
+    got = sorted(((r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, base), rows[2], (None, "alone"), (4, None), (4, None), (5, "")], key=repr)
