@@ -6,17 +6,17 @@ texts and labels, which SQL cannot express, so there is no oracle; tests compare
 
 Nulls, empty and very long texts, repeated rows, empty tables and extra columns follow the operators' rules
 (see their modules).  In particular: a null text is scored like an empty one and kept; the near-duplicate
-stage keeps the smallest id of a group, one of rows equal in id and text, and rows without id unless their
-group has an id; mixing repeats whole rows.
+stage keeps one row of each group (smallest id, rows without id last, then the first), and every row without text;
+mixing repeats whole rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import jaccard, line_dedup, mixing, pieces, toxicity
-from ledgerlens.llm.common import table, written
+from ledgerlens.llm.common import table, unused_names, written
 
 TOXIC_FROM = 0.3
 
@@ -34,13 +34,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group of linked documents the one with the smallest id stays."""
-    groups = jaccard.jaccard_components(docs)
-    stay = (written(groups, "pipeline-groups").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("stay__")).distinct())
-    left = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay__")), "left_semi")
-    equal = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
-    return left.withColumn("turn__", F.row_number().over(equal)).filter("turn__ = 1").select(*docs.columns)
+    """Operator 1: of each group of linked documents the one with the smallest id stays.
+
+    Rows are grouped by a key of their own, so documents that share an id, or have none, are told apart."""
+    key, of, first = unused_names(docs, "row", "of", "first")
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+    groups = jaccard.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(of), "component_id")
+    ranked = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key))
+    stay = (rows.select(key, "doc_id").join(groups, F.col(key) == F.col(of)).groupBy("component_id")
+            .agg(F.min(ranked).alias(first)).select(F.col(f"{first}.{key}").alias(of)))
+    return rows.join(stay, F.col(key) == F.col(of), "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
