@@ -101,11 +101,15 @@ def decode_entities(col: str | Column) -> Column:
 
 def strip_html(col: str | Column) -> Column:
     """sentinel/empty → ""; decode entities; ``<br>`` → space; tags → space;
-    collapse whitespace; trim."""
+    collapse whitespace; trim.
+
+    A text that still holds a ``<`` then (an unclosed or empty tag, a plain sign) goes through the rules of an HTML
+    parser once more: nothing after it can close, so all of it is text, whose character references are decoded."""
     raw = _c(col)
     text = decode_entities(raw)
     text = F.regexp_replace(text, BREAK_TAG, " ")
     text = F.regexp_replace(text, ANY_TAG, " ")
+    text = F.when(text.contains("<") & text.contains("&"), decode_entities(text)).otherwise(text)
     return (F.when(raw.isNull() | (raw == "") | (raw == NULL_SENTINEL), F.lit(""))
              .otherwise(collapse_ws(text)))
 

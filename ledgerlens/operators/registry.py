@@ -12,8 +12,8 @@ append-only tables:
 A promotion claims the next number by creating its file only if it is absent;
 whoever loses the race takes the number after.  So any promotions that run at
 once end up in one order, which every reader sees alike, and the active version
-is the last one of it.  Checksums
-are ``sha2(content, 256)`` over a ``binaryFile`` scan of the version folder.
+is the last one of it.  Checksums are hash trees over blocks (``hashing``); the
+blocks' hashes are kept in table ``blocks``, so a check names what is altered.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .hashing import block_hashes, differences, roots
+
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("version", T.StringType(), False),
     T.StructField("created_at", T.TimestampType(), False),
@@ -119,19 +121,28 @@ class ModelRegistry:
         now = now or _dt.datetime.now(_dt.timezone.utc)
         return "v-" + now.strftime("%Y%m%d-%H%M%S-%f")
 
+    def _blocks(self, version: str) -> DataFrame:
+        """(file, block, sha256) of the files under the version folder, as they are now."""
+        name = F.regexp_replace(F.col("path"), r"^.*?/versions/[^/]+/", "")
+        return block_hashes(self.spark, self.version_path(version), name)
+
+    def recorded_blocks(self, version: str) -> DataFrame:
+        """The same as they were when the version was registered."""
+        schema = T.StructType([T.StructField("version", T.StringType()), T.StructField("file", T.StringType()),
+                               T.StructField("block", T.LongType()), T.StructField("sha256", T.StringType())])
+        rows = self._read(self.spark.read.schema(schema).parquet, f"{self.root}/blocks", schema)
+        return rows.filter(F.col("version") == version).select("file", "block", "sha256")
+
     def checksums(self, version: str) -> DataFrame:
-        """C14: (file, sha256) of every file under the version folder."""
-        base = self.version_path(version)
-        files = (self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .load(base))
-        rel = F.regexp_replace(F.col("path"), r"^.*?/versions/[^/]+/", "")
-        return files.select(rel.alias("file"), F.sha2(F.col("content"), 256).alias("sha256"))
+        """C14: (file, sha256) of every file under the version folder: the root of its hash tree."""
+        return roots(self._blocks(version))
 
     def register(self, version: str, config: dict, metrics: dict, num_categories: int,
                  n_features: int, status: str = "candidate",
                  created_at: _dt.datetime | None = None) -> dict:
         """Append the manifest of an already written version folder."""
-        sums = {r["file"]: r["sha256"] for r in self.checksums(version).collect()}
+        self._blocks(version).select(F.lit(version).alias("version"), "*").write.mode("append").parquet(f"{self.root}/blocks")
+        sums = {r["file"]: r["sha256"] for r in roots(self.recorded_blocks(version)).collect()}
         row = {
             "version": version,
             "created_at": created_at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
@@ -179,20 +190,15 @@ class ModelRegistry:
         return act is not None and act != self._loaded
 
     def verify(self, version: str) -> None:
-        """Every recorded file must exist with the recorded hash."""
-        man = self.manifests().filter(F.col("version") == version).select(
-            F.explode("checksums").alias("file", "expected"))
-        actual = self.checksums(version)
+        """Every recorded block must be there with the recorded hash; the error names those that are not."""
         try:
-            bad = man.join(actual, "file", "left").filter(
-                F.col("sha256").isNull() | (F.col("sha256") != F.col("expected"))).collect()
+            bad = differences(self.recorded_blocks(version), self._blocks(version)).filter("state <> 'added'").collect()
         except Exception as err:  # noqa: BLE001  (a file the scan cannot read is corrupt)
             raise RuntimeError(f"version {version} cannot be read back: {str(err)[:300]}") from err
         if bad:
-            gone = sorted(r["file"] for r in bad if r["sha256"] is None)
-            edited = sorted(r["file"] for r in bad if r["sha256"] is not None)
-            kind = FileNotFoundError if gone else RuntimeError
-            raise kind(f"version {version} is not what was registered; absent: {gone or 'none'}, altered: {edited or 'none'}")
+            say = lambda state: ", ".join(f"{r['file']} (block {r['block']})" for r in sorted(bad) if r["state"] == state)[:2000] or "none"
+            kind = FileNotFoundError if any(r["state"] == "absent" for r in bad) else RuntimeError
+            raise kind(f"version {version} is not what was registered; absent: {say('absent')}, altered: {say('altered')}")
 
 
 def save_bundle(registry: ModelRegistry, model, metrics: dict, config: dict,

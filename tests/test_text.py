@@ -98,3 +98,32 @@ def test_entities_as_the_standard_library(spark):
              "&CounterClockwiseContourIntegral; &eacutex &EACUTE;", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", decode_entities("t").alias("d")).collect()
     assert {r["i"]: r["d"] for r in rows} == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
+
+
+def test_broken_pages_as_the_html_parser_reads_them(spark):
+    """Unclosed tags, comments and quotes: the text the standard library's parser gives for what the tag patterns
+    leave."""
+    import html
+    import re
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.got = []
+
+        def handle_data(self, data):
+            self.got.append(data)
+    pages = ["a < b and c", "x <b", "x <b class='d", "m <> n", "open <!-- comment", "end </b", "a <b>bold</b> <i", "q <? p", "a <b <c",
+             "<", "a<", "<<b>>", "5 &lt; 6 &amp;amp; <b", "caf&eacute; &amp;eacute; <b", "x &amp;#233; <", "fine &amp;amp; closed <p>",
+             "l1<br/>l2 <br", "a <![CDATA[x", "1 &amp;lt b <c", "&amp;copy <u", "t <script x", "no tags &amp; no sign", "<a title='1 > 0'> &amp;gt; <"]
+    rows = spark.createDataFrame(list(enumerate(pages)), "k int, page string")
+    got = {r.k: r.t for r in rows.select("k", tx.strip_html("page").alias("t")).collect()}
+    for k, page in enumerate(pages):
+        text = re.sub(r"<[^>]+>", " ", re.sub(r"(?i)<br\s*/?>", " ", html.unescape(page)))
+        if "<" in text:
+            p = Text()
+            p.feed(text)
+            p.close()
+            text = "".join(p.got)
+        assert got[k] == re.sub(r"\s+", " ", text).strip(), page
