@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 SPACE = "\u2581"
 _HIDDEN = "\uffff"                      # stands for a literal U+2581 while matching; in no piece
 _LOST = "\ufffd".encode()             # stands for an id that the model does not have
-CACHE = 300_000
+CACHE = 150_000
 STEP = 500                      # rows handled at a time
 
 
@@ -56,16 +57,10 @@ def load_pieces(path: str) -> dict:
 
 
 class Codec:
-    """Encoder and decoder of one model, built once per worker."""
+    """Encoder and decoder of one model, built once per worker; the automaton only where something is encoded."""
 
     def __init__(self, model: dict):
-        import ahocorasick
-        normal = [(p, s, i) for i, (p, s, k) in enumerate(model["pieces"]) if k == "n"]
-        self.auto = ahocorasick.Automaton()
-        for p, s, i in normal:
-            self.auto.add_word(p, (len(p), s, i))
-        self.auto.make_automaton()
-        self.unknown = min(s for _, s, _ in normal) - 10.0
+        self.model = model
         self.byte = [0] * 256
         self.out = []
         for i, (p, _, k) in enumerate(model["pieces"]):
@@ -74,8 +69,29 @@ class Codec:
                 self.out.append(bytes([int(p[3:5], 16)]))
             else:
                 self.out.append(p.replace(SPACE, " ").encode() if k == "n" else b"")
-        broken = any("\n" in p for p, _, _ in normal)
-        self.chunks = re.compile(r" *[^ ]+| +" if broken else r" *[^ \n]+|\n| +").findall
+
+    @cached_property
+    def auto(self):
+        import ahocorasick
+        auto = ahocorasick.Automaton()
+        for i, (p, s, k) in enumerate(self.model["pieces"]):
+            if k == "n":
+                auto.add_word(p, (len(p), s, i))
+        auto.make_automaton()
+        return auto
+
+    @cached_property
+    def unknown(self) -> float:
+        return min(s for _, s, k in self.model["pieces"] if k == "n") - 10.0
+
+    @cached_property
+    def chunks(self):
+        broken = any("\n" in p for p, _, k in self.model["pieces"] if k == "n")
+        return re.compile(r" *[^ ]+| +" if broken else r" *[^ \n]+|\n| +").findall
+
+    @cached_property
+    def known(self) -> dict:
+        """Ids of chunks that were solved before (at most CACHE of them)."""
         codec = self
 
         class Known(dict):
@@ -86,7 +102,7 @@ class Codec:
                 if len(chunk) <= 64:
                     self[chunk] = ids
                 return ids
-        self.known = Known()
+        return Known()
 
     def solve(self, chunk: str) -> bytes:
         """Ids of one chunk, as int32 bytes."""
