@@ -45,27 +45,31 @@ def coerce_amount(df: DataFrame, col: str) -> Column:
 DATE_FORMATS = ("dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "yyyyMMdd")
 
 
-def coerce_date(df: DataFrame, col: str, date_format: str | None = None) -> Column:
-    """To TIMESTAMP_NTZ, unparseable → null.  Text is an ISO date or date-time, or in ``date_format``."""
+def coerce_date(df: DataFrame, col: str, date_format: str | list | None = None) -> Column:
+    """To TIMESTAMP_NTZ, unparseable → null.  Text is an ISO date or date-time (None), in ``date_format``, or in
+    the first of several formats that reads it."""
     dtype = df.schema[col].dataType
     c = F.col(col)
     if isinstance(dtype, T.StringType):
         given = F.trim(c)
-        parsed = F.try_to_timestamp(given) if date_format is None else F.try_to_timestamp(given, F.lit(date_format))
-        return parsed.cast("timestamp_ntz")
+        formats = date_format if isinstance(date_format, (list, tuple)) else [date_format]
+        parsed = [F.try_to_timestamp(given) if f is None else F.try_to_timestamp(given, F.lit(f)) for f in formats]
+        return F.coalesce(*parsed).cast("timestamp_ntz")
     if isinstance(dtype, T.TimestampNTZType):
         return c
     return c.cast("timestamp_ntz")
 
 
-def infer_date_format(df: DataFrame, col: str = "posting_date") -> str | None:
-    """The one format that reads most rows of a text column, from one aggregate: None (ISO) on a tie with
-    it, else the first of ``DATE_FORMATS``.  A column has one format; rows in another stay undated."""
+def infer_date_formats(df: DataFrame, col: str = "posting_date") -> list:
+    """The formats of a text column in the order in which they are tried, from one aggregate: the one that reads most
+    rows first, then by rows read (ties: ISO, then the order of ``DATE_FORMATS``); those that read none are left out.
+    So a day that two formats could read is taken as most of the column is written."""
     if not isinstance(df.schema[col].dataType, T.StringType):
-        return None
+        return [None]
     formats = [None, *DATE_FORMATS]
     read = df.agg(*[F.count(coerce_date(df, col, f)).alias(str(i)) for i, f in enumerate(formats)]).first()
-    return formats[max(range(len(formats)), key=lambda i: (read[i], -i))]
+    order = sorted((i for i in range(len(formats)) if read[i]), key=lambda i: (-read[i], i))
+    return [formats[i] for i in order] or [None]
 
 
 def with_key(df: DataFrame, key: str = "txn_id") -> DataFrame:
@@ -116,13 +120,14 @@ def _by_class(df: DataFrame, classes: DataFrame, target: str, how: str) -> DataF
 
 
 def prepare_ledger(df: DataFrame, target_length: int = 6,
-                   min_class_samples: int | None = None, date_format: str | None = None) -> DataFrame:
+                   min_class_samples: int | None = None, date_format: str | list | None = None) -> DataFrame:
     """Coerce amounts and dates, fill text nulls, derive ``target``, drop rare classes.
 
-    ``date_format``: pattern of text dates (None: ISO; "infer": the one that reads most rows)."""
+    ``date_format``: pattern of text dates, or several in the order they are tried (None: ISO; "infer": all that occur,
+    the most frequent first)."""
     check_required_columns(df)
     if date_format == "infer":
-        date_format = infer_date_format(df)
+        date_format = infer_date_formats(df)
     replaced = {
         "debit": coerce_amount(df, "debit"),
         "credit": coerce_amount(df, "credit"),
@@ -159,7 +164,7 @@ def validate_ledger(df: DataFrame) -> int:
 
 
 def load_ledger(raw: DataFrame, target_length: int = 6, min_class_samples: int | None = None,
-                date_format: str | None = "infer") -> DataFrame:
+                date_format: str | list | None = "infer") -> DataFrame:
     """Rows as a source delivers them → checked ledger: a key if they have none (P1-P11), then the guards
     P3 and P8 once.  The ledger is written before the check, so the source is read once."""
     check_required_columns(raw)

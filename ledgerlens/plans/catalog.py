@@ -8,6 +8,7 @@ from them) in full; none runs on made-up input.  Float outputs are rounded
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -29,6 +30,19 @@ MIN_CLASS_SAMPLES = 200
 TRAIN_RATIO = 0.8
 
 
+_LOCK = threading.RLock()
+_KEPT: dict = {}
+
+
+def once(spark: SparkSession, sf: str, name, make):
+    """``make()``, kept per application and data folder: what several queries read is fitted or written once."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    with _LOCK:
+        if key not in _KEPT:
+            _KEPT[key] = make()
+        return _KEPT[key]
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn

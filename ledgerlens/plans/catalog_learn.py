@@ -11,8 +11,6 @@ read one do not refit it.
 
 from __future__ import annotations
 
-import threading
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,42 +25,29 @@ from ..streaming import monitor as sm
 from . import learn
 from . import oracle as O
 from . import tuning
-from .catalog import ORACLE, domain, labelled_ledger, prepared, profile, query, r6, ts_text
+from .catalog import ORACLE, domain, labelled_ledger, once, prepared, profile, query, r6, ts_text
 from .catalog_more import _tfidf_sql, drift_columns
 
 #: ``tune``: trials, rungs, and a bound on the rounds of a trial (the space asks for 200 to 1500).
 TRIALS, ETA, RUNGS, MOST_ROUNDS = 9, 3, 3, 12
 
-_LOCK = threading.RLock()
-_KEPT: dict = {}
-
-
-def _once(spark, sf, name, make):
-    """``make()``, kept per application and data folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    with _LOCK:
-        if key not in _KEPT:
-            _KEPT[key] = make()
-        return _KEPT[key]
-
-
 def _split(spark, sf):
     """(training part, validation part) of the labelled ledger, which is written once for all model queries."""
-    lab = _once(spark, sf, "ledger", lambda: written(labelled_ledger(spark, sf), "labelled"))
+    lab = once(spark, sf, "ledger", lambda: written(labelled_ledger(spark, sf), "labelled"))
     return lab.filter(F.col("part") == "train"), lab.filter(F.col("part") == "val")
 
 
 def fitted(spark, sf, kind: str = "forest", families=learn.FAMILIES) -> learn.LedgerModel:
     """The model of a kind with the library's own settings."""
     tr, _ = _split(spark, sf)
-    return _once(spark, sf, (kind, tuple(families)), lambda: learn.train(tr, kind=kind, families=families))
+    return once(spark, sf, (kind, tuple(families)), lambda: learn.train(tr, kind=kind, families=families))
 
 
 def _predictions(spark, sf, kind: str = "forest") -> DataFrame:
     """(txn_id, y_true, y_pred, proba) of a model on the validation part, written once."""
     m = fitted(spark, sf, kind)
     _, va = _split(spark, sf)
-    return _once(spark, sf, ("predictions", kind), lambda: written(m.predictions(va), "predictions"))
+    return once(spark, sf, ("predictions", kind), lambda: written(m.predictions(va), "predictions"))
 
 
 def _code(m, index):
@@ -349,7 +334,7 @@ def _ablated(spark, sf):
     rows = []
     for i in range(1, len(learn.FAMILIES) + 1):
         m = fitted(spark, sf, "forest", learn.FAMILIES[:i])
-        r = _once(spark, sf, ("ablation", i), lambda m=m: m.evaluate(va).first())
+        r = once(spark, sf, ("ablation", i), lambda m=m: m.evaluate(va).first())
         rows.append(("+".join(learn.FAMILIES[:i]), len(m.features.feature_names()), r["accuracy"], r["balanced_accuracy"],
                      int((r["accuracy"] or 0.0) > m.baseline_accuracy)))
     return spark.createDataFrame(rows, "families string, n_features int, accuracy double, balanced_accuracy double, beats_majority int")
@@ -392,7 +377,7 @@ def _registered(spark, sf):
             man = save_bundle(reg, m, report, {"kind": m.kind})
             reg.promote(man["version"])
         return reg
-    return _once(spark, sf, "registry", make)
+    return once(spark, sf, "registry", make)
 
 
 @query("registry_versions")
@@ -425,7 +410,7 @@ def q_registry_round_trip(spark, sf):
 def _explained(spark, sf):
     m = fitted(spark, sf)
     _, va = _split(spark, sf)
-    return _once(spark, sf, "explained", lambda: written(xp.explain_fitted(m, va, ["txn_id"], n=5), "explained"))
+    return once(spark, sf, "explained", lambda: written(xp.explain_fitted(m, va, ["txn_id"], n=5), "explained"))
 
 
 @query("explain_model")

@@ -14,7 +14,7 @@ from ..operators import tfidf as tf
 from ..sources.ledger import read_tables
 from ..sources.payload import parse_payload, payload_violations
 from . import oracle as O
-from .catalog import labelled_ledger, prepared, query, r6, ts_text
+from .catalog import labelled_ledger, prepared, query, r6, ts_text, once
 
 # ====================================================================== text
 _SQL_WORDS = "regexp_extract_all({t}, '[a-z0-9œæ]{{2,}}')"
@@ -79,11 +79,11 @@ def q_char_ngrams(spark, sf):
 
 # ---- ledger TF-IDF fitted on the training part --------------------------
 def _ledger_tfidf(spark, sf):
+    """(vocabularies of the training part, all texts); fitted once for the queries that read them."""
     lab = labelled_ledger(spark, sf)
     texts = tf.ledger_texts(lab)
     train_texts = tf.ledger_texts(lab.filter(F.col("part") == "train"))
-    model = tf.TfidfVectorizer().fit(train_texts)
-    return model, texts
+    return once(spark, sf, "tfidf", lambda: tf.TfidfVectorizer().fit(train_texts)), texts
 
 
 _SQL_TEXTS = f"""

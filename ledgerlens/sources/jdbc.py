@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +15,10 @@ class JdbcLedgerSource:
     """A database query as a ledger source.
 
     Whole by default.  A row limit is opt-in (``row_limit``); it is put in the place of ``%(limit)s`` in the
-    query, so the database applies it, and ``read`` says so when it cut.  For parallel reads give
-    ``partition_column`` with bounds: the query becomes a sub-select that Spark reads by ranges.  A limit and
-    ranges exclude each other, since every range would apply the limit to rows of its own.
+    query, so the database applies it, and ``read`` says so when it cut.  For parallel reads give a
+    ``partition_column`` and ``num_partitions``: the query becomes a sub-select that Spark reads by ranges.  Bounds that
+    are not given are asked of the database first (one row: smallest, largest).  A limit and ranges exclude each
+    other, since every range would apply the limit to rows of its own.
     """
 
     url: str
@@ -39,16 +40,32 @@ class JdbcLedgerSource:
         if self.partition_column:
             if limited:
                 raise ValueError("a limited query cannot be read by ranges")
-            if None in (self.lower_bound, self.upper_bound, self.num_partitions):
-                raise ValueError("partitioned reads need lower_bound, upper_bound, num_partitions")
+            if self.num_partitions is None or (self.lower_bound is None) != (self.upper_bound is None):
+                raise ValueError("partitioned reads need num_partitions, and both bounds or none")
 
     def bound_query(self) -> str:
         return self.query.replace(LIMIT_PLACEHOLDER, str(self.row_limit))
 
+    def _base(self) -> dict[str, str]:
+        return {"url": self.url, "fetchsize": str(self.fetch_size), **{k: str(v) for k, v in self.properties.items()}}
+
+    def bounds_options(self) -> dict[str, str]:
+        """Options that read the smallest and largest value of the partition column, as one row (low, high)."""
+        c = self.partition_column
+        return {**self._base(), "query": f"SELECT MIN({c}) AS low, MAX({c}) AS high FROM ({self.query}) ledger_src"}
+
+    def with_bounds(self, spark: SparkSession) -> "JdbcLedgerSource":
+        """This source with the bounds the database gives.  An empty query has none: it is read in one part."""
+        row = spark.read.format("jdbc").options(**self.bounds_options()).load().first()
+        if row is None or row[0] is None:
+            return replace(self, partition_column=None, num_partitions=None)
+        return replace(self, lower_bound=int(row[0]), upper_bound=int(row[1]) + 1)
+
     def options(self) -> dict[str, str]:
-        opts = {"url": self.url, "fetchsize": str(self.fetch_size)}
-        opts.update({k: str(v) for k, v in self.properties.items()})
+        opts = self._base()
         if self.partition_column:
+            if self.lower_bound is None:
+                raise ValueError("bounds are missing: see with_bounds")
             opts.update({
                 "dbtable": f"({self.query}) ledger_src",
                 "partitionColumn": self.partition_column,
@@ -61,6 +78,8 @@ class JdbcLedgerSource:
         return opts
 
     def read(self, spark: SparkSession) -> DataFrame:
+        if self.partition_column and self.lower_bound is None:
+            return self.with_bounds(spark).read(spark)
         out = spark.read.format("jdbc").options(**self.options()).load()
         if self.row_limit is not None and out.count() >= self.row_limit:
             warnings.warn(f"the row limit of {self.row_limit} was reached: rows may be missing", stacklevel=2)

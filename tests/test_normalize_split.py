@@ -146,3 +146,46 @@ def test_metrics_and_comparison_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0)], "model string, accuracy double")
     sinks.write_report(df, str(tmp_path / "r"))
     assert any((tmp_path / "r").iterdir())
+
+
+def test_several_date_formats_in_a_column(spark):
+    """Most rows are day first: an ambiguous day is read so; what that cannot read goes to the next format."""
+    import datetime as dt
+
+    from ledgerlens.operators import normalize as nz
+    given = {"03/04/2024": (2024, 4, 3), "25/12/2024": (2024, 12, 25), "14/07/2023": (2023, 7, 14), "12/31/2024": (2024, 12, 31),
+             "2024-02-29": (2024, 2, 29), "20240131": (2024, 1, 31), "31.01.2024": (2024, 1, 31), " 5/5/24 ": None, "never": None, "": None, None: None}
+    df = spark.createDataFrame([(k,) for k in given], "posting_date string")
+    order = nz.infer_date_formats(df)
+    assert order[0] == "dd/MM/yyyy" and "MM/dd/yyyy" in order and None in order and "dd-MM-yyyy" not in order
+    got = {r["posting_date"]: r["d"] for r in df.select("posting_date", nz.coerce_date(df, "posting_date", order).alias("d")).collect()}
+    assert got == {k: None if v is None else dt.datetime(*v) for k, v in given.items()}
+    assert nz.infer_date_formats(df.filter("posting_date = 'never'")) == [None]
+
+
+def test_jdbc_bounds_come_from_the_database():
+    src = JdbcLedgerSource("jdbc:x", "select * from t", partition_column="id", num_partitions=4, properties={"user": "u"})
+    assert src.bounds_options() == {"url": "jdbc:x", "fetchsize": "10000", "user": "u",
+                                    "query": "SELECT MIN(id) AS low, MAX(id) AS high FROM (select * from t) ledger_src"}
+    with pytest.raises(ValueError):
+        src.options()
+
+    class Fake:
+        """Stands for ``spark.read``: gives one row."""
+        def __init__(self, row):
+            self.read, self.row = self, row
+
+        def format(self, _):
+            return self
+
+        def options(self, **_):
+            return self
+
+        def load(self):
+            return self
+
+        def first(self):
+            return self.row
+    opts = src.with_bounds(Fake((3, 90))).options()
+    assert (opts["lowerBound"], opts["upperBound"], opts["numPartitions"]) == ("3", "91", "4")
+    assert src.with_bounds(Fake((None, None))).options() == {"url": "jdbc:x", "fetchsize": "10000", "user": "u", "query": "select * from t"}
