@@ -567,3 +567,57 @@ def test_decoding_of_ids_that_no_text_has(spark):
     rows = [(0, [int(i) for i in ids]), (1, [inner]), (2, [10 ** 9, -4, inner]), (3, [None, inner]), (4, [byte, inner]), (5, []), (6, None)]
     got = {r.k: r.decoded for r in pieces.decode(spark.createDataFrame(rows, "k int, ids array<int>"), pieces.share(spark)).collect()}
     assert got == {0: "The cat", 1: "ing", 2: "\ufffd\ufffding", 3: "\ufffding", 4: "\ufffding", 5: "", 6: None}
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    """Whole operator against features by regular expressions and per-coordinate FTRL in plain Python."""
+    import math
+
+    from ledgerlens.llm import toxicity
+    from ledgerlens.llm import words as wd
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(40)] + ["scum", "vile"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 25))) for _ in range(150)]
+    texts += [None, "", "Scum, SCUM!  scum", "é-é vile"]
+    toxic = [int(t is not None and ("scum" in t.lower() or "vile" in t)) for t in texts]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, epochs=3, l1=0.5)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+
+    mask = (1 << 64) - 1
+
+    def hashed(word):
+        body = np.frombuffer(word.encode(), np.uint8)
+        return int(wd.hash_spans(body, np.array([0]), np.array([len(body)]), lower=True)[0])
+
+    def mixed(x):
+        return int(wd.mix64(np.array([x & mask], np.uint64))[0])
+
+    def buckets(text):
+        ws = [hashed(w) for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text or "")]
+        h = list(ws)
+        for gap, salt in ((1, 0x51ED270B), (2, 0xA24BAED4)):
+            h += [mixed(a * 0x9E3779B97F4A7C15 + b + salt) for a, b in zip(ws, ws[gap:])]
+        return sorted({x >> 44 for x in h})
+    from pyspark.sql import functions as F
+    turn = {r.doc_id: r.t for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("t")).collect()}
+    fit = sorted((i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2), key=turn.get)
+    z, n, zb, nb, alpha, beta, l1 = defaultdict(float), defaultdict(float), 0.0, 0.0, 2.0, 1.0, 0.5
+    weight = lambda c: 0.0 if abs(z[c]) <= l1 else (math.copysign(l1, z[c]) - z[c]) / ((beta + math.sqrt(n[c])) / alpha)
+    bias = lambda: -zb / ((beta + math.sqrt(nb)) / alpha)
+    for _ in range(3):
+        for i in fit:
+            at = buckets(texts[i])
+            w, wb = {c: weight(c) for c in at}, bias()
+            g = 1 / (1 + math.exp(-(wb + sum(w.values())))) - toxic[i]
+            for c in at:
+                z[c] += g - (math.sqrt(n[c] + g * g) - math.sqrt(n[c])) / alpha * w[c]
+                n[c] += g * g
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * wb
+            nb += g * g
+    want = {c: weight(c) for c in list(z) if weight(c)}
+    assert dict(zip(model["at"].tolist(), model["w"].tolist())) == pytest.approx(want) and model["bias"] == pytest.approx(bias())
+    assert 0 < len(want) < len(z)                                  # L1 leaves few
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(bias() + sum(want.get(c, 0.0) for c in buckets(t))))))
