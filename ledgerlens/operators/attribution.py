@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-ROWS, LEAVES = 128, 128         # rows and leaves attributed at once
+ROWS, LEAVES = 512, 128         # rows and leaves attributed at once
 
 
 @dataclass
@@ -86,28 +86,36 @@ def chosen_values(part: Leaves, at: slice, cls: np.ndarray) -> np.ndarray:
 def attribute(groups: list[Leaves], x: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(contributions (rows, features), scores, expected scores) of the rows ``x`` toward the classes ``cls``."""
     n = len(x)
-    phi, total, expected = np.zeros((x.shape[1], n)), np.zeros(n), np.zeros(n)
+    phi, total, expected = np.zeros((n, x.shape[1])), np.zeros(n), np.zeros(n)
     for part in groups:
         d = part.feature.shape[1]
         t, w = np.polynomial.legendre.leggauss(max(1, (d + 1) // 2))
         t, w = (t + 1) / 2, w / 2
+        bit = 1 << np.arange(d, dtype=np.int64)
         for a in range(0, len(part.feature), LEAVES):
             at = slice(a, a + LEAVES)
-            f, z = part.feature[at], part.share[at]
+            f, share = part.feature[at], part.share[at]
             v = chosen_values(part, at, cls)
             got = x[:, f]                                      # (rows, leaves, tests)
-            o = ((got > part.low[at]) & (got <= part.high[at])).astype(float)
-            total += (v * o.prod(2)).sum(1)
-            expected += v @ z.prod(1) if v.ndim == 1 else (v * z.prod(1)).sum(1)
+            passed = (got > part.low[at]) & (got <= part.high[at])
+            total += (v * passed.all(2)).sum(1)
+            expected += (v * share.prod(1)).sum(1)
             if not d:
                 continue
-            rest = np.zeros_like(o)
+            # rows that pass the same tests of a leaf have the same factors: each pattern is worked out once
+            key = (passed @ bit) + (np.arange(len(f), dtype=np.int64) << d)
+            pattern, of = np.unique(key, return_inverse=True)
+            o, z = (pattern[:, None] & bit > 0).astype(float), share[pattern >> d]
+            rest = np.zeros_like(z)
             for ti, wi in zip(t, w):
                 term = z * (1 - ti) + o * ti
-                rest += wi * term.prod(2, keepdims=True) / term
-            part_phi = v[:, :, None] * (o - z) * rest
-            np.add.at(phi, f.reshape(-1), part_phi.reshape(n, -1).T)
-    return phi.T, total, expected
+                rest += wi * term.prod(1, keepdims=True) / term
+            part_phi = (v[:, :, None] * ((o - z) * rest)[of.reshape(key.shape)]).reshape(n, -1)
+            order = np.argsort(f, axis=None, kind="stable")
+            column = f.reshape(-1)[order]
+            first = np.flatnonzero(np.diff(column, prepend=-1))
+            phi[:, column[first]] += np.add.reduceat(part_phi[:, order], first, axis=1)
+    return phi, total, expected
 
 
 # ---------------------------------------------------------------- node tables

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import written
 
 
 @dataclass(frozen=True)
@@ -76,19 +77,37 @@ def gram_columns(texts: DataFrame, blocks: tuple[BlockSpec, ...]) -> DataFrame:
                                    for b in blocks])
 
 
+def batch_counts(grams: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(terms, rows that hold each, occurrences of each) of one batch of term lists, without a Python object per
+    term."""
+    if isinstance(grams, pa.ChunkedArray):
+        grams = grams.combine_chunks()
+    flat = grams.flatten().dictionary_encode()
+    terms = flat.dictionary
+    if not len(terms):
+        return terms, np.zeros(0, "int64"), np.zeros(0, "int64")
+    size = grams.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    code = flat.indices.to_numpy(zero_copy_only=False).astype("int64")
+    row = np.repeat(np.arange(len(grams), dtype="int64"), size)
+    held = np.unique(row * len(terms) + code) % len(terms)
+    return terms, np.bincount(held, minlength=len(terms)), np.bincount(code, minlength=len(terms))
+
+
 def term_stats(texts: DataFrame, blocks: tuple[BlockSpec, ...]) -> DataFrame:
     """(block, term, df, cf) from one scan and one shuffle.
 
-    A document sits in one row, so its terms are sorted there and the first of equal ones is marked; one
-    aggregate with map-side sums then gives both counts."""
-    def marked(block: str, grams: Column) -> Column:
-        return F.element_at(F.transform(F.array(F.sort_array(grams)), lambda g: F.transform(g, lambda t, i: F.struct(
-            F.lit(block).alias("block"), t.alias("term"),
-            F.when((i > 0) & (F.get(g, i - 1) == t), 0).otherwise(1).alias("first")))), 1)
-    grams = gram_columns(texts, blocks)
-    every = F.concat(*[marked(b.name, F.col(f"__g_{b.name}")) for b in blocks])
-    return (grams.select(F.explode(every).alias("t")).groupBy("t.block", "t.term")
-            .agg(F.sum("t.first").cast("bigint").alias("df"), F.count(F.lit(1)).alias("cf")))
+    A document sits in one row, so a batch counts its own terms; what is exchanged is one row per batch and
+    distinct term, summed map-side once more."""
+    def count(batches):
+        for batch in batches:
+            for b in blocks:
+                terms, df, cf = batch_counts(batch[f"__g_{b.name}"])
+                if len(terms):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b.name] * len(terms), pa.string()), terms.cast(pa.string()), pa.array(df), pa.array(cf)],
+                        names=["block", "term", "df", "cf"])
+    counted = gram_columns(texts, blocks).drop("doc_id").mapInArrow(count, "block string, term string, df long, cf long")
+    return counted.groupBy("block", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def term_counts(texts: DataFrame, blocks: tuple[BlockSpec, ...]) -> DataFrame:
@@ -231,49 +250,118 @@ class TfidfModel:
         return cls(blocks, int(n_docs), vocab, {b.name: stats.get(b.name, 0) for b in blocks})
 
 
-class TfidfVectorizer:
-    """Estimator; ``fit`` returns a ``TfidfModel``."""
+def summaries(texts: DataFrame, blocks: tuple[BlockSpec, ...], counters: int) -> DataFrame:
+    """(block, term, low) from every task: the occurrences of its frequent terms, at most 2 x ``counters`` per block, each
+    too low by no more than the task's error for the block, which comes as a row without term."""
+    def run(batches):
+        held: dict[str, dict] = {b.name: {} for b in blocks}
+        error = dict.fromkeys(held, 0)
+        for batch in batches:
+            for name, own in held.items():
+                terms, _, cf = batch_counts(batch[f"__g_{name}"])
+                for t, c in zip(terms.to_pylist(), cf.tolist()):
+                    own[t] = own.get(t, 0) + c
+                if len(own) > 2 * counters:                    # keep the most frequent, lowered by the first that goes
+                    cut = sorted(own.values(), reverse=True)[counters]
+                    held[name] = {t: c - cut for t, c in own.items() if c > cut}
+                    error[name] += cut
+        for name, own in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * (len(own) + 1), pa.string()), pa.array([*own, None], pa.string()),
+                 pa.array([*own.values(), error[name]], pa.int64())], names=["block", "term", "low"])
+    return gram_columns(texts, blocks).drop("doc_id").mapInArrow(run, "block string, term string, low long")
+
+
+def recount(texts: DataFrame, blocks: tuple[BlockSpec, ...], terms: dict[str, list[str]]) -> DataFrame:
+    """(block, term, df, cf) of the given terms alone; tasks send one row for each that they saw."""
+    shared = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches):
+        sets = {n: pa.array(ts, pa.string()) for n, ts in shared.value.items()}
+        total = {n: np.zeros((2, len(ts)), "int64") for n, ts in sets.items()}
+        for batch in batches:
+            for name, chosen in sets.items():
+                seen, df, cf = batch_counts(batch[f"__g_{name}"])
+                code = pc.index_in(seen.cast(pa.string()), value_set=chosen).fill_null(-1).to_numpy(zero_copy_only=False)
+                known = code >= 0
+                total[name][0, code[known]] += df[known]
+                total[name][1, code[known]] += cf[known]
+        for name, chosen in sets.items():
+            at = np.flatnonzero(total[name][1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(at), pa.string()), chosen.take(pa.array(at)), pa.array(total[name][0, at]), pa.array(total[name][1, at])],
+                names=["block", "term", "df", "cf"])
+    counted = gram_columns(texts, blocks).drop("doc_id").mapInArrow(run, "block string, term string, df long, cf long")
+    return counted.groupBy("block", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
-    def __init__(self, blocks: tuple[BlockSpec, ...] = LEDGER_BLOCKS):
-        self.blocks = blocks
 
-    def fit(self, texts: DataFrame, n_docs: int | None = None) -> TfidfModel:
-        if n_docs is None:
-            n_docs = texts.count()
-        # one row per distinct (block, term); persisted so the per-block top-N
-        # selections below do not each recompute the term statistics
-        stats = term_stats(texts, self.blocks).persist()
-        pieces, sizes, offset = [], {}, 0
-        for b in self.blocks:
-            cand = stats.filter((F.col("block") == b.name) & (F.col("df") >= b.min_df))
-            if b.max_df is not None:
-                cand = cand.filter(F.col("df") <= F.lit(b.max_df * n_docs))
-            top = cand.orderBy(F.desc("cf"), F.asc("term")).limit(b.max_features)
-            pieces.append((b, top))
-        kept = pieces[0][1]
-        for _, t in pieces[1:]:
-            kept = kept.unionByName(t)
-        # The fitted vocabulary is bounded by sum(max_features) rows; like a
-        # CountVectorizerModel it is materialised once (driver-held), so later
-        # transforms do not recompute the fit lineage.
+class TfidfVectorizer:
+    """Estimator; ``fit`` returns a ``TfidfModel``.
+
+    The vocabulary is exact either way.  By default every distinct term is counted: one scan, and an exchange that
+    grows with the distinct terms of all tasks.  With ``counters`` tasks send summaries of that many terms per block;
+    the most frequent terms by these are counted exactly in a second scan, and only they are exchanged.  Their bound
+    tells whether a term outside could belong to the vocabulary; a block for which it could is counted in full."""
+
+    def __init__(self, blocks: tuple[BlockSpec, ...] = LEDGER_BLOCKS, counters: int | None = None):
+        self.blocks, self.counters = blocks, counters
+        self.counted_in_full: list[str] = []
+
+    def _top(self, stats: DataFrame, b: BlockSpec, n_docs: int) -> DataFrame:
+        cand = stats.filter((F.col("block") == b.name) & (F.col("df") >= b.min_df))
+        if b.max_df is not None:
+            cand = cand.filter(F.col("df") <= F.lit(b.max_df * n_docs))
+        return cand.orderBy(F.desc("cf"), F.asc("term")).limit(b.max_features).select("block", "term", "df", "cf")
+
+    def _full(self, texts: DataFrame, blocks: tuple[BlockSpec, ...], n_docs: int) -> list:
+        """Vocabulary rows of ``blocks`` from a count of every distinct term."""
+        # persisted so the per-block top-N selections do not each recompute the term statistics
+        stats = term_stats(texts, blocks).persist()
         try:
-            rows = kept.select("block", "term", "df", "cf").collect()
+            kept = self._top(stats, blocks[0], n_docs)
+            for b in blocks[1:]:
+                kept = kept.unionByName(self._top(stats, b, n_docs))
+            return kept.collect()
         finally:
             stats.unpersist()
+
+    def _summarised(self, texts: DataFrame, n_docs: int) -> list:
+        """The same rows by summaries and an exact recount."""
+        merged = written(summaries(texts, self.blocks, self.counters).groupBy("block", "term").agg(F.sum("low").alias("low")), "summaries")
+        error = {r["block"]: r["low"] for r in merged.filter("term is null").collect()}
+        terms, outside = {}, {}
         for b in self.blocks:
-            sizes[b.name] = sum(1 for r in rows if r["block"] == b.name)
-        offsets, offset = {}, 0
+            room = 4 * b.max_features
+            top = (merged.filter((F.col("block") == b.name) & F.col("term").isNotNull())
+                   .orderBy(F.desc("low"), "term").limit(room + 1).collect())
+            terms[b.name] = [r["term"] for r in top[:room]]
+            outside[b.name] = error.get(b.name, 0) + (top[room]["low"] if len(top) > room else 0)
+        stats = written(recount(texts, self.blocks, terms), "recount")
+        rows, unsure = [], []
         for b in self.blocks:
-            offsets[b.name] = offset
-            offset += sizes[b.name]
-        records = []
+            own = self._top(stats, b, n_docs).collect()
+            least = min((r["cf"] for r in own), default=0) if len(own) == b.max_features else b.min_df
+            if outside[b.name] < least:                        # no term outside occurs as often as is needed
+                rows += own
+            else:
+                unsure.append(b)
+        self.counted_in_full = [b.name for b in unsure]
+        return rows + (self._full(texts, tuple(unsure), n_docs) if unsure else [])
+
+    def fit(self, texts: DataFrame, n_docs: int | None = None) -> TfidfModel:
+        if n_docs is None:
+            n_docs = texts.count()
+        # The fitted vocabulary is bounded by sum(max_features) rows; like a CountVectorizerModel it is materialised
+        # once (driver-held), so later transforms do not recompute the fit lineage.
+        rows = self._full(texts, self.blocks, n_docs) if self.counters is None else self._summarised(texts, n_docs)
+        records, sizes, offset = [], {}, 0
         for b in self.blocks:
             terms = sorted((r for r in rows if r["block"] == b.name), key=lambda r: r["term"])
             for i, r in enumerate(terms):
-                records.append((b.name, r["term"], int(r["df"]), int(r["cf"]),
-                                smooth_idf(n_docs, int(r["df"])), offsets[b.name] + i))
-        spark = texts.sparkSession
-        vocab = spark.createDataFrame(
+                records.append((b.name, r["term"], int(r["df"]), int(r["cf"]), smooth_idf(n_docs, int(r["df"])), offset + i))
+            sizes[b.name] = len(terms)
+            offset += len(terms)
+        vocab = texts.sparkSession.createDataFrame(
             records, "block string, term string, df long, cf long, idf double, col_index int")
         return TfidfModel(self.blocks, n_docs, vocab, sizes)
 

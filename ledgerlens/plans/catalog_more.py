@@ -131,6 +131,15 @@ def q_tfidf_vocab(spark, sf):
     return model.vocab.select("block", "term", "df", "cf", "col_index")
 
 
+@query("tfidf_vocab_summaries", _tfidf_sql("SELECT block, term, df, cf, col_index FROM vocab"))
+def q_tfidf_vocab_summaries(spark, sf):
+    """A9 / T5 by mergeable summaries and an exact recount: the same vocabularies."""
+    lab = labelled_ledger(spark, sf)
+    train_texts = tf.ledger_texts(lab.filter(F.col("part") == "train"))
+    model = tf.TfidfVectorizer(counters=20_000).fit(train_texts)
+    return model.vocab.select("block", "term", "df", "cf", "col_index")
+
+
 @query("tfidf_idf", _tfidf_sql("SELECT block, term, round(idf, 6) AS idf FROM vocab"))
 def q_tfidf_idf(spark, sf):
     model, _ = _ledger_tfidf(spark, sf)

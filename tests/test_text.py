@@ -127,3 +127,35 @@ def test_broken_pages_as_the_html_parser_reads_them(spark):
             p.close()
             text = "".join(p.got)
         assert got[k] == re.sub(r"\s+", " ", text).strip(), page
+
+
+def test_vocabulary_by_summaries(spark):
+    """The same vocabulary as the full count, whether the summaries suffice or a block must be counted in full."""
+    import random
+
+    from ledgerlens.operators import tfidf as tf
+    rng = random.Random(4)
+    ws = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(ws, [1 / (i + 1) for i in range(400)], k=rng.randrange(0, 30))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t, t and t[:20]) for i, t in enumerate(texts + ["", None])], "doc_id long, a string, b string").repartition(6)
+    blocks = (tf.BlockSpec("a", 30, (1, 2), min_df=2, max_df=0.5), tf.BlockSpec("b", 40, (3, 4), analyzer="char_wb", max_df=None, strip_accents=False))
+    want = tf.TfidfVectorizer(blocks).fit(df)
+    rows = lambda m: sorted(tuple(r) for r in m.vocab.collect())
+    for counters, full in ((100_000, []), (300, None), (3, ["a", "b"])):
+        v = tf.TfidfVectorizer(blocks, counters=counters)
+        m = v.fit(df)
+        assert rows(m) == rows(want) and m.sizes == want.sizes
+        assert full is None or v.counted_in_full == full
+    n = sum(c for c in (tf.summaries(df, blocks, 50).groupBy("block").count().rdd.map(lambda r: r["count"]).collect()))
+    assert n <= 6 * 2 * 101                                        # what is exchanged is bounded by the counters
+
+
+def test_batch_counts():
+    import pyarrow as pa
+
+    from ledgerlens.operators.tfidf import batch_counts
+    terms, df, cf = batch_counts(pa.array([["a", "b", "a"], [], None, ["b"]], pa.list_(pa.string())).slice(0))
+    assert dict(zip(terms.to_pylist(), zip(df.tolist(), cf.tolist()))) == {"a": (1, 2), "b": (2, 2)}
+    terms, df, cf = batch_counts(pa.array([["z"], ["a"], ["a", "a"]]).slice(1))
+    assert dict(zip(terms.to_pylist(), zip(df.tolist(), cf.tolist())))["a"] == (2, 3)
+    assert len(batch_counts(pa.array([[], None], pa.list_(pa.string())))[0]) == 0
