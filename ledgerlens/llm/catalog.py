@@ -10,7 +10,7 @@ from ledgerlens.llm.mixing import OP2_SQL, op2_mixing
 from ledgerlens.llm.pieces import op10_sentencepiece
 from ledgerlens.llm.quality import op5_quality
 from ledgerlens.llm.spelling import OP12_SQL, op12_spelling
-from ledgerlens.llm.substring_dedup import op6_substring_dedup
+from ledgerlens.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from ledgerlens.llm.toxicity import op3_toxicity
 from ledgerlens.llm.url_filter import OP4_SQL, op4_url_filter
 from ledgerlens.llm.vector_codes import OP13_SQL, op13_vector_codes
@@ -37,4 +37,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_ngram_jaccard": components_sql(GRAM, NUM, DEN), "op2_mixing": OP2_SQL, "op4_url_filter": OP4_SQL,
-            "op8_line_dedup": OP8_SQL, "op11_minhash": OP11_SQL, "op12_spelling": OP12_SQL, "op13_vector_codes": OP13_SQL}
+            "op6_substring_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL, "op11_minhash": OP11_SQL, "op12_spelling": OP12_SQL, "op13_vector_codes": OP13_SQL}

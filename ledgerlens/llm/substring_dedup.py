@@ -226,3 +226,17 @@ def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed",
                                          F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS MATERIALIZED (SELECT k, i, array_to_string(ws[i:i + {WIDTH - 1}], ' ') AS run
+    FROM (SELECT k, ws, unnest(range(1, len(ws) - {WIDTH - 2})) AS i FROM d)),
+r AS MATERIALIZED (SELECT run FROM x GROUP BY run HAVING count(*) > 1),
+g AS MATERIALIZED (SELECT DISTINCT k, i + o AS ix FROM (SELECT k, i, unnest(range({WIDTH})) AS o FROM x WHERE run IN (SELECT run FROM r))),
+l AS (SELECT k, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS ix FROM d),
+s AS (SELECT l.k, count(g.ix) AS n_removed, string_agg(w, ' ' ORDER BY l.ix) FILTER (WHERE g.ix IS NULL) AS kept
+    FROM l LEFT JOIN g ON l.k = g.k AND l.ix = g.ix GROUP BY l.k)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s ON d.k = s.k
+"""
