@@ -58,3 +58,20 @@ def test_tally_sends_what_merging_leaves(monkeypatch):
                 sent[r["term"]] += r["cf"]
         assert t.rows <= 14
     assert sum(sent.values()) == 320 and len(sent) > 80
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    from ledgerlens.operators import tfidf as tf
+    rows = [(1, "ab ab cd"), (1, "cd ef"), (2, "ab cd"), (None, "ef"), (None, "ef ab"), (3, None), (4, "")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["term"]: (r["df"], r["cf"]) for r in tf.id_stats(texts, (tf.BlockSpec("text", 0, (1, 2)),)).collect()}
+    assert got == {"ab": (3, 4), "cd": (2, 3), "ef": (2, 3), "ab ab": (1, 1), "ab cd": (2, 2), "cd ef": (1, 1), "ef ab": (1, 1)}
+
+
+def test_vocabulary_ships_units_not_ngrams(spark):
+    """What goes to the task's Python is a row's words or text, not one string per n-gram."""
+    from ledgerlens.operators import tfidf as tf
+    texts = spark.createDataFrame([(1, "ab cd ef", "ab cd")], "doc_id long, desc string, chr string")
+    blocks = (tf.BlockSpec("desc", 10, (1, 2)), tf.BlockSpec("chr", 10, (3, 5), analyzer="char_wb"))
+    row = tf.unit_columns(texts, blocks).first()
+    assert row["__u_desc"] == ["ab", "cd", "ef"] and row["__u_chr"] == "ab cd"
