@@ -284,3 +284,21 @@ def test_successive_halving(spark):
     assert all(r["accuracy"] is not None and r["seconds"] > 0 for t, r in trials.items() if t != 4)
     nested = [{r[0] for r in tuning.nested_sample(df, s).select("txn_id").collect()} for s in (0.1, 0.4, 1.0)]
     assert nested[0] < nested[1] < nested[2] and len(nested[2]) == 400
+
+
+def test_a_class_is_attributed_from_the_leaves_that_count_for_it():
+    """Rows of each class see its leaves alone, and get what all leaves of the forest give."""
+    rng = np.random.default_rng(3)
+    tests = lambda: {int(f): (0.0, np.inf, float(s)) for f, s in zip(rng.choice(6, 3, False), rng.uniform(0.2, 0.8, 3))}
+    values = np.eye(4)[rng.integers(0, 4, 40)] * rng.uniform(0.1, 1.0, (40, 1))
+    paths = [(tests(), v, -1) for v in values]
+    groups = at.pack(paths)
+    x, cls = rng.normal(size=(30, 6)), rng.integers(0, 4, 30)
+    for c in range(4):
+        assert sum(len(g.feature) for g in at.for_class(groups, c)) == int((values[:, c] > 0).sum())
+    phi, score, expected = at.attribute(groups, x, cls)
+    for r in range(30):
+        alone = [at.attribute(at.pack([p]), x[r][None, :], cls[r:r + 1]) for p in paths]
+        assert np.allclose(phi[r], sum(a[0][0] for a in alone))
+        assert np.isclose(score[r], sum(a[1][0] for a in alone)) and np.isclose(expected[r], sum(a[2][0] for a in alone))
+        assert np.isclose(phi[r].sum(), score[r] - expected[r])
