@@ -75,3 +75,16 @@ def test_vocabulary_ships_units_not_ngrams(spark):
     blocks = (tf.BlockSpec("desc", 10, (1, 2)), tf.BlockSpec("chr", 10, (3, 5), analyzer="char_wb"))
     row = tf.unit_columns(texts, blocks).first()
     assert row["__u_desc"] == ["ab", "cd", "ef"] and row["__u_chr"] == "ab cd"
+
+
+def test_pieces_hold_a_quarter_million_symbols_at_most():
+    column = pa.array([["a", "b"] * 50_000] * 8 + [["c"] * 300_000])
+    sizes = [sum(len(r) for r in part.to_pylist()) for _, part in gr._pieces(column)]
+    assert sum(sizes) == 1_100_000 and sizes[-1] == 300_000 and max(sizes[:-1]) <= 1 << 18
+
+
+def test_written_rows_are_shared_out_by_files(spark):
+    from ledgerlens.session import written
+    df = written(spark.range(0, 1000, 1, 1), "shared-out", 100)
+    assert len(df.inputFiles()) == 10 and sorted(r["id"] for r in df.collect()) == list(range(1000))
+    assert len(written(spark.range(0, 1000, 1, 1), "together").inputFiles()) == 1
