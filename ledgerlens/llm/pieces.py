@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from functools import cached_property
 
 import numpy as np
@@ -91,13 +92,19 @@ class Codec:
 
     @cached_property
     def known(self) -> dict:
-        """Ids of chunks that were solved before (at most CACHE of them)."""
+        """Ids of chunks that were solved before (at most CACHE of them).  When half of these are new, the older half
+        goes, but for what occurred since, so frequent chunks stay."""
         codec = self
 
         class Known(dict):
+            older: dict = {}
+
             def __missing__(self, chunk):
-                ids = codec.solve(chunk)
-                if len(self) >= CACHE:
+                ids = self.older.get(chunk)
+                if ids is None:
+                    ids = codec.solve(chunk)
+                if len(self) >= CACHE // 2:
+                    self.older = dict(self)
                     self.clear()
                 if len(chunk) <= 64:
                     self[chunk] = ids
@@ -110,37 +117,57 @@ class Codec:
         n = len(text)
         best = [0.0] + [None] * n
         back = [None] * (n + 1)
-        at = 0                                           # best[:at + 1] is final
-        unknown = self.unknown
-
-        def close(upto):                                 # positions no piece ends on
-            nonlocal at
-            while at < upto:
-                at += 1
-                if best[at] is None:
-                    best[at], back[at] = best[at - 1] + unknown, (1, -1)
-
-        for end, (length, score, i) in self.auto.iter(text):
-            if end > at:
-                close(end)
-            s = best[end + 1 - length] + score
-            if best[end + 1] is None or s > best[end + 1]:
-                best[end + 1], back[end + 1] = s, (length, i)
-        close(n)
+
+        def close(upto):                                 # positions no piece ends on, up to one that is asked for
+            at = upto
+            while best[at] is None:
+                at -= 1
+            for at in range(at + 1, upto + 1):
+                best[at], back[at] = best[at - 1] + self.unknown, (1, 0.0, -1)
+
+        for end, piece in self.auto.iter(text):          # by rising end, so what ends before it is final
+            end += 1
+            s = best[end - piece[0]]
+            if s is None:
+                close(end - piece[0])
+                s = best[end - piece[0]]
+            s += piece[1]
+            b = best[end]
+            if b is None or s > b:
+                best[end], back[end] = s, piece
+        if best[n] is None:
+            close(n)
         path = []
         while n:
-            length, i = back[n]
+            length, _, i = back[n]
             n -= length
-            path.append([i] if i >= 0 else [self.byte[b] for b in chunk[n].encode()])
-        return np.array([i for step in reversed(path) for i in step], np.int32).tobytes()
+            if i >= 0:
+                path.append(i)
+            else:
+                path.extend([self.byte[b] for b in chunk[n].encode()[::-1]])
+        path.reverse()
+        return array("i", path).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.chunks(" " + text))) if text else b""
 
-    def decode(self, ids) -> str:
+    @cached_property
+    def spelled(self) -> pa.Array:
+        """Bytes of every id; the last entry stands for ids that the model does not have."""
+        return pa.array([*self.out, _LOST], pa.binary())
+
+    def decode_rows(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        """Texts of the rows ``ids[at[i]:at[i + 1]]``, spelled by one lookup for all."""
         n = len(self.out)
-        text = b"".join([self.out[i] if 0 <= i < n else _LOST for i in ids]).decode(errors="replace")
-        return text[1:] if text.startswith(" ") else text
+        got = self.spelled.take(pa.array(np.where((ids >= 0) & (ids < n), ids, n)))
+        cut = np.frombuffer(got.buffers()[1], np.int32)[:len(got) + 1][at].tolist()
+        body = got.buffers()[2]
+        body = body.to_pybytes() if body is not None else b""
+        texts = [body[a:z].decode(errors="replace") for a, z in zip(cut, cut[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
+
+    def decode(self, ids) -> str:
+        return self.decode_rows(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 _BUILT: dict[str, Codec] = {}
@@ -203,8 +230,7 @@ def decode(df: DataFrame, model: _Shared, ids: str = "ids", out: str = "decoded"
         codec, col = _codec(model), b[ids]
         at = col.offsets.to_numpy()
         flat, at = col.values[at[0]:at[-1]].fill_null(-1).to_numpy(zero_copy_only=False), at - at[0]
-        return pa.array([None if null else codec.decode(flat[at[i]:at[i + 1]].tolist())
-                         for i, null in enumerate(col.is_null().to_pylist())], pa.string())
+        return pa.array(codec.decode_rows(flat, at), pa.string(), mask=col.is_null().to_numpy(zero_copy_only=False))
     return _with_column(df, out, T.StringType(), fill)
 
 

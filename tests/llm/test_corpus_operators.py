@@ -621,3 +621,18 @@ def test_toxicity_equals_plain_ftrl(spark):
     assert 0 < len(want) < len(z)                                  # L1 leaves few
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(1 / (1 + math.exp(-(bias() + sum(want.get(c, 0.0) for c in buckets(t))))))
+
+
+def test_pieces_frequent_chunks_stay_known(monkeypatch):
+    """Chunks that keep occurring are solved once, however many others pass; all ids of rows are spelled at once."""
+    from ledgerlens.llm import pieces
+    monkeypatch.setattr(pieces, "CACHE", 40)
+    codec = pieces.Codec(pieces.load_pieces(pieces.default_model()))
+    solved, solve = [], codec.solve
+    codec.solve = lambda chunk: solved.append(chunk) or solve(chunk)
+    texts = [f"the cat of{i} word{i}  é▁{i}\n{i} " for i in range(200)]
+    ids = [np.frombuffer(codec.encode(t), np.int32) for t in texts]
+    assert solved.count(" the") == 1 and solved.count(" cat") == 1
+    at = np.append(0, np.cumsum([len(i) for i in ids]))
+    assert codec.decode_rows(np.concatenate(ids), at) == texts
+    assert codec.decode([-1, len(codec.out)]) == "��" and codec.decode([]) == ""
