@@ -207,7 +207,7 @@ def save_bundle(registry: ModelRegistry, model, metrics: dict, config: dict,
     profile) into a new version folder and register its manifest."""
     version = version or registry.new_version()
     base = registry.version_path(version)
-    if model.kind == "boosted":
+    if model.kind in ("boosted", "forest"):
         model.classifier.save(f"{base}/classifier")
     else:
         model.classifier.write().overwrite().save(f"{base}/classifier")
@@ -230,12 +230,13 @@ def save_bundle(registry: ModelRegistry, model, metrics: dict, config: dict,
 def load_bundle(registry: ModelRegistry, version: str | None = None):
     """The ``LedgerModel`` of a version (default: the active one), checked against its recorded hashes."""
     import numpy as np
-    from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
+    from pyspark.ml.classification import LogisticRegressionModel
     from pyspark.ml.feature import StringIndexerModel
 
     from ..plans.learn import FeatureModel, LedgerModel
     from .boosting import SoftmaxModel
     from .features import DateFeatures
+    from .forest import ForestModel
     from .profile import DomainFeatures, Profile
     from .tfidf import TfidfModel
     version = version or registry.active()
@@ -245,11 +246,11 @@ def load_bundle(registry: ModelRegistry, version: str | None = None):
     base = registry.version_path(version)
     meta = json.loads(registry.spark.read.text(f"{base}/meta").first()[0])
     labels = StringIndexerModel.load(f"{base}/labels")
-    if meta["kind"] == "boosted":
-        classifier = SoftmaxModel.load(registry.spark, f"{base}/classifier")
+    own = {"boosted": SoftmaxModel, "forest": ForestModel}
+    if meta["kind"] in own:
+        classifier = own[meta["kind"]].load(registry.spark, f"{base}/classifier")
     else:
-        kinds = {"forest": RandomForestClassificationModel, "logistic": LogisticRegressionModel}
-        classifier = kinds[meta["kind"]].load(f"{base}/classifier")
+        classifier = LogisticRegressionModel.load(f"{base}/classifier")
     text = TfidfModel.load(registry.spark, f"{base}/text") if "text" in meta["families"] else None
     features = FeatureModel(DateFeatures(meta["date_modes"]), DomainFeatures(Profile.from_dict(meta["profile"])),
                             text, tuple(meta["families"]))
