@@ -126,3 +126,35 @@ def test_classifiers_are_fitted_on_every_row(spark, monkeypatch):
     monkeypatch.setattr(learn, "make_classifier", lambda kind, **params: Counts())
     for kind in ("forest", "logistic", "boosted"):
         assert learn.train(df, kind=kind, families=("numeric",)).classifier == 4600
+
+
+def test_boosting_sends_a_node_once(monkeypatch):
+    """A task sends a node's sums once, however little it holds, and no cells of features the level may not split on."""
+    import pyarrow as pa
+
+    from ledgerlens.operators import boosting as bo
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+    rng = np.random.default_rng(5)
+    n, width, classes = 64, 6, 3
+    layout = bo.Layout(np.arange(width), [np.array([0.0, 0.5])] * width)
+    x, label = rng.uniform(0.1, 1.0, (n, width)), rng.integers(0, classes, n)
+    row, cell = layout.codes(np.repeat(np.arange(n), width), np.tile(np.arange(width), n), x.ravel())
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(label.astype(np.int32)), pa.array(np.ones(n)), pa.array(np.zeros(n, bool)), pa.array(np.arange(n)),
+         bo._cells_column(n, row, cell), bo._margin_column(np.zeros((n, classes)))], names=["label", "weight", "held", "key", "cells", "margin"])
+    p = bo.BoostingParams(subsample=1.0, colsample_bytree=0.5, colsample_bylevel=1.0)
+    monkeypatch.setattr(bo, "ACCUMULATE", 1)
+    monkeypatch.setattr(bo, "BATCH", 16)
+    shared = Shared((layout, bo.Nodes(), bo.Nodes(), 0, [(c, 0) for c in range(classes)]))
+    got = [r for b in bo._histograms(shared, classes, 0, p)([batch]) for r in b.to_pylist() if r["j"] >= 0]
+    assert sorted((r["j"], r["block"]) for r in got) == [(c, 0) for c in range(classes)]
+    for r in got:
+        cells = np.frombuffer(r["cell"], np.int32)
+        may = bo.allowed(p, width, 0, r["j"], 0)
+        assert len(cells) and may[layout.of[cells]].all() and not may.all()
+        g, _ = bo.gradients(np.full((n, classes), 1 / classes), label, np.ones(n))
+        want = np.bincount(cell, g[row, r["j"]], layout.cells)
+        assert (np.frombuffer(r["cg"], np.int64) == want[cells]).all()
