@@ -63,7 +63,7 @@ def test_forest_equals_plain_version(spark, params):
     m = fo.RandomForest(**params).fit(df)
     p = m.params
     keys = np.array([r[0] for r in df.select(F.xxhash64(*df.columns)).collect()])
-    layout = fo.fit_layout(df, fo._Bins(p.maxBins), rows_per_bin=1)
+    layout = fo.fit_layout(df, fo._Bins(p.maxBins), rows_per_bin=None)
     assert x.shape[1] - 1 not in layout.features
     want = plain_forest(x, y, keys, layout, p, 4)
     got = {(t, n): (f, e, s) for t, n, f, e, s in zip(*(getattr(m.trees, k) for k in fo.TREE_FIELDS))}
